@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.classifier import classify_quality
 from marginalia.llm.decontaminate import decontaminate
 from marginalia.llm.mix import mix
 from marginalia.llm.near_dedup import near_duplicates
@@ -14,24 +15,55 @@ from marginalia.llm.shard import place
 from marginalia.llm.storage import Work
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column _key: the doc_id or, of a row without one, a negative hash of its text. The stages decide
+    on keys, so that rows without an id are judged each by its text, and rows that share an id together."""
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), -1 - F.abs(F.xxhash64("text") % (1 << 62))))
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("_key").alias("doc_id"), "text", "source")
+
+
+def _without(docs: DataFrame, keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in ``dropped`` (doc_id)."""
+    return keyed.join(dropped.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    keyed = _keyed(docs)
+    scored = classify_quality(_by_key(keyed), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, keyed, scored.filter("predicted = 0"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest doc_id."""
-    dropped = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates stays, that with the smallest doc_id, and one row of it."""
+    keyed = _keyed(docs)
+    marked = Work(spark, "near").cut(near_duplicates(_by_key(keyed)).select("doc_id", "kept"), "marked")
+    kept = _without(docs, keyed, marked.filter(~F.col("kept")))
+    again = marked.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_key"))
+    if again.isEmpty():
+        return kept
+    kept = _keyed(kept)
+    once = kept.join(again, "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.join(again, "_key", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents a twentieth of whose words lie in benchmark windows go."""
-    dropped = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    return _without(docs, keyed, decontaminate(_by_key(keyed), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document, the part at a source's cut included as a whole document if it is
-    at least half of it; documents that it doesn't take go."""
-    taken = mix(docs).select("doc_id", F.expr("cast(if(size > 0, floor(taken / size + 0.5), 0) as int)").alias("times")).filter("times > 0")
-    copies = docs.join(taken.dropDuplicates(["doc_id"]), "doc_id")
-    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """A row for each time the mix takes a document. The part of a document at a source's cut counts as a whole one if
+    it is at least half of it; documents that the mix doesn't take go. Rows that share a doc_id go by their sum."""
+    keyed = _keyed(docs)
+    taken = mix(_by_key(keyed)).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = taken.select(F.col("doc_id").alias("_key"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("_times")).filter("_times > 0")
+    copies = keyed.join(times, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return copies.select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +72,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
     ("near-dedup", near_dedup),
     ("decontamination", decontamination),
     ("mixing", mixing),

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .classifier import classify_quality
 from .decontaminate import decontaminate
+from .language_id import identify_languages
+from .lm_score import lm_scores
 from .mix import mix
 from .near_dedup import near_duplicates
+from .quality_rules import quality_rules
 from .shard import place
+from .substring_dedup import substring_dedup
+from .warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +31,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written to archives and read back."""
+    records = read_archives(write_archives(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot and shard of every document."""
     return place(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "slot", "shard")
@@ -34,10 +46,30 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_near_dedup, op2_decontaminate, op4_shard, op5_mix)
+    named = (op1_near_dedup, op2_decontaminate, op3_warc, op4_shard, op5_mix, op6_quality_rules, op7_lm_score, op8_quality_classifier, op9_language_id, op10_substring_dedup)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": sql.NEAR_DEDUP, "op2_decontaminate": sql.DECONTAMINATE, "op5_mix": sql.MIX}
+    return {"op1_near_dedup": sql.NEAR_DEDUP, "op2_decontaminate": sql.DECONTAMINATE, "op3_warc": sql.WARC, "op5_mix": sql.MIX, "op10_substring_dedup": sql.SUBSTRING_DEDUP}
