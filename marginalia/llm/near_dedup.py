@@ -5,10 +5,15 @@ is keyed by sketch i of the first collection with sketch j of the second, so SID
 ``2 * SIDE * ROWS`` = 32 minimum hashes instead of 256. Two documents of similarity s meet in some table with
 probability (1 - (1 - s^ROWS)^SIDE)^2, 0.9999 at the threshold of 0.85.
 
-Candidates are verified on full shingle sets. Documents with equal sets are collapsed first. The members of a bucket
-are compared with one hub; then, only in buckets that still hold more than one component, with four times as many hubs
-each round until all have been hubs. Pairs inside one component are never compared, so a large group of copies costs a
-star and no link between different components is lost. Every step is a written table.
+Candidates are verified on full shingle sets. Documents with equal sets are collapsed first, and the members of a bucket
+are compared with one hub B, so a large group of copies costs a star. Two members of different components may still be
+linked, though only if one of them, U, isn't linked with B. Let E_X be the symmetric difference of X and B. Then
+|X ^ Y| = |E_X ^ E_Y|, and with c = (1 - t) / (1 + t) a link means |X ^ Y| <= h = c * (|X| + |Y|), so that E_U and E_Z
+share at least o = (|E_U| + |E_Z| - h) / 2 shingles; o > 0 since |E_U| > c * (|U| + |B|). This is a prefix-filtered join
+on what distinguishes members from their hub: in order of rarity, the first shared shingle stands among the first
+|E_Z| - o + 1 <= (1 + c) / 2 * |E_Z| + 1 of E_Z, and from its place on both sets must have o shingles left. Edits are
+rare shingles, so variants of one text rarely meet, while every link between components is among the pairs verified.
+Every step is a written table.
 """
 
 from __future__ import annotations
@@ -17,8 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .components import components
 from .kernels import Tokens, U, chunks, grams, lists, list_values, mix, powers, signed
@@ -90,20 +96,51 @@ def _sets(words: int, filled):
     return run
 
 
-def _verified(work: Work, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose full sets are similar enough. Only sets of documents in a pair are made and moved."""
-    ids = work.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+def _linked(x: Column, y: Column) -> Column:
+    """Whether two sets are similar enough."""
+    both = F.size(F.array_intersect(x, y))
+    return F.lit(OF) * both >= F.lit(LINK) * (F.size(x) + F.size(y) - both)
+
+
+def _sets_of(work: Work, docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(id, items) of the documents in ``pairs`` (a, b). Only their sets are made and moved."""
+    ids = work.cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "ids")
     bloom = Bloom(ids, "id")
     texts = docs.select("doc_id", "text", bloom.places("doc_id").alias("places"))
-    sets = texts.mapInArrow(_sets(words, bloom.words), "id bigint, items array<bigint>").join(ids, "id", "left_semi")
-    sets = work.cut(sets, "sets")
-    a = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    b = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    out = pairs.select("a", "b").join(a, "a").join(b, "b").withColumn("both", both)
-    out = work.cut(out.filter(F.lit(OF) * F.col("both") >= F.lit(LINK) * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b").distinct(), "links")
-    work.drop(sets, ids)
-    return out
+    return work.cut(texts.mapInArrow(_sets(words, bloom.words), "id bigint, items array<bigint>").join(ids, "id", "left_semi"), "sets")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` with the sets x of a and y of b."""
+    a, b = (sets.select(F.col("id").alias(i), F.col("items").alias(v)) for i, v in (("a", "x"), ("b", "y")))
+    return pairs.join(a, "a").join(b, "b")
+
+
+def _between(work: Work, pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) of members of one hub's group, of different components, that may be linked.
+
+    ``pairs`` (a: hub, b: member, linked, n: the member's size) are all members of all hubs.
+    """
+    members = pairs.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    mixed = members.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("linked").alias("all")).filter("lo <> hi and not all").select("a")
+    members = members.join(mixed, "a", "left_semi")
+    differ = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    items = _with_sets(members, sets).select("a", "b", "n", "linked", "label", differ.alias("e"))
+    items = work.cut(items.select("a", "b", "n", "linked", "label", F.size("e").alias("m"), F.explode("e").alias("item")), "items")
+    rarity = items.groupBy("a", "item").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = items.join(rarity, ["a", "item"])
+    # items that one member alone has come first and meet none: the place of the others is counted from there
+    order = W.partitionBy("a", "b").orderBy("df", "item")
+    own = W.partitionBy("a", "b")
+    shared = shared.withColumn("left", F.count("*").over(own) - F.row_number().over(order) + 1)
+    shared = work.cut(shared.select("a", "item", "b", "n", "linked", "label", "m", "left"), "items")
+    u = shared.filter("not linked").select("a", "item", *[F.col(c).alias(f"u_{c}") for c in ("b", "n", "label", "m", "left")])
+    c = F.lit((OF - LINK) / (OF + LINK))
+    z = shared.filter(F.col("m") - F.col("left") <= F.floor((1 + c) / 2 * F.col("m")) + 1)
+    overlap = F.col("m") + F.col("u_m") - c * (F.col("n") + F.col("u_n")) - F.lit(1e-6)
+    near = F.lit(OF) * F.least("n", "u_n") >= F.lit(LINK) * F.greatest("n", "u_n")
+    met = (F.col("label") != F.col("u_label")) & near & (2 * F.least("left", "u_left") >= overlap)
+    return u.join(z, ["a", "item"]).filter(met).select(F.least("b", "u_b").alias("a"), F.greatest("b", "u_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -121,36 +158,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     tables = [F.xxhash64(F.lit(i * SIDE + j), F.col("keys")[i], F.col("keys")[SIDE + j]) for i in range(SIDE) for j in range(SIDE)]
     rows = nodes.filter("rep is not null").select("rep", "n", F.explode(F.array(*tables)).alias("k"))
-    hubs = rows.groupBy("k").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    buckets = work.cut(rows.join(hubs, "k").select("k", "rep", "n", "size", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
-
-    near_size = F.lit(OF) * F.least("n", "hub_n") >= F.lit(LINK) * F.greatest("n", "hub_n")
-    pairs = work.cut(buckets.filter((F.col("rep") != F.col("hub")) & near_size).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = _verified(work, docs, nodes, pairs, words)
+    hubs = rows.groupBy("k").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    pairs = work.cut(rows.join(hubs, "k").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), "n").distinct(), "pairs")
+    sets = _sets_of(work, docs, pairs, words)
+    pairs = work.cut(_with_sets(pairs, sets).select("a", "b", "n", _linked(F.col("x"), F.col("y")).alias("linked")), "pairs")
+    links = pairs.filter("linked").select("a", "b")
     labels = components(work, links)
-    tested, share = pairs, 4
-    while True:
-        state = buckets.select("k", "rep", "n", "size").join(labels, buckets["rep"] == labels["node"], "left").select("k", "rep", "n", "size", F.coalesce("label", "rep").alias("label"))
-        mixed = state.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("k")
-        state = work.cut(state.join(mixed, "k", "left_semi"), "state")
-        largest = state.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        hub = state.filter(F.pmod(F.xxhash64("k", "rep"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / share))) == 0)
-        hub = hub.select("k", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-        found = state.join(hub, "k").filter((F.col("label") != F.col("hub_label")) & near_size)
-        found = found.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        found = work.cut(found, "pairs")
-        work.drop(state)
-        if not found.isEmpty():
-            tested = tested.unionByName(found)
-            new = _verified(work, docs, nodes, found, words)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                labels = components(work, links)
-        if largest <= share:
-            break
-        share *= 4
+    more = work.cut(_between(work, pairs, sets, labels), "between")
+    more = work.cut(_with_sets(more, sets).filter(_linked(F.col("x"), F.col("y"))).select("a", "b"), "links")
+    if not more.isEmpty():
+        labels = components(work, links.unionByName(more))
+    work.drop(sets)
 
     rep = sketch.join(nodes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
     out = rep.join(labels, rep["rep"] == labels["node"], "left")
