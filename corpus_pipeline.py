@@ -16,9 +16,9 @@ from marginalia.llm.storage import Work
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the column _key: the doc_id or, of a row without one, a negative hash of its text. The stages decide
-    on keys, so that rows without an id are judged each by its text, and rows that share an id together."""
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), -1 - F.abs(F.xxhash64("text") % (1 << 62))))
+    """``docs`` with the column _key: the doc_id or, of a row without one, a number from 2^62 up, by its text. The stages
+    decide on keys, so that rows without an id are judged each by its text, and rows that share an id together."""
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62))))
 
 
 def _by_key(keyed: DataFrame) -> DataFrame:

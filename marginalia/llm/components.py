@@ -31,7 +31,7 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         after = work.cut(_small_star(_large_star(now)).filter("a <> b").distinct(), "edges")
-        sign = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum("b")).first()
+        sign = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b"))).first()
         work.drop(now)
         now = after
         if sign == seen:

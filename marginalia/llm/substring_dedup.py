@@ -167,7 +167,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, start: int = START) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = lengths(window, start)
     offered = work.cut(docs.mapInArrow(_offer(window, levels[0]), "doc_id bigint, n_words bigint, sha string, hashes array<bigint>"), "offered")
-    alive = work.cut(_shared(offered.select("doc_id", "hashes")), "level")
+    alive = work.cut(_shared(offered.select("doc_id", "hashes"), later=levels[0] == window), "level")
     for before, length in zip(levels, levels[1:]):
         if alive.isEmpty():
             break
