@@ -125,6 +125,12 @@ def wikilinks(content: Column) -> Column:
     return F.transform(F.regexp_extract_all(content, F.lit(WIKILINK), 1), lambda x: F.trim(x))
 
 
+def completion_prefix(line: Column) -> Column:
+    """What stands after an open ``[[`` at the end of a line, if it is two characters or more: the start of a target."""
+    found = F.regexp_extract(line, r"\[\[([^\]]*?)$", 1)
+    return F.when(F.char_length(found) >= 2, found)
+
+
 def render_frontmatter(prefix: str, type_: Column, area: Column, gist_: Column, tags: Column, source: Column, today: Column, status: Column | None = None) -> Column:
     """A fenced frontmatter: type, status, area, folded gist with its origin and date, tags and sources; absent ones are left out."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{prefix}{name}: "), value))

@@ -61,6 +61,16 @@ def vector(values) -> Column:
     return F.array(*[F.lit(float(x)) for x in values])
 
 
+def to_blob(vec: Column) -> Column:
+    """A vector as little-endian 32-bit floats, in Arrow batches."""
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes()), T.BinaryType())(vec)
+
+
+def from_blob(blob: Column) -> Column:
+    """The vector of little-endian 32-bit floats, in Arrow batches."""
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else np.frombuffer(x, "<f4").tolist()), T.ArrayType(T.FloatType()))(blob)
+
+
 def token_halves(token: Column) -> tuple[Column, Column]:
     """The upper and lower 32 bits of a token's number, as longs."""
     codes = F.transform(F.split(F.right(F.left(token, F.lit(READ)), F.lit(4)), ""), lambda c: F.ascii(c).cast("long"))

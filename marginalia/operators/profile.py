@@ -186,6 +186,14 @@ def migration_summary(plan: DataFrame) -> DataFrame:
     return plan.select(F.explode("changes").alias("c")).groupBy("c.field", "c.action").agg(F.count("*").alias("n"))
 
 
+def review(plan: DataFrame, health: DataFrame) -> DataFrame:
+    """(score, band, type_changes, area_changes, new_frontmatter, total), one row: what a migration comes to."""
+    count = lambda role: F.sum(F.size(F.filter("changes", lambda c: F.endswith(c["field"], F.lit(role)) & ((c["action"] == "update") | F.col("has_frontmatter")))))
+    sums = plan.agg(F.coalesce(count("type"), F.lit(0)).alias("type_changes"), F.coalesce(count("area"), F.lit(0)).alias("area_changes"), F.count_if(~F.col("has_frontmatter")).alias("new_frontmatter"))
+    rows = health.select("score", "band").crossJoin(sums)  # one row by one row
+    return rows.withColumn("total", F.col("type_changes") + F.col("area_changes") + F.col("new_frontmatter"))
+
+
 def migration_preview(plan: DataFrame, most: int = 5) -> DataFrame:
     """(path, adds, updates) of the first files of a plan."""
     count = lambda action: F.size(F.filter("changes", lambda c: c["action"] == action))

@@ -34,6 +34,27 @@ def apply(stored: DataFrame, files: DataFrame, changes: DataFrame, key: str = "p
     return old.select(*stored.columns).unionByName(new.select(*stored.columns))
 
 
+def index_stats(notes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(notes, last_indexed, vectors), one row."""
+    return notes.agg(F.count("*").alias("notes"), F.max("mtime").alias("last_indexed")).crossJoin(vectors.agg(F.count("*").alias("vectors")))  # one row by one row
+
+
+def set_meta(meta: DataFrame, key: str, value: str) -> DataFrame:
+    """The table (key, value) with a value set."""
+    return meta.filter(F.col("key") != key).unionByName(meta.sparkSession.createDataFrame([(key, value)], "key string, value string"))
+
+
+def get_meta(meta: DataFrame, key: str) -> str | None:
+    row = meta.filter(F.col("key") == key).first()
+    return row["value"] if row else None
+
+
+def clear_on_dimension_change(meta: DataFrame, vectors: DataFrame, dimension: int) -> tuple[DataFrame, DataFrame]:
+    """(meta, vectors) for vectors of a dimension: those of another one go."""
+    old = get_meta(meta, "dimension")
+    return set_meta(meta, "dimension", str(dimension)), vectors.limit(0) if old not in (None, str(dimension)) else vectors
+
+
 def needs_rebuild(stored: DataFrame, vectors: DataFrame) -> bool:
     """Whether all must be embedded anew: there are notes but no vectors."""
     return not stored.isEmpty() and vectors.isEmpty()

@@ -147,6 +147,30 @@ def _each(k: int):
     return lambda i: F.get("vec", 2 * i + k)
 
 
+@query("SELECT d.doc_id, length(d.text) AS chars, e.label, len(e.embedding) AS dimension FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id")
+def notes_with_vectors(spark, d):
+    joined = _table(spark, d, "documents").join(_vectors(spark, d), F.col("doc_id") == F.col("vec_id"))
+    return joined.select("doc_id", F.char_length("text").cast("long").alias("chars"), "label", F.size("embedding").cast("long").alias("dimension"))
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS embedding FROM embeddings")
+def vector_blobs(spark, d):
+    rows = _vectors(spark, d).withColumn("blob", vx.to_blob(F.col("embedding")))
+    return rows.select("vec_id", F.transform(vx.from_blob(F.col("blob")), lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+
+
+@query()
+def lsh_knn(spark, d):
+    """Rows only, as hashing is approximate: the five nearest of a vector among its buckets' members."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rows = _vectors(spark, d).select("vec_id", array_to_vector(vx.normalise(F.transform("embedding", lambda x: x.cast("double")))).alias("v"))
+    first = rows.filter("vec_id = 0").first()
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=8, seed=7).fit(rows)
+    return model.approxNearestNeighbors(rows.filter("vec_id <> 0"), first["v"], 5).select("vec_id", F.round("distCol", 6).alias("distance"))
+
+
 # Embedding -------------------------------------------------------------------------------------------------------------
 
 
@@ -418,14 +442,14 @@ def tag_suggest(spark, d):
 
 
 @query(
-    f"""WITH t AS (SELECT 'tag-' || vec_id AS name, CAST(vec_id * 7 % 13 AS BIGINT) AS usage_count, embedding AS vec FROM embeddings WHERE label = 1)
+    f"""WITH t AS (SELECT 'tag-' || vec_id AS name, CAST(vec_id * 7 % 13 AS BIGINT) AS usage_count, embedding AS vec FROM embeddings)
 SELECT CASE WHEN a.usage_count >= b.usage_count THEN a.name ELSE b.name END AS keep, CASE WHEN a.usage_count >= b.usage_count THEN b.name ELSE a.name END AS merge, round(round({sql.cosine('a.vec', 'b.vec')}, 9), 6) AS score
-FROM t a JOIN t b ON a.name < b.name WHERE round({sql.cosine('a.vec', 'b.vec')}, 9) >= 0.2"""
+FROM t a JOIN t b ON a.name < b.name WHERE round({sql.cosine('a.vec', 'b.vec')}, 9) >= 0.4"""
 )
 def tag_merge_pairs(spark, d):
-    rows = _vectors(spark, d).filter("label = 1")
+    rows = _vectors(spark, d)
     catalogue = rows.select(F.concat(F.lit("tag-"), F.col("vec_id").cast("string")).alias("name"), (F.col("vec_id") * 7 % 13).alias("usage_count"), F.col("embedding").alias("vec"))
-    return _short(tags.merges(catalogue, 0.2), "keep", "merge")
+    return _short(tags.merges(catalogue, 0.4), "keep", "merge")
 
 
 @query(
@@ -581,6 +605,19 @@ def folder_histogram(spark, d):
     return profile.folders(_corpus(spark, d))
 
 
+@query(f"WITH {sql.NOTES}, {_CHANGES} SELECT count(*) FILTER (field = 'note_type') AS type_changes, count(*) FILTER (field = 'note_area') AS area_changes, CAST(0 AS BIGINT) AS new_frontmatter, count(*) AS total FROM changes")
+def migration_review(spark, d):
+    notes = src.rendered(_corpus(spark, d))
+    health = profile.profile_health(notes, profile.scan_fields(notes))
+    return profile.review(_plan(spark, d)[1], health).select("type_changes", "area_changes", "new_frontmatter", "total")
+
+
+@query("SELECT 'see [[' || left(text, doc_id % 4) AS line, CASE WHEN length(left(text, doc_id % 4)) >= 2 AND left(text, doc_id % 4) NOT LIKE '%]%' THEN left(text, doc_id % 4) END AS prefix FROM documents")
+def completion_prefixes(spark, d):
+    line = F.concat(F.lit("see [["), F.left("text", (F.col("doc_id") % 4).cast("int")))
+    return _table(spark, d, "documents").select(line.alias("line"), tx.completion_prefix(line).alias("prefix"))
+
+
 # Index upkeep and saving -----------------------------------------------------------------------------------------------
 
 _SNAPSHOTS = """files AS (SELECT path, doc_id % 10 AS mtime, gist AS text FROM corpus WHERE doc_id % 11 <> 0), stored AS (SELECT path, CASE WHEN doc_id % 13 = 0 THEN -1 ELSE doc_id % 10 END AS mtime, gist AS text FROM corpus WHERE doc_id % 17 <> 0),
@@ -604,6 +641,11 @@ def sync_stats(spark, d):
     return sync.sync_counts(sync.diff(*_snapshots(spark, d)))
 
 
+@query(f"WITH {sql.CORPUS}, {_SNAPSHOTS} SELECT count(*) AS notes, max(mtime) AS last_indexed, (SELECT count(*) FROM embeddings) AS vectors FROM stored")
+def index_stats(spark, d):
+    return sync.index_stats(_snapshots(spark, d)[1], _vectors(spark, d))
+
+
 @query(f"WITH {sql.CORPUS}, {_SNAPSHOTS} SELECT path, mtime, text FROM files")
 def sync_apply(spark, d):
     files, stored = _snapshots(spark, d)
@@ -624,13 +666,13 @@ def export_contract(spark, d):
 
 
 @query(
-    f"""WITH {sql.CORPUS}, r AS (SELECT CASE WHEN doc_id % 3 = 0 THEN name WHEN doc_id % 41 = 1 THEN '../' || name ELSE 'new ' || name END AS title FROM corpus WHERE doc_id % 2 = 0)
+    f"""WITH {sql.CORPUS}, r AS (SELECT CASE WHEN doc_id % 3 = 0 THEN name WHEN doc_id % 41 = 1 THEN '../' || name ELSE 'new ' || name END AS title FROM corpus)
 SELECT title, CASE WHEN contains(title, '/') THEN 'invalid' WHEN starts_with(title, 'new') THEN 'created' ELSE 'exists' END AS outcome FROM r"""
 )
 def save_create(spark, d):
     notes = _corpus(spark, d)
     title = F.when(F.col("doc_id") % 3 == 0, F.col("name")).when(F.col("doc_id") % 41 == 1, F.concat(F.lit("../"), F.col("name"))).otherwise(F.concat(F.lit("new "), F.col("name")))
-    requests = notes.filter("doc_id % 2 = 0").select(title.alias("title"), F.col("body").alias("content"), "type", "area", "gist", "tags", F.lit(None).cast("array<string>").alias("source"), F.col("gist_date").alias("today"))
+    requests = notes.select(title.alias("title"), F.col("body").alias("content"), "type", "area", "gist", "tags", F.lit(None).cast("array<string>").alias("source"), F.col("gist_date").alias("today"))
     return save.create(requests, notes).select("title", "outcome")
 
 
