@@ -73,12 +73,15 @@ def folders(notes: DataFrame) -> DataFrame:
 def candidates(profile: DataFrame, role: str) -> DataFrame:
     """The fields that may play a role, by name: one contains the other. Tags must be lists (or mixed); type, area and
     tags need values. Best coverage first."""
+    return profile.filter(_may_be(role)).select(F.lit(role).alias("role"), "*").orderBy(F.desc("coverage"), "field")
+
+
+def _may_be(role: str) -> Column:
     low = F.lower("field")
     named = [F.contains(low, F.lit(a)) | F.contains(F.lit(a), low) for a in ALIASES[role]]
-    rows = profile.filter(sum((x.cast("int") for x in named), F.lit(0)) > 0)
-    rows = rows.filter("data_type in ('array', 'mixed')") if role == "tags" else rows
-    rows = rows if role == "gist" else rows.filter("distinct > 0")
-    return rows.select(F.lit(role).alias("role"), "*").orderBy(F.desc("coverage"), "field")
+    out = sum((x.cast("int") for x in named), F.lit(0)) > 0
+    out = out & F.col("data_type").isin("array", "mixed") if role == "tags" else out
+    return out if role == "gist" else out & (F.col("distinct") > 0)
 
 
 def map_value(value: Column, recommended: list[str]) -> Column:
@@ -106,14 +109,14 @@ def estimate(mapping: DataFrame) -> DataFrame:
 def profile_health(notes: DataFrame, fields: DataFrame) -> DataFrame:
     """(coverage, score, band, issue), one row: 30 for frontmatter, 20 and 10 for type and few values of it, 15 and 5 for
     area, 20 for gist."""
-    profile = field_profile(fields)
-    best = lambda role, part: candidates(profile, role).limit(1).agg(F.max("coverage").alias(f"{part}"), F.min("high_cardinality").alias(f"{part}_high"))
-    rows = notes.agg(F.count("*").alias("total")).crossJoin(fields.agg(F.count_distinct("path").alias("having")))
-    for role in ("type", "area", "gist"):
-        rows = rows.crossJoin(best(role, role))  # one row each
+    first = lambda role: F.min(F.when(_may_be(role), F.struct((-F.col("coverage")).alias("c"), "field", F.col("high_cardinality").alias("high")))).alias(role)
+    roles = field_profile(fields).agg(first("type"), first("area"), first("gist"))
+    counts = notes.agg(F.count("*").alias("total")).crossJoin(fields.agg(F.count_distinct("path").alias("having")))
+    rows = counts.crossJoin(roles)  # one row each
     coverage = F.when(F.col("total") > 0, F.col("having") / F.col("total")).otherwise(0.0)
-    few = lambda role, points: F.when(F.col(f"{role}_high") == F.lit(False), points).otherwise(0)
-    score = 30 * coverage + F.coalesce(20 * F.col("type"), F.lit(0)) + few("type", 10) + F.coalesce(15 * F.col("area"), F.lit(0)) + few("area", 5) + F.coalesce(20 * F.col("gist"), F.lit(0))
+    part = lambda role, points: F.coalesce(-points * F.col(f"{role}.c"), F.lit(0.0))
+    few = lambda role, points: F.when(F.col(f"{role}.high") == F.lit(False), points).otherwise(0)
+    score = 30 * coverage + part("type", 20) + few("type", 10) + part("area", 15) + few("area", 5) + part("gist", 20)
     rows = rows.select(coverage.alias("coverage"), F.round(F.least(F.lit(100.0), score)).cast("int").alias("score"))
     return rows.select("coverage", "score", band(F.col("score")).alias("band"), F.when(F.col("coverage") < 0.3, "low frontmatter coverage").alias("issue"))
 

@@ -150,12 +150,12 @@ def contract_errors(notes: DataFrame, meta: dict) -> DataFrame:
 
 
 def export_index(notes: DataFrame, vectors: DataFrame, folder: str, mode: str = "htp") -> bool:
-    """Writes notes, vectors and meta below a folder, if the notes keep the contract. Vectors are parquet."""
+    """Writes notes, vectors and meta below a folder, if the notes keep the contract. Notes are JSON lines, vectors parquet."""
     count = notes.count()
     meta = {"embeddingMode": mode, "dimension": DIMENSIONS[mode], "noteCount": count, "indexSize": vectors.count(), "exportedAt": int(time.time() * 1000), "version": CONTRACT_VERSION}
     if not contract_errors(notes, meta).isEmpty():
         return False
-    notes.write.mode("overwrite").json(f"{folder}/notes.json")
+    notes.write.mode("overwrite").json(f"{folder}/notes.jsonl")
     vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
     notes.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta.json")
     return True

@@ -86,7 +86,7 @@ def test_profile(spark):
     role = lambda r: [x["field"] for x in profile.candidates(profile.field_profile(fields), r).collect()]
     assert role("type") == ["Category"] and role("area") == ["Domain"] and role("gist") == ["summary"] and role("tags") == ["keywords"]
     health = profile.profile_health(notes, fields).first()
-    assert health["score"] == round(30 * 2 / 3 + 20 + 10 + 15 * 0.5 + 5 + 20 * 0.5) and health["band"] == "good"
+    assert health["score"] == int(30 * 2 / 3 + 20 + 10 + 15 * 0.5 + 5 + 20 * 0.5 + 0.5) and health["band"] == "good"
     assert {tuple(r) for r in profile.folders(notes).collect()} == {("/", 2), ("f", 1)}
     assert profile.profile_health(notes.limit(0), fields.limit(0)).first()["score"] == 0
 
