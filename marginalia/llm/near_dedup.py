@@ -123,7 +123,8 @@ def _between(work: Work, pairs: DataFrame, sets: DataFrame, labels: DataFrame) -
     """
     members = pairs.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     mixed = members.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("linked").alias("all")).filter("lo <> hi and not all").select("a")
-    members = members.join(mixed, "a", "left_semi")
+    # written, so that the join with the sets has nothing before it and Spark can split the rows of a hub with many members
+    members = work.cut(members.join(mixed, "a", "left_semi"), "members")
     differ = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
     items = _with_sets(members, sets).select("a", "b", "n", "linked", "label", differ.alias("e"))
     items = work.cut(items.select("a", "b", "n", "linked", "label", F.size("e").alias("m"), F.explode("e").alias("item")), "items")
