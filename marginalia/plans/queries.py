@@ -153,10 +153,10 @@ def notes_with_vectors(spark, d):
     return joined.select("doc_id", F.char_length("text").cast("long").alias("chars"), "label", F.size("embedding").cast("long").alias("dimension"))
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS embedding FROM embeddings")
+@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def vector_blobs(spark, d):
     rows = _vectors(spark, d).withColumn("blob", vx.to_blob(F.col("embedding")))
-    return rows.select("vec_id", F.transform(vx.from_blob(F.col("blob")), lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+    return rows.select("vec_id", F.posexplode(vx.from_blob(F.col("blob"))).alias("pos", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 @query()
@@ -694,7 +694,7 @@ def inbox_memos(spark, d):
 
 
 @query(
-    """WITH m AS (SELECT conv_id, unnest(list_filter(list_transform(regexp_split_to_array(string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn), '(?m)^---\\r?$'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')) AS memo FROM conversations WHERE text IS NOT NULL GROUP BY conv_id) SELECT conv_id, count(*) AS memos, sum(length(memo)) AS chars FROM m GROUP BY conv_id"""
+    """WITH m AS (SELECT conv_id, unnest(list_filter(list_transform(regexp_split_to_array(string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn), '(?m)^---\\r?$'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')) AS memo FROM conversations WHERE text IS NOT NULL GROUP BY conv_id) SELECT conv_id, count(*) AS memos, CAST(sum(length(memo)) AS BIGINT) AS chars FROM m GROUP BY conv_id"""
 )
 def inbox_split(spark, d):
     rows = _table(spark, d, "conversations").filter("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
