@@ -99,8 +99,6 @@ def simple_search(spark, d):
 
 # Vectors ---------------------------------------------------------------------------------------------------------------
 
-_V0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
-
 
 def _vectors(spark, d):
     return _table(spark, d, "embeddings")
