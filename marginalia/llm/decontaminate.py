@@ -9,8 +9,6 @@ proposal is verified when every shingle of the window stands at its own offset.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W

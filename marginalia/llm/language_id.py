@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, U, chunks, list_values, lists, mix
+from .kernels import LOWER, U, chunks, lists, mix
 from .storage import Work
 
 SAMPLE, BUCKETS, MOST_LANGUAGES = 4000, 1 << 14, 64

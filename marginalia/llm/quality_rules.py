@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .doc_stats import Counts, counted
-from .kernels import U, grams, lists, list_values, mix, signed
+from .kernels import U, grams, lists, list_values, mix
 from .labels import binary_labels, sample
 
 SAMPLE, DIMENSIONS, EPOCHS, RATE = 4000, 1 << 18, 8, 0.5

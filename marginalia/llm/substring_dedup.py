@@ -19,14 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import WHITE, Tokens, U, chunks, grams, list_values, lists, signed
+from .kernels import Tokens, U, chunks, grams, list_values, lists, signed
 from .storage import Bloom, Work
 
 WINDOW, START = 13, 7
-_WHITE = bytes(np.flatnonzero(WHITE).tolist())
 
 
 def lengths(window: int, start: int) -> list[int]:
