@@ -35,6 +35,10 @@ def first_primes(n: int) -> list[int]:
 
 MODULI = first_primes(PRIMES)
 _M = np.array(MODULI, np.uint64)
+#: Where a modulus begins in the tables of sines and cosines of all remainders.
+_BEGIN = np.concatenate([[0], np.cumsum(MODULI)[:-1]])
+_TURN = np.concatenate([np.arange(m) * (2 * math.pi / m) for m in MODULI])
+_SIN, _COS = np.sin(_TURN), np.cos(_TURN)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -105,8 +109,8 @@ def _number(token: str) -> int:
 
 def token_matrix(tokens) -> np.ndarray:
     """The vectors of tokens, a row each."""
-    turn = (np.array([_number(t) for t in tokens], np.uint64)[:, None] % _M).astype(float) * (2 * math.pi / np.array(MODULI))
-    return np.stack([np.sin(turn), np.cos(turn)], axis=2).reshape(len(turn), DIMENSION)
+    at = (np.array([_number(t) for t in tokens], np.uint64)[:, None] % _M).astype(np.int64) + _BEGIN
+    return np.stack([_SIN[at], _COS[at]], axis=2).reshape(len(at), DIMENSION)
 
 
 def embed_tokens(tokens) -> np.ndarray:

@@ -17,9 +17,10 @@ DIGITS = 9
 
 
 def score(df: DataFrame, vec: str, query, name: str = "score") -> DataFrame:
-    """``df`` with the cosine similarity of its vectors to one query vector, rounded so that equal vectors tie."""
+    """``df`` with the cosine similarity of its vectors to one query vector, rounded so that equal vectors tie; null for
+    rows without a vector."""
     q = vector(query) if not isinstance(query, Column) else query
-    return df.withColumn(name, F.round(cosine(F.col(vec), q), DIGITS))
+    return df.withColumn(name, F.when(F.col(vec).isNotNull(), F.round(cosine(F.col(vec), q), DIGITS)))
 
 
 def check_dimension(df: DataFrame, vec: str, dimension: int) -> None:
@@ -29,8 +30,11 @@ def check_dimension(df: DataFrame, vec: str, dimension: int) -> None:
 
 
 def knn(df: DataFrame, vec: str, query, k: int, key: str = "id") -> DataFrame:
-    """The ``k`` rows most similar to a query vector; ties go to the smaller key. One pass, and k rows a task are moved."""
-    return score(df, vec, query).orderBy(F.desc("score"), key).limit(k)
+    """The ``k`` rows most similar to a query vector; ties go to the smaller key. One pass, and k rows a task are moved.
+
+    Rows without a vector come last and are left out at the end: a filter before would embed texts a second time.
+    """
+    return score(df, vec, query).orderBy(F.desc_nulls_last("score"), key).limit(k).filter("score is not null")
 
 
 def _block(queries, k: int):

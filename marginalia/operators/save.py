@@ -94,7 +94,7 @@ def clear_inbox(path: str) -> None:
 def smart(title: str, gist: str | None, index: DataFrame, embedder: Embedder | None = None, least: float = SIMILAR, key: str = "path") -> tuple[str, DataFrame]:
     """(needs_decision or create, the most similar notes): what to do with a note whose gist, or title, is given."""
     query = (embedder or Embedder()).query(gist or title)
-    close = knn(index.filter("vec is not null"), "vec", query, CLOSEST, key).filter(F.col("score") >= least)
+    close = knn(index, "vec", query, CLOSEST, key).filter(F.col("score") >= least)
     return ("create" if close.isEmpty() else "needs_decision"), close
 
 

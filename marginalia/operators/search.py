@@ -117,10 +117,10 @@ def plan_search(limit: int = LIMIT, mode: str | None = None, **filters: str | No
 def hits(notes: DataFrame, query: str, fetch: int, mode: str, embedder: Embedder, key: str = "path") -> DataFrame:
     """(key, score) of the ``fetch`` best notes in a mode. ``notes`` have path, gist, tags and the vector ``vec``."""
     if mode == "semantic":
-        return knn(notes.filter("vec is not null"), "vec", embedder.query(query), fetch, key).select(key, "score")
+        return knn(notes, "vec", embedder.query(query), fetch, key).select(key, "score")
     if mode == "keyword":
         return bm25(notes, query, fetch, key).select(key, "score")
-    semantic = knn(notes.filter("vec is not null"), "vec", embedder.query(query), FUSE * fetch, key)
+    semantic = knn(notes, "vec", embedder.query(query), FUSE * fetch, key)
     both = {"semantic": ranked(semantic, key), "bm25": ranked(bm25(notes, query, FUSE * fetch, key), key)}
     return fuse(both, key=key).orderBy(F.desc("score"), key).limit(fetch)
 
