@@ -125,6 +125,25 @@ def test_lm_learns_contexts(spark):
     assert sum(r["score"] for r in got) / n > sum(r["base_score"] for r in got) / n + 0.1
 
 
+def test_lm_is_alike_for_all_partitions(spark):
+    """A context that one of many partitions has is learned as well as in one partition."""
+    docs = corpus.frame(spark, chain(120)).select("doc_id", "text")
+    one, many = ({r["doc_id"]: r["score"] for r in lm_scores(docs.repartitionByRange(n, "doc_id")).collect()} for n in (1, 24))
+    assert len(one) == 120 and all(many[i] == pytest.approx(one[i], abs=1e-2) for i in one)
+
+
+def test_lm_rounds_go_on_from_each_other():
+    """Each round raises the likelihood of the training tokens."""
+    rng = np.random.default_rng(5)
+    ranked, counts = rng.integers(1, 1 << 62, 60).astype(np.uint64), np.full(60, 50)
+    h, of = np.repeat(ranked[rng.permutation(60)][None], 50, axis=0).ravel(), np.zeros(3000, np.int64)
+    model, scores = Model(ranked, counts, 3000, 60), []
+    for _ in range(4):
+        scores.append(model.log10(h, of)[0].sum())
+        model.step(h, of)
+    assert scores == sorted(scores) and scores[-1] > scores[1] + 100
+
+
 def test_lm_rare_tokens_by_join(spark, monkeypatch):
     from marginalia.llm import lm_score
 
