@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 from marginalia.llm.classifier import classify_quality
 from marginalia.llm.decontaminate import decontaminate
 from marginalia.llm.mix import mix
-from marginalia.llm.near_dedup import near_duplicates
+from marginalia.llm.near_dedup import LINK, near_duplicates
 from marginalia.llm.shard import place
 from marginalia.llm.storage import Work
 
+#: Hundredths of Jaccard similarity from which the pipeline's near-dedup stage links documents; op1 has its own threshold.
+SIMILARITY = 80
+
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with the column _key: the doc_id or, of a row without one, a number from 2^62 up, by its text. The stages
@@ -37,10 +41,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, keyed, scored.filter("predicted = 0"))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest doc_id, and one row of it."""
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: int = LINK) -> DataFrame:
+    """One document of each group of near duplicates (linked from ``similarity`` hundredths up) stays, that with the smallest
+    doc_id, and one row of it."""
     keyed = _keyed(docs)
-    marked = Work(spark, "near").cut(near_duplicates(_by_key(keyed)).select("doc_id", "kept"), "marked")
+    marked = Work(spark, "near").cut(near_duplicates(_by_key(keyed), similarity=similarity).select("doc_id", "kept"), "marked")
     kept = _without(docs, keyed, marked.filter(~F.col("kept")))
     again = marked.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_key"))
     if again.isEmpty():
@@ -73,7 +78,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality),
-    ("near-dedup", near_dedup),
+    ("near-dedup", partial(near_dedup, similarity=SIMILARITY)),
     ("decontamination", decontamination),
     ("mixing", mixing),
     ("sharding", sharding),

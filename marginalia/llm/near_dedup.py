@@ -3,7 +3,7 @@
 Two collections of ``SIDE`` sketches are made for a document, each sketch out of ``ROWS`` minimum hashes. Table (i, j)
 is keyed by sketch i of the first collection with sketch j of the second, so SIDE*SIDE tables cost 2*SIDE sketches:
 ``2 * SIDE * ROWS`` = 32 minimum hashes instead of 256. Two documents of similarity s meet in some table with
-probability (1 - (1 - s^ROWS)^SIDE)^2, 0.9999 at the threshold of 0.85.
+probability (1 - (1 - s^ROWS)^SIDE)^2, 0.9999 at the default threshold of 0.85 and 0.9994 at 0.8.
 
 Candidates are verified on full shingle sets. Documents with equal sets are collapsed first, and the members of a bucket
 are compared with one hub B, so a large group of copies costs a star. Two members of different components may still be
@@ -96,10 +96,10 @@ def _sets(words: int, filled):
     return run
 
 
-def _linked(x: Column, y: Column) -> Column:
+def _linked(x: Column, y: Column, similarity: int) -> Column:
     """Whether two sets are similar enough."""
     both = F.size(F.array_intersect(x, y))
-    return F.lit(OF) * both >= F.lit(LINK) * (F.size(x) + F.size(y) - both)
+    return F.lit(OF) * both >= F.lit(similarity) * (F.size(x) + F.size(y) - both)
 
 
 def _sets_of(work: Work, docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -116,7 +116,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b")
 
 
-def _between(work: Work, pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+def _between(work: Work, pairs: DataFrame, sets: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) of members of one hub's group, of different components, that may be linked.
 
     ``pairs`` (a: hub, b: member, linked, n: the member's size) are all members of all hubs.
@@ -136,16 +136,17 @@ def _between(work: Work, pairs: DataFrame, sets: DataFrame, labels: DataFrame) -
     shared = shared.withColumn("left", F.count("*").over(own) - F.row_number().over(order) + 1)
     shared = work.cut(shared.select("a", "item", "b", "n", "linked", "label", "m", "left"), "items")
     u = shared.filter("not linked").select("a", "item", *[F.col(c).alias(f"u_{c}") for c in ("b", "n", "label", "m", "left")])
-    c = F.lit((OF - LINK) / (OF + LINK))
+    c = F.lit((OF - similarity) / (OF + similarity))
     z = shared.filter(F.col("m") - F.col("left") <= F.floor((1 + c) / 2 * F.col("m")) + 1)
     overlap = F.col("m") + F.col("u_m") - c * (F.col("n") + F.col("u_n")) - F.lit(1e-6)
-    near = F.lit(OF) * F.least("n", "u_n") >= F.lit(LINK) * F.greatest("n", "u_n")
+    near = F.lit(OF) * F.least("n", "u_n") >= F.lit(similarity) * F.greatest("n", "u_n")
     met = (F.col("label") != F.col("u_label")) & near & (2 * F.least("left", "u_left") >= overlap)
     return u.join(z, ["a", "item"]).filter(met).select(F.least("b", "u_b").alias("a"), F.greatest("b", "u_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = LINK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text; other columns are ignored).
+    Documents whose shingle sets have a Jaccard similarity of ``similarity`` hundredths or more are linked.
 
     Null, empty and white texts have no shingles: they link with nothing and are kept. Repeated rows form one
     component; rows that share a doc_id count as one document. A row without a doc_id is kept; it has the component
@@ -162,11 +163,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     hubs = rows.groupBy("k").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
     pairs = work.cut(rows.join(hubs, "k").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), "n").distinct(), "pairs")
     sets = _sets_of(work, docs, pairs, words)
-    pairs = work.cut(_with_sets(pairs, sets).select("a", "b", "n", _linked(F.col("x"), F.col("y")).alias("linked")), "pairs")
+    pairs = work.cut(_with_sets(pairs, sets).select("a", "b", "n", _linked(F.col("x"), F.col("y"), similarity).alias("linked")), "pairs")
     links = pairs.filter("linked").select("a", "b")
     labels = components(work, links)
-    more = work.cut(_between(work, pairs, sets, labels), "between")
-    more = work.cut(_with_sets(more, sets).filter(_linked(F.col("x"), F.col("y"))).select("a", "b"), "links")
+    more = work.cut(_between(work, pairs, sets, labels, similarity), "between")
+    more = work.cut(_with_sets(more, sets).filter(_linked(F.col("x"), F.col("y"), similarity)).select("a", "b"), "links")
     if not more.isEmpty():
         labels = components(work, links.unionByName(more))
     work.drop(sets)

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from marginalia.llm.mix import mix
+from marginalia.llm.near_dedup import near_duplicates
 
 from . import corpus
 from .test_decontaminate import brute as contaminated
@@ -50,6 +51,15 @@ def test_stages(spark, tmp_path):
     assert placed.count() == len(data) and placed.columns == [*docs.columns, "slot", "shard"]
 
 
+def test_near_dedup_links_from_four_fifths_up(spark):
+    """Copies with similarities between 0.80 and 0.85 go in the pipeline, though op1 keeps them; less similar ones stay."""
+    w = [f"w{i}" for i in range(104)]  # 100 shingles
+    docs = [(i, " ".join(w[:k] + [f"x{i}_{j}" for j in range(104 - k)]), "en", "a", 0) for i, k in ((0, 104), (1, 94), (2, 90))]  # 90 / 110 and 86 / 114
+    docs = corpus.frame(spark, docs, extra=False)
+    assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near-dedup"](spark, docs, "").orderBy("doc_id").collect()] == [0, 2]
+    assert all(r["kept"] for r in near_duplicates(docs).collect())
+
+
 def test_run(spark, tmp_path):
     data, _ = tables(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
