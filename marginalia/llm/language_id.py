@@ -6,7 +6,8 @@ from the pages themselves), and a prior for the page's host. Host priors are smo
 lean on its address suffix, a suffix's on all pages. Votes are the text posteriors in thousandths, so that sums are
 exact in any order, and grouped aggregations add them up; a page's own vote is taken out of its host's.
 
-The n-gram models are fitted on at most ``SAMPLE`` labelled documents, a documented bound.
+The candidates are all languages that label a document, by primary subtag ('en-US' is 'en'). The n-gram model of each is
+fitted on at most ``SAMPLE`` of its labelled documents, a documented bound.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .kernels import LOWER, U, chunks, lists, mix
 from .storage import Work
 
-SAMPLE, BUCKETS, MOST_LANGUAGES = 4000, 1 << 14, 64
+SAMPLE, BUCKETS = 4000, 1 << 14
 SMOOTHING, TEMPER, SUFFIX_WEIGHT, HOST_WEIGHT, VOTES = 0.5, 0.2, 50.0, 5.0, 1000
 _MARKUP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z0-9#]{1,10};")
 
@@ -59,11 +61,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log probability of each bucket in each language) from labelled documents (doc_id, text, lang)."""
-    known = docs.select("doc_id", F.lower(F.trim(F.col("lang"))).alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and lang <> ''")
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = known.join(F.broadcast(chosen), "doc_id").select("text", "lang")
-    got = rows.mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = got.join(F.broadcast(got.groupBy("lang").agg(F.sum("n").alias("of")).orderBy(F.desc("of"), "lang").limit(MOST_LANGUAGES).select("lang")), "lang").toArrow()
+    primary = F.regexp_extract(F.lower(F.trim(F.col("lang"))), r"^([^-_\s]+)", 1)
+    text = F.col("text").cast("string")
+    known = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("doc_id"), primary.alias("lang"), text.alias("text")).filter("lang is not null and lang <> ''")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count_distinct("doc_id").alias("n")).collect()}  # a row a language
+    if sizes:
+        # of a language with more than twice ``most`` documents only a share is ranked, which is at least ``most`` but for chance
+        share = F.create_map(*[x for k in sizes for x in (F.lit(k), F.lit(min(1.0, 2 * most / sizes[k])))])
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = known.select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most).drop("place")
+    rows = known.join(chosen, ["lang", "doc_id"], "left_semi").select("text", "lang")
+    got = rows.mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got["lang"].to_pylist()))
     table = np.full((max(len(langs), 1), BUCKETS), SMOOTHING)
     place = {x: i for i, x in enumerate(langs)}

@@ -202,6 +202,18 @@ def test_language_id(spark):
     assert all(0 < r["confidence"] <= 1 for r in got)
 
 
+def test_language_id_rare_and_many_languages(spark):
+    """A language of one document among many, a 65th language, and tags with a region."""
+    rng = random.Random(15)
+    alphabet = [chr(0x4E00 + i) for i in range(700)]
+    own = {f"q{chr(97 + k // 26)}{chr(97 + k % 26)}": alphabet[10 * k : 10 * k + 10] for k in range(70)}
+    text = lambda lang: " ".join("".join(rng.choices(own[lang], k=4)) for _ in range(20))
+    docs = [(i, text("qaa"), "qaa" if i % 2 else "QAA-XX") for i in range(300)] + [(1000 + i, text(k), k) for i, k in enumerate(own) if k != "qaa"]
+    rows = [(i, f"https://{k}.example/", f"<html lang={k}><p>{text(k)}</p>") for i, k in enumerate(own)]
+    got = identify_languages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), 20).collect()
+    assert {r["page_id"]: r["text_lang"] for r in got} == dict(enumerate(own)) and {r["text_lang"] for r in got} == set(own)
+
+
 def test_language_id_empty(spark):
     docs, rows = pages()
     table = lambda x: spark.createDataFrame([r[:3] for r in x], "page_id bigint, url string, html string")
