@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What a frontmatter block, a link and a folded scalar look like. No pattern here repeats a group over lines:
+# the JVM matches such groups by recursion, and a long block would exhaust its stack.
 FENCED = r"(?s)^---\r?\n(.*?)\r?\n---"
-WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
+LINK_END, LINK_START = "]]", r"(?s)\[\[([^|]++)(?:\|.++)?$"
 FOLDED_MARK = r"[>|][-+0-9]*"
+#: The line end before a line that is neither indented nor empty.
+NEXT_FIELD = r"\n(?=[^ \t\r\n])"
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -72,8 +78,11 @@ def fields(raw: Column, prefix: str, strict_values: bool = True) -> Column:
 
 
 def _last_wins(keys: Column, values: Column) -> Column:
-    pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
-    last = F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), x["key"]))
+    """A map of the pairs; of equal keys the last pair counts. Sorting by key and place keeps many keys from being compared
+    each with each."""
+    pairs = F.array_sort(F.arrays_zip(keys.alias("key"), F.sequence(F.lit(1), F.size(keys)).alias("place"), values.alias("value")))
+    beside = F.arrays_zip(pairs.alias("x"), F.slice(pairs, 2, F.size(keys)).alias("next"))
+    last = F.transform(F.filter(beside, lambda p: ~p["x"]["key"].eqNullSafe(p["next"]["key"])), lambda p: F.struct(p["x"]["key"], p["x"]["value"]))
     return F.when(raw_exists(keys), F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>"))
 
 
@@ -101,12 +110,13 @@ def list_value(value: Column) -> Column:
 def gist(raw: Column, prefix: str) -> Column:
     """The gist of a frontmatter: of a block (``>``, ``|`` or nothing after the colon) the indented lines joined by
     spaces up to the first that isn't indented, else the rest of the line."""
-    inline = F.trim(F.regexp_extract(raw, rf"(?m)^{prefix}gist:[ \t]*(.*)$", 1))
-    block = F.regexp_extract(raw, rf"(?m)^{prefix}gist:[ \t]*[>|]?[ \t]*\r?\n((?:(?:[ \t]+[^\n]*|[ \t]*\r?)(?:\n|\z))*)", 1)
-    lines = F.filter(F.transform(F.split(block, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    folded = F.array_join(lines, " ")
+    after = F.get(F.split(raw, rf"(?m)^{prefix}gist:", 2), 1)
+    own = F.get(F.split(after, NEXT_FIELD, 2), 0)
+    inline = F.trim(F.regexp_extract(own, r"^[ \t]*(.*)", 1))
+    lines = F.transform(F.slice(F.split(own, r"\r?\n"), 2, F.char_length(own) + 1), lambda x: F.trim(x))
+    folded = F.array_join(F.filter(lines, lambda x: x != ""), " ")
     value = F.when(inline.isin(">", "|", ""), folded).otherwise(unquote(inline))
-    return F.when(F.regexp_like(raw, F.lit(rf"(?m)^{prefix}gist:")) & (value != ""), value)
+    return F.when(value != "", value)
 
 
 def block_count(content: Column) -> Column:
@@ -121,13 +131,17 @@ def folded_fields(raw: Column, prefix: str) -> Column:
 
 
 def wikilinks(content: Column) -> Column:
-    """The trimmed targets of ``[[target]]`` and ``[[target|label]]``, repeats kept."""
-    return F.transform(F.regexp_extract_all(content, F.lit(WIKILINK), 1), lambda x: F.trim(x))
+    """The trimmed targets of ``[[target]]`` and ``[[target|label]]``, repeats kept. What stands between a link's end and the
+    last ``]`` before it can hold one link, so that unclosed brackets are each looked at once."""
+    parts = F.split(content, re.escape(LINK_END))
+    ended = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.regexp_extract(F.substring_index(x, "]", -1), LINK_START, 1))
+    return F.transform(F.filter(ended, lambda x: x != ""), lambda x: F.trim(x))
 
 
 def completion_prefix(line: Column) -> Column:
     """What stands after an open ``[[`` at the end of a line, if it is two characters or more: the start of a target."""
-    found = F.regexp_extract(line, r"\[\[([^\]]*?)$", 1)
+    open_end = F.substring_index(F.regexp_replace(line, r"\r?\n\z", ""), "]", -1)
+    found = F.get(F.split(open_end, r"\[\[", 2), 1)
     return F.when(F.char_length(found) >= 2, found)
 
 

@@ -24,20 +24,24 @@ ALIASES = {
 RECOMMENDED = {"type": ["note", "term", "project", "log"], "area": ["work", "tech", "life", "career", "learning", "reference"]}
 MOST_CLEAN = {"type": 10, "area": 15}
 HIGH, DOMINANT, LONG = 15, 10, 100
+#: The line end before a line that doesn't continue the one before it.
+CONTINUED = r"\n(?!  )"
 
 
 def scan_fields(notes: DataFrame) -> DataFrame:
     """The fields of notes (path, content): ``key: value`` lines of the frontmatter with inline lists, and block values."""
-    raw = F.regexp_extract("content", FENCED, 1)
-    line = r"(?m)^([A-Za-z_][A-Za-z0-9_]*):[ \t]*(.*(?:\n  [^\n]*)*)"
-    rows = notes.select("path", F.explode(F.arrays_zip(F.regexp_extract_all(raw, F.lit(line), 1).alias("field"), F.regexp_extract_all(raw, F.lit(line), 2).alias("value"))).alias("x")).select("path", "x.*")
-    head = F.trim(F.element_at(F.split("value", "\n"), 1))
-    block = F.array_join(F.transform(F.slice(F.split("value", "\n"), 2, F.size(F.split("value", "\n"))), lambda x: F.trim(x)), " ")
+    lines = F.split(F.regexp_extract("content", FENCED, 1), CONTINUED)
+    line = r"(?s)^([A-Za-z_][A-Za-z0-9_]*):[ \t]*(.*)"
+    rows = notes.select("path", F.posexplode(F.filter(lines, lambda x: F.regexp_like(x, F.lit(line)))).alias("place", "x"))
+    rows = rows.select("path", "place", F.regexp_extract("x", line, 1).alias("field"), F.regexp_extract("x", line, 2).alias("value"))
+    parts = F.split("value", r"\r?\n")
+    head = F.trim(F.get(parts, 0))
+    block = F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.trim(x)), " ")
     value = F.when(head.isin(">", "|"), block).otherwise(F.regexp_replace(head, "[\"']", ""))
     items = F.filter(F.transform(F.split(F.regexp_extract(head, r"^\[([^\]]*)\]", 1), ","), unquote), lambda v: v != "")
     kind = F.when(F.startswith(head, F.lit("[")), "array").when(head.isin("true", "false"), "boolean").when(F.regexp_like(head, F.lit(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$")), "number").otherwise("string")
-    rows = rows.select("path", "field", kind.alias("kind"), F.when(kind == "array", items).otherwise(F.array(value)).alias("values"))
-    return rows.groupBy("path", "field").agg(F.last("kind").alias("kind"), F.last("values").alias("values"))
+    rows = rows.select("path", "place", "field", kind.alias("kind"), F.when(kind == "array", items).otherwise(F.array(value)).alias("values"))
+    return rows.groupBy("path", "field").agg(F.max_by("kind", "place").alias("kind"), F.max_by("values", "place").alias("values"))
 
 
 def value_counts(fields: DataFrame) -> DataFrame:

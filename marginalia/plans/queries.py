@@ -51,6 +51,11 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
     return src.corpus(_table(spark, d, "documents"))
 
 
+def _corpus_files(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, path, text) of the documents, whole."""
+    return _table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+
+
 def _notes(spark: SparkSession, d: str) -> DataFrame:
     """The documents as markdown, parsed again."""
     files = src.rendered(_corpus(spark, d)).select("doc_id", "path", "name", "content", "modified")
@@ -89,6 +94,12 @@ def bm25_df_stats(spark, d):
     return search.df_stats(_corpus(spark, d))
 
 
+@query(f"WITH {sql.CORPUS}, {sql.bm25(TERMS, {'body': 1.0})} {CONTEXT} hits")
+def bm25_body(spark, d):
+    """All hits in the whole texts."""
+    return _short(search.bm25(_corpus(spark, d), WORDS, None, boosts={"body": 1.0}, columns={"body": F.col("body")}), "path")
+
+
 @query(
     f"""WITH {sql.CORPUS}, s AS (SELECT path, (CASE WHEN contains(lower(gist), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(gist), 'tion') THEN 1 ELSE 0 END + CASE WHEN contains(lower(gist), 'zebra') THEN 1 ELSE 0 END) / 3.0 AS score FROM corpus)
 {CONTEXT} (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, path LIMIT 50)"""
@@ -610,10 +621,21 @@ def migration_review(spark, d):
     return profile.review(_plan(spark, d)[1], health).select("type_changes", "area_changes", "new_frontmatter", "total")
 
 
-@query("SELECT 'see [[' || left(text, doc_id % 4) AS line, CASE WHEN length(left(text, doc_id % 4)) >= 2 AND left(text, doc_id % 4) NOT LIKE '%]%' THEN left(text, doc_id % 4) END AS prefix FROM documents")
+@query(r"""WITH x AS (SELECT doc_id, regexp_extract(regexp_replace('see [[' || text, '\r?\n\z', ''), '\[\[([^\]]*)\z', 1) AS found FROM documents)
+SELECT doc_id, CASE WHEN length(found) >= 2 THEN found END AS prefix FROM x""")
 def completion_prefixes(spark, d):
-    line = F.concat(F.lit("see [["), F.left("text", (F.col("doc_id") % 4).cast("int")))
-    return _table(spark, d, "documents").select(line.alias("line"), tx.completion_prefix(line).alias("prefix"))
+    line = F.concat(F.lit("see [["), F.col("text"))
+    return _table(spark, d, "documents").select("doc_id", tx.completion_prefix(line).alias("prefix"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: trim(x)) AS l FROM documents)
+SELECT doc_id, 'note' AS type, nullif(array_to_string(list_filter(l, lambda x: x <> ''), ' '), '') AS gist, CAST(length(array_to_string(l, ' ')) AS INTEGER) AS scanned FROM x""")
+def fm_long_blocks(spark, d):
+    """Whole texts, up to the longest, as folded gists: through the parser and through the scanner of unknown fields."""
+    block = F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n  ")
+    files = _corpus_files(spark, d).withColumn("content", F.concat(F.lit("---\nnote_gist: >\n  "), block, F.lit("\nnote_type: note\n---\nbody\n")))
+    held = profile.scan_fields(files).filter("field = 'note_gist'").select("path", F.char_length(F.get("values", F.lit(0))).alias("scanned"))
+    return src.parse_notes(files).join(held, "path").select("doc_id", "type", "gist", "scanned")
 
 
 # Index upkeep and saving -----------------------------------------------------------------------------------------------

@@ -32,7 +32,7 @@ def tokens(text: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[\s\pZ\x0b\x85[:punct:]]+'), lambda t: t <> '')"
 
 
-FIELDS = {"title": TITLE, "gist": "gist", "tags": "array_to_string(tags, ' ')"}
+FIELDS = {"title": TITLE, "gist": "gist", "tags": "array_to_string(tags, ' ')", "body": "body"}
 
 
 def bm25(query_terms: list[str], boosts: dict[str, float], name: str = "hits") -> str:

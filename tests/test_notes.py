@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.config import NotesConfig
 from marginalia.functions import text as tx
 from marginalia.operators import audit as au
-from marginalia.operators import listing, save, sync
+from marginalia.operators import listing, profile, save, sync
 from marginalia.sources import notes as src
 
 ALPHA = "---\nnote_type: note\nnote_status: active\nnote_area: work\nnote_gist: Work note gist for smoke tests.\nnote_tags: [alpha, demo]\n---\n\n# Alpha\n\nLinks to [[beta]].\n"
@@ -82,6 +82,37 @@ def test_frontmatter_values(spark):
     assert n.orderBy("name").select(tx.body(F.col("content"))).first()[0] == "body"
 
 
+LINES, HEAD = 100_000, "---\nnote_type: note\nnote_gist: g\n---\n"
+
+
+@pytest.mark.parametrize(
+    "content, gist, n_fields, n_links",
+    [
+        ("---\nnote_gist: >\n" + "  word\n" * LINES + "note_type: note\n---\n[[x]]", 5 * LINES - 1, 2, 1),
+        ("---\n" + "".join(f"note_k{i}: v\n" for i in range(LINES)) + "note_type: note\n---\n[[x]]", None, LINES + 1, 1),
+        ("---\n" + "note_k: v\n" * LINES + "note_type: note\n---\n[[x]]", None, 2, 1),
+        ("---\nnote_gist: " + "x" * 10_000_000 + "\nnote_type: note\n---\n[[x]]", 10_000_000, 2, 1),
+        (HEAD + "word [[x]]\n" * 900_000, 1, 2, 900_000),
+        (HEAD + "[[" * 5_000_000, 1, 2, 0),
+        (HEAD + "[[a|" * 1_000_000 + "b]]", 1, 2, 1),
+    ],
+    ids=["block", "fields", "repeats", "line", "body", "open", "labels"],
+)
+def test_long_notes(spark, content, gist, n_fields, n_links):
+    """Long notes are parsed in linear time and without recursion."""
+    files = spark.createDataFrame([("a.md", "a", content, datetime(2024, 6, 1))], "path string, name string, content string, modified timestamp")
+    row = src.parse_notes(files).select("type", F.char_length("gist").alias("gist"), F.size("fields").alias("n")).first()
+    assert tuple(row) == ("note", gist, n_fields)
+    assert profile.scan_fields(files).count() == n_fields and src.links(files).count() == n_links
+    row = files.select(F.char_length(tx.body(F.col("content"))).alias("b"), tx.block_count(F.col("content")).alias("n"), tx.completion_prefix(F.col("content")).alias("c")).first()
+    assert row["b"] == len(content.split("\n---\n", 1)[1]) and row["n"] == 1 and (row["c"] is None) == ("]" in content)
+
+
+@pytest.mark.parametrize("text, found", [("see [[", None), ("see [[a", None), ("see [[ab", "ab"), ("[[x]] [[ab [[c\n", "ab [[c"), ("[[ab]", None), ("no", None), (None, None)])
+def test_completion_prefix(spark, text, found):
+    assert spark.createDataFrame([(text,)], "t string").select(tx.completion_prefix(F.col("t"))).first()[0] == found
+
+
 def test_links_and_titles(spark):
     df = spark.createDataFrame([("[[a]] ![[b|c]] [[ d ]] [[]] [[e#h]]", "x/y/My-note_1.md.md")], "content string, path string")
     row = df.select(tx.wikilinks(F.col("content")).alias("l"), tx.title_from_path(F.col("path")).alias("t"), tx.filename_text(F.col("path")).alias("f"), tx.hidden(F.col("path")).alias("h"), tx.ellipsis(F.col("path"), 5).alias("e"), tx.percent(F.lit(0.256)).alias("p")).first()
