@@ -13,6 +13,8 @@ from .kernels import WHITE, Tokens, chunks, grams
 REPEAT = 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+#: The bytes that begin a character in UTF-8.
+_BEGINS = (np.arange(256) & 0xC0) != 0x80
 _WHITE_BYTES = bytes(np.flatnonzero(WHITE).tolist())
 
 
@@ -59,7 +61,7 @@ def counted(column: pa.Array) -> Iterator[Counts]:
         text = t.data.tobytes()
         yield Counts(
             t, h,
-            t.bytes_per_text(t.inside & ((t.data & 0xC0) != 0x80)), t.bytes_per_text(SYMBOLS[t.data]),
+            t.bytes_per_text(t.inside & _BEGINS[t.data]), t.bytes_per_text(SYMBOLS[t.data]),
             np.array([dup_lines(text[t.at[i] : t.at[i + 1]]) for i in range(len(words))], np.int64),
             np.array([repeat_words(w) for w in words], np.int64), np.array([len(np.unique(w)) for w in words], np.int64),
         )
@@ -93,7 +95,8 @@ def statistics(c: Counts) -> np.ndarray:
     spread = np.sqrt(np.maximum(0, np.bincount(t.doc, length * length, len(n)) / words - mean * mean))
     share = lambda flags: t.bytes_per_text(flags[t.data]) / chars
     last, first = t.data[t.ends - 1], t.data[t.starts]
-    marks = np.concatenate([[0], np.cumsum(_PUNCT[t.data])])
+    marks = np.zeros(len(t.data) + 1, np.int32)
+    np.cumsum(_PUNCT[t.data], out=marks[1:])
     only = (marks[t.ends] - marks[t.starts]) == length
     hist = np.stack([np.bincount(t.data[t.at[i] : t.at[i + 1]], minlength=256) for i in range(len(n))]) if len(n) else np.zeros((0, 256))
     p = hist / chars[:, None]

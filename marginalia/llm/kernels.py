@@ -1,8 +1,12 @@
 """Vectorised text kernels: whole Arrow batches are tokenised and hashed with numpy, never word by word.
 
 A chunk is a run of rows of at most ``CHUNK`` bytes of text (one longer text is a chunk by itself), which bounds the
-memory of a Python worker whatever the batch size of the session. Words are maximal runs of bytes other than
-``\\x20 \\x09-\\x0D``; a null text is an empty text.
+memory of a Python worker whatever the batch size of the session. Arrays with a number for each byte are made for blocks
+of ``CHUNK`` bytes, so that a very long text costs a few bytes for each of its own and some numbers for each of its words.
+Words are maximal runs of bytes other than ``\\x20 \\x09-\\x0D``; a null text is an empty text.
+
+A word of at most ``LONG`` bytes has the hash of a polynomial in an odd base modulo 2^64. Such sums can be equal for long
+words of a special form, for which a thousand bytes are needed, so longer words go through a hash without one.
 """
 
 from __future__ import annotations
@@ -11,8 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-CHUNK = 1 << 19
+CHUNK, LONG = 1 << 19, 64
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -23,22 +28,15 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U), np.ones(1, U))
+
+def _powers(base: int) -> np.ndarray:
+    x = np.full(CHUNK + LONG + 1, base, U)
+    x[0] = 1
+    return np.cumprod(x, dtype=U)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the hash base and of its inverse modulo 2^64, at least ``n`` of each."""
-    global _powers
-    if len(_powers[0]) < n:
-        grown = []
-        for base in (_BASE, _BASE_INVERSE):
-            x = np.full(max(n, CHUNK + 1), base, U)
-            x[0] = 1
-            grown.append(np.cumprod(x, dtype=U))
-        if n > 4 * CHUNK:
-            return grown[0], grown[1]
-        _powers = (grown[0], grown[1])
-    return _powers
+#: The powers of the hash base and of its inverse modulo 2^64.
+UP, DOWN = _powers(_BASE), _powers(_BASE_INVERSE)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -90,19 +88,25 @@ class Tokens:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        if not len(self.starts):
-            return np.zeros(0, U)
-        up, down = powers(n + 1)
-        sums = np.zeros(n + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * up[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U))
+        out, block, lo = np.empty(len(self.starts), U), len(UP) - LONG - 1, 0
+        while lo < len(out):
+            base = self.starts[lo]
+            hi = int(np.searchsorted(self.starts, base + block))
+            part = self.data[base : base + block + LONG].astype(U)
+            part += U(1)
+            part *= UP[: len(part)]
+            sums = np.zeros(len(part) + 1, U)
+            np.cumsum(part, out=sums[1:])
+            s, e = self.starts[lo:hi] - base, np.minimum(self.ends[lo:hi] - base, len(part))
+            out[lo:hi] = mix((sums[e] - sums[s]) * DOWN[s] + (e - s).astype(U))
+            lo = hi
+        for i in np.flatnonzero(self.ends - self.starts > LONG):
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes())
+        return out
 
     def bytes_per_text(self, flags: np.ndarray) -> np.ndarray:
         """How many flagged bytes each text has."""
-        total = np.zeros(len(flags) + 1, np.int64)
-        np.cumsum(flags, out=total[1:])
-        return total[self.at[1:]] - total[self.at[:-1]]
+        return np.array([np.count_nonzero(flags[a:b]) for a, b in zip(self.at[:-1], self.at[1:], strict=True)], np.int64)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -61,3 +62,30 @@ def test_bloom_has_no_false_negatives(spark):
     places = np.asarray(rows["p"].combine_chunks().flatten())
     passed = np.asarray(rows["id"])[Bloom.passing(bloom.words.value, places)]
     assert set(range(0, 3000, 3)) <= set(passed.tolist()) and len(passed) < 1200
+
+
+def test_long_words_of_special_form_differ():
+    """Two words of Thue-Morse form have equal polynomials in any odd base modulo 2^64."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    words = ["".join("ab"[x ^ turn] for x in bits) for turn in (0, 1)] + ["x" * n for n in (63, 64, 65, 66)]
+    column = pa.array([" ".join(words)])
+    ((_, _, data, at),) = chunks(column)
+    assert len(set(Tokens(data, at).hashes().tolist())) == len(words)
+
+
+def test_hashes_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(6)
+    text = " ".join("w" * rng.randrange(1, 90) + str(rng.randrange(50)) for _ in range(3000))
+    whole = Tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])).hashes()
+    monkeypatch.setattr(kernels, "UP", kernels.UP[: 256 + kernels.LONG + 1])
+    assert (Tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])).hashes() == whole).all()
+
+
+def test_very_long_texts_take_bounded_memory():
+    """200 MB: some bytes for each of the text, not one number or more for each."""
+    text = np.frombuffer(("some words of a text " * (10 << 20))[: 200 << 20].encode(), np.uint8)
+    tracemalloc.start()
+    n = len(Tokens(text, np.array([0, len(text)])).hashes())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 40 << 20 and peak < 12 * len(text)
