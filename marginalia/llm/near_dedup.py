@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .components import components
-from .kernels import Tokens, U, chunks, grams, lists, list_values, mix, powers, signed
-from .storage import Bloom, Work
+from .kernels import UP, Tokens, U, chunks, grams, lists, list_values, mix, signed
+from .storage import Bloom, Work, join_hot
 
 WORDS, SIDE, ROWS = 5, 8, 2
 LINK, OF = 85, 100
@@ -37,7 +37,7 @@ _random = np.random.default_rng(20240501)
 _A = _random.integers(0, 1 << 63, _HASHES, dtype=np.int64).astype(U) * U(2) + U(1)
 _B = _random.integers(0, 1 << 63, _HASHES, dtype=np.int64).astype(U)
 SKETCH = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"
-BLOCK = 1 << 16
+BLOCK, MOST_SEEN = 1 << 16, 1 << 17
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -66,14 +66,13 @@ def _minima(values: np.ndarray) -> np.ndarray:
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up = powers(ROWS + 1)[0]
         for batch in batches:
             n, digests, keys = [], [], []
             for values in shingle_sets(batch.column(1), words):
                 n.append(len(values))
-                digests.append((mix(values + U(7)).sum(dtype=U), mix(values * _A[0]).sum(dtype=U)) if len(values) else (U(0), U(0)))
+                digests.append(_digest(values))
                 if len(values):
-                    keys.append((mix(_minima(values)).reshape(2 * SIDE, ROWS) * up[1 : ROWS + 1]).sum(axis=1, dtype=U))
+                    keys.append((mix(_minima(values)).reshape(2 * SIDE, ROWS) * UP[1 : ROWS + 1]).sum(axis=1, dtype=U))
             flat = np.concatenate(keys) if keys else np.zeros(0, U)
             d = np.array(digests, U).reshape(-1, 2)
             lengths = np.where(np.array(n, np.int64) > 0, 2 * SIDE, 0)
@@ -82,16 +81,30 @@ def _sketches(words: int):
     return run
 
 
+def _digest(values: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two sums that tell sets apart."""
+    return mix(values + U(7)).sum(dtype=U), mix(values * _A[0]).sum(dtype=U)
+
+
 def _sets(words: int, filled):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
             places, _ = list_values(batch.column(2))
             batch = batch.filter(pa.array(Bloom.passing(filled.value, places)))
             for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                sets = list(shingle_sets(part.column(1), words))
+                part, kept, sets, digests = batch.slice(k, 256), [], [], []
+                for i, values in enumerate(shingle_sets(part.column(1), words)):
+                    own = (part.column(0)[i].as_py(), *_digest(values))
+                    if own not in seen:  # repeated rows make one set a partition
+                        seen.add(own)
+                        kept.append(i)
+                        sets.append(values)
+                        digests.append(own[1])
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
                 flat = np.concatenate(sets) if sets else np.zeros(0, U)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists(signed(flat), [len(x) for x in sets])], ["id", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), pa.array(signed(np.array(digests, U))), lists(signed(flat), [len(x) for x in sets])], ["id", "d", "items"])
 
     return run
 
@@ -103,11 +116,12 @@ def _linked(x: Column, y: Column, similarity: int) -> Column:
 
 
 def _sets_of(work: Work, docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(id, items) of the documents in ``pairs`` (a, b). Only their sets are made and moved."""
+    """(id, items) of the documents in ``pairs`` (a, b), one row for each id and set. Only their sets are made and moved."""
     ids = work.cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "ids")
     bloom = Bloom(ids, "id")
     texts = docs.select("doc_id", "text", bloom.places("doc_id").alias("places"))
-    return work.cut(texts.mapInArrow(_sets(words, bloom.words), "id bigint, items array<bigint>").join(ids, "id", "left_semi"), "sets")
+    sets = texts.mapInArrow(_sets(words, bloom.words), "id bigint, d bigint, items array<bigint>").join(ids, "id", "left_semi")
+    return work.cut(sets.dropDuplicates(["id", "d"]).select("id", "items"), "sets")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -119,7 +133,8 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _between(work: Work, pairs: DataFrame, sets: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) of members of one hub's group, of different components, that may be linked.
 
-    ``pairs`` (a: hub, b: member, linked, n: the member's size) are all members of all hubs.
+    ``pairs`` (a: hub, b: member, linked, n: the member's size) are all members of all hubs. Only what members of
+    different components share can make a pair, so items that one component alone has are left out before pairs are made.
     """
     members = pairs.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     mixed = members.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("linked").alias("all")).filter("lo <> hi and not all").select("a")
@@ -128,20 +143,22 @@ def _between(work: Work, pairs: DataFrame, sets: DataFrame, labels: DataFrame, s
     differ = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
     items = _with_sets(members, sets).select("a", "b", "n", "linked", "label", differ.alias("e"))
     items = work.cut(items.select("a", "b", "n", "linked", "label", F.size("e").alias("m"), F.explode("e").alias("item")), "items")
-    rarity = items.groupBy("a", "item").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = items.join(rarity, ["a", "item"])
-    # items that one member alone has come first and meet none: the place of the others is counted from there
+    rarity = items.groupBy("a", "item").agg(F.count("*").alias("rows"), F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    shared = join_hot(items, rarity.filter("lo <> hi").drop("lo", "hi"), ["a", "item"], "rows", items.count())
+    # items left out come first in the order and make no pair: the place of the others is counted from there
     order = W.partitionBy("a", "b").orderBy("df", "item")
     own = W.partitionBy("a", "b")
     shared = shared.withColumn("left", F.count("*").over(own) - F.row_number().over(order) + 1)
-    shared = work.cut(shared.select("a", "item", "b", "n", "linked", "label", "m", "left"), "items")
+    shared = work.cut(shared.select("a", "item", "b", "n", "linked", "label", "m", "left"), "shared")
     u = shared.filter("not linked").select("a", "item", *[F.col(c).alias(f"u_{c}") for c in ("b", "n", "label", "m", "left")])
     c = F.lit((OF - similarity) / (OF + similarity))
     z = shared.filter(F.col("m") - F.col("left") <= F.floor((1 + c) / 2 * F.col("m")) + 1)
     overlap = F.col("m") + F.col("u_m") - c * (F.col("n") + F.col("u_n")) - F.lit(1e-6)
     near = F.lit(OF) * F.least("n", "u_n") >= F.lit(similarity) * F.greatest("n", "u_n")
     met = (F.col("label") != F.col("u_label")) & near & (2 * F.least("left", "u_left") >= overlap)
-    return u.join(z, ["a", "item"]).filter(met).select(F.least("b", "u_b").alias("a"), F.greatest("b", "u_b").alias("b")).distinct()
+    found = work.cut(u.join(z, ["a", "item"]).filter(met).select(F.least("b", "u_b").alias("a"), F.greatest("b", "u_b").alias("b")).distinct(), "between")
+    work.drop(members, items, shared)
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = LINK) -> DataFrame:
@@ -166,7 +183,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = LINK)
     pairs = work.cut(_with_sets(pairs, sets).select("a", "b", "n", _linked(F.col("x"), F.col("y"), similarity).alias("linked")), "pairs")
     links = pairs.filter("linked").select("a", "b")
     labels = components(work, links)
-    more = work.cut(_between(work, pairs, sets, labels, similarity), "between")
+    more = _between(work, pairs, sets, labels, similarity)
     more = work.cut(_with_sets(more, sets).filter(_linked(F.col("x"), F.col("y"), similarity)).select("a", "b"), "links")
     if not more.isEmpty():
         labels = components(work, links.unionByName(more))

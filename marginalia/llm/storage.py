@@ -1,4 +1,5 @@
-"""Tables that cut lineage, in the folder that all executors share, and a Bloom filter of bounded size."""
+"""Tables that cut lineage, in the folder that all executors share, joins on keys that may be hot, and a Bloom filter of
+bounded size."""
 
 from __future__ import annotations
 
@@ -14,10 +15,13 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, one under the temporary folder."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset one under the temporary folder, if the driver is the only
+    machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
         import shutil
@@ -49,6 +53,23 @@ class Work:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is hot if more than this part of all rows have it, so there are fewer hot keys than this number.
+MOST_HOT = 4096
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str, total: int) -> DataFrame:
+    """The inner join of written ``rows`` with a ``table`` of one row a key, in which ``weight`` says how many of the ``total``
+    rows have the key. The few hot keys are broadcast, so that their rows stay where they are; no other key holds more
+    than one in MOST_HOT rows. Rows without a key join nothing; the column ``weight`` is dropped."""
+    on = [key] if isinstance(key, str) else key
+    hot, more = F.col(weight) * MOST_HOT > F.lit(total), [c for c in table.columns if c not in (*on, weight)]
+    near = F.broadcast(table.filter(hot).select(*on, *more, F.lit(True).alias("_hot")))
+    marked = rows.join(near, on, "left")
+    kept = [*on, *[c for c in rows.columns if c not in on]]
+    rest = marked.filter("_hot is null").select(*kept).join(table.filter(~hot).select(*on, *more), on)
+    return marked.filter("_hot").select(*kept, *more).unionByName(rest.select(*kept, *more))
+
+
 MAX_BITS = 1 << 26
 
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from marginalia.llm import storage
 from marginalia.llm.components import components
 from marginalia.llm.near_dedup import near_duplicates
 from marginalia.llm.storage import Work
@@ -63,6 +64,17 @@ def test_variants_of_one_text(spark, seed):
     check(spark, [(i, t, "en", "a", 0) for i, t in enumerate(out)])
 
 
+def test_second_template_and_repeats(spark):
+    """Copies of a template that isn't linked with its hub make no pairs with each other again; repeated rows make no more
+    sets than one."""
+    rng = random.Random(8)
+    base = corpus.words(rng, 300, 10**9)
+    second = base[:40] + corpus.words(rng, 30, 10**9) + base[70:]
+    data = [(0, " ".join(base)), (1, " ".join(corpus.edited(rng, base, 1)))] + [(2 + i, " ".join(corpus.edited(rng, second, 2))) for i in range(120)]
+    data += [data[0]] * 300 + [data[1]] * 300
+    check(spark, [(*r, "en", "a", 0) for r in data])
+
+
 def test_empty_table(spark):
     assert near_duplicates(corpus.frame(spark, [])).collect() == []
 
@@ -83,3 +95,12 @@ def test_components(spark):
     got = dict(map(tuple, components(Work(spark, "test"), spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
     for node in parent:
         assert got.get(node, node) == find(node)
+
+
+def test_hot_and_other_keys_join_alike(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2, 3, None] * 5)], "k bigint, v bigint")
+    table = spark.createDataFrame([(1, 50, "a"), (2, 5, "b"), (3, 5, "c"), (4, 0, "d")], "k bigint, n bigint, x string")
+    expected = sorted(map(tuple, rows.join(table.drop("n"), "k").collect()))
+    for most in (1, 2, 4096):
+        monkeypatch.setattr(storage, "MOST_HOT", most)
+        assert sorted(map(tuple, storage.join_hot(rows, table, "k", "n", 65).collect())) == expected and len(expected) == 60
