@@ -21,42 +21,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .kernels import LOWER, U, chunks, lists, mix
-from .storage import Work
+from .kernels import CHUNK, LOWER, U, chunks, lists, mix
+from .storage import Work, join_hot
 
 SAMPLE, BUCKETS = 4000, 1 << 14
 SMOOTHING, TEMPER, SUFFIX_WEIGHT, HOST_WEIGHT, VOTES = 0.5, 0.2, 50.0, 5.0, 1000
-_MARKUP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z0-9#]{1,10};")
-
-
-def ngrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each run of two and of three bytes inside a text, ASCII letters lower-cased, and its text."""
-    d, of = LOWER[data[at[0] : at[-1]]].astype(U), np.repeat(np.arange(len(at) - 1), np.diff(at))
-    buckets, texts = [], []
-    for k, salt in ((2, U(0xA54FF53A5F1D36F1)), (3, U(0x510E527FADE682D1))):
-        n = max(len(d) - k + 1, 0)
-        run = np.zeros(n, U)
-        for j in range(k):
-            run = (run << U(8)) | d[j : n + j]
-        whole = of[:n] == of[k - 1 :] if n else np.zeros(0, bool)
-        buckets.append((mix(run[whole] ^ salt) & U(BUCKETS - 1)).astype(np.int64))
-        texts.append(of[:n][whole])
-    return np.concatenate(buckets), np.concatenate(texts)
+_MARKUP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*+>|<!--.*?-->|<[^>]*>|&[a-z0-9#]{1,10};")
+_BLOCK, _COMMENT_END, _TAG_END, _REFERENCE = re.compile(rb"(?i)<(script|style)\b"), re.compile(b"-->"), re.compile(b">"), re.compile(rb"(?i)&[a-z0-9#]{1,10};")
+_BLOCK_END = {x: re.compile(rb"(?i)</" + x + rb"\s*+>") for x in (b"script", b"style")}
+#: An end of a block with something between its name and its bracket, which is none.
+_LOOSE_END = re.compile(rb"</(?:script|style)\s*+[^>\s]")
+
+
+def ngrams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bucket of each run of two and of three bytes inside a text, ASCII letters lower-cased, and its text; in blocks."""
+    d, ends = data[at[0] : at[-1]], at[1:] - at[0]
+    for lo in range(0, len(d), CHUNK):
+        part = LOWER[d[lo : lo + CHUNK + 2]].astype(U)
+        of = np.searchsorted(ends, np.arange(lo, lo + len(part)), "right")
+        for k, salt in ((2, U(0xA54FF53A5F1D36F1)), (3, U(0x510E527FADE682D1))):
+            n = max(min(len(part) - k + 1, CHUNK), 0)
+            run = np.zeros(n, U)
+            for j in range(k):
+                run = (run << U(8)) | part[j : n + j]
+            whole = of[:n] == of[k - 1 : k - 1 + n]
+            yield (mix(run[whole] ^ salt) & U(BUCKETS - 1)).astype(np.int64), of[:n][whole]
+
+
+def _closed(html: bytes) -> bool:
+    """Whether each markup that begins also ends, so that a search for its end never runs through the rest in vain."""
+    low = html.lower()
+    ends = [(b"<!--", b"-->"), (b"<script", b"</script"), (b"<style", b"</style"), (b"<", b">")]
+    return all(low.rfind(begin) <= low.rfind(end) for begin, end in ends) and not _LOOSE_END.search(low)
 
 
 def visible(html: str | None) -> bytes:
-    """The text of a page without scripts, styles, comments, tags and character references."""
-    return _MARKUP.sub(b" ", (html or "").encode())
+    """The text of a page without scripts, styles, comments, tags and character references, in time linear in its length:
+    what is opened and never closed is looked for once."""
+    page = (html or "").encode()
+    if _closed(page):
+        return _MARKUP.sub(b" ", page)
+    out, at, gone = [], 0, set()
+
+    def end_of(begin: int, name: bytes, pattern: re.Pattern) -> int:
+        found = None if name in gone else pattern.search(page, begin)
+        if found is None:
+            gone.add(name)
+        return found.end() if found else -1
+
+    while (begin := page.find(b"<", at)) >= 0:
+        out.append(page[at:begin])
+        named = _BLOCK.match(page, begin)
+        end = end_of(named.end(), named[1].lower(), _BLOCK_END[named[1].lower()]) if named else -1
+        if end < 0 and page.startswith(b"<!--", begin):
+            end = end_of(begin + 4, b"--", _COMMENT_END)
+        if end < 0:
+            end = end_of(begin + 1, b">", _TAG_END)
+        out.append(b" " if end >= 0 else b"<")
+        at = end if end >= 0 else begin + 1
+    return b"".join(_REFERENCE.sub(b" ", x) for x in [*out, page[at:]])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), object)
         for lo, hi, data, at in chunks(batch.column(0)):
-            bucket, of = ngrams(data, at)
-            for lang in set(langs[lo:hi]):
-                u, n = np.unique(bucket[(langs[lo:hi] == lang)[of]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u, pa.int64()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
+            for bucket, of in ngrams(data, at):
+                for lang in set(langs[lo:hi]):
+                    u, n = np.unique(bucket[(langs[lo:hi] == lang)[of]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u, pa.int64()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
 
 
 def train(docs: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray]:
@@ -88,8 +121,10 @@ def _likelihoods(model):
                 part = batch.slice(k, 64)
                 out = []
                 for _, _, data, at in chunks(pa.array([visible(x) for x in part.column(1).to_pylist()], pa.large_binary()).cast(pa.large_string())):
-                    bucket, of = ngrams(data, at)
-                    out.append(np.column_stack([np.bincount(of, row[bucket], len(at) - 1) for row in table]))
+                    logs = np.zeros((len(table), len(at) - 1))
+                    for bucket, of in ngrams(data, at):
+                        logs += [np.bincount(of, row[bucket], len(at) - 1) for row in table]
+                    out.append(logs.T)
                 flat = TEMPER * np.concatenate(out)
                 flat -= flat.max(axis=1, keepdims=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists(flat.ravel(), [flat.shape[1]] * len(flat)), part.column(2), part.column(3), part.column(4)], ["page_id", "logs", "host", "suffix", "declared"])
@@ -103,10 +138,14 @@ def host_of(url: Column) -> Column:
 
 
 def declared_of(html: Column) -> Column:
-    """The primary subtag of the language that the markup declares, or an empty string."""
-    tag = F.regexp_extract(html, r"""(?i)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?([A-Za-z]{2,8})""", 1)
-    meta = F.regexp_extract(html, r"""(?i)<meta\b[^>]*?content-language["']?\s+content\s*=\s*["']?([A-Za-z]{2,8})""", 1)
-    return F.coalesce(F.lower(F.when(tag != "", tag).otherwise(meta)), F.lit(""))
+    """The primary subtag of the language that the markup declares, or an empty string: that of the first html tag, else
+    of the first meta tag that names a content language. Tags are split off first, so that unclosed ones cost one look."""
+    attributes = F.substring_index(F.get(F.split(html, r"(?i)<html(?=[\s/>])", 2), 1), ">", 1)
+    tag = F.regexp_extract(attributes, r"""(?i)(?:^|\s|/)(?:xml:)?lang\s*+=\s*+["']?([A-Za-z]{2,8})""", 1)
+    metas = F.transform(F.split(html, r"(?i)<meta(?=[\s/])"), lambda x: F.substring_index(x, ">", 1))
+    first = F.get(F.filter(F.slice(metas, 2, F.size(metas)), lambda x: F.contains(F.lower(x), F.lit("content-language"))), 0)
+    meta = F.regexp_extract(first, r"""(?i)\bcontent\s*+=\s*+["']?\s*+([A-Za-z]{2,8})""", 1)
+    return F.lower(F.coalesce(F.when(tag != "", tag), F.when(meta != "", meta), F.lit("")))
 
 
 def _weights(total: list[Column], prior: list[Column], weight: float) -> list[Column]:
@@ -139,7 +178,8 @@ def identify_languages(pages: DataFrame, docs: DataFrame, most: int = SAMPLE) ->
     seen = work.cut(seen.select("*", *votes).withColumn("said", F.when(known, F.col("declared")).when(F.col("declared") == "", F.lit("none")).otherwise(F.lit("other"))), "evidence")
 
     sums = [F.sum(f"v{i}").alias(f"v{i}") for i in each]
-    said = {r["said"]: [r[f"v{i}"] / VOTES for i in each] for r in seen.groupBy("said").agg(*sums).collect()}  # a row a language, and two
+    by_said = seen.groupBy("said").agg(*sums, F.count("*").alias("n")).collect()  # a row a language, and two
+    said, rows_in_all = {r["said"]: [r[f"v{i}"] / VOTES for i in each] for r in by_said}, sum(r["n"] for r in by_said)
     kinds = [*langs, "none", "other"]
     of_lang = [sum(said[k][i] for k in said) for i in each]
     every = sum(of_lang)
@@ -147,11 +187,13 @@ def identify_languages(pages: DataFrame, docs: DataFrame, most: int = SAMPLE) ->
     # log P(declared | language), smoothed by one page for each pair
     reliability = F.create_map(*[x for k in kinds for x in (F.lit(k), F.array(*[F.lit(float(np.log((said.get(k, [0] * len(langs))[i] + 1) / (of_lang[i] + len(kinds))))) for i in each]))])
 
-    by_suffix = seen.groupBy("suffix").agg(*[F.sum(f"v{i}").alias(f"s{i}") for i in each])
-    by_host = seen.groupBy("host").agg(*[F.sum(f"v{i}").alias(f"h{i}") for i in each])
-    joined = seen.join(by_host, "host").join(by_suffix, "suffix")
+    # suffixes join the hosts, and pages join one table of hosts
+    hosts = work.cut(seen.groupBy("host", "suffix").agg(*[F.sum(f"v{i}").alias(f"h{i}") for i in each], F.count("*").alias("pages")), "hosts")
+    by_suffix = hosts.groupBy("suffix").agg(*[F.sum(f"h{i}").alias(f"s{i}") for i in each], F.count("*").alias("hosts"))
     suffix_prior = _weights([F.col(f"s{i}") / VOTES for i in each], [F.lit(x) for x in overall], SUFFIX_WEIGHT)
-    joined = joined.withColumns({f"p{i}": suffix_prior[i] for i in each})
+    by_host = join_hot(hosts, by_suffix, "suffix", "hosts", hosts.count())
+    by_host = work.cut(by_host.select("host", "pages", *[f"h{i}" for i in each], *[p.alias(f"p{i}") for i, p in enumerate(suffix_prior)]), "priors")
+    joined = join_hot(seen, by_host, "host", "pages", rows_in_all)
     prior = _weights([(F.col(f"h{i}") - F.col(f"v{i}")) / VOTES for i in each], [F.col(f"p{i}") for i in each], HOST_WEIGHT)
     joined = joined.withColumn("declared_logs", F.element_at(reliability, F.col("said")))
     joined = joined.withColumn("all", F.array(*[F.col("logs")[i] + F.col("declared_logs")[i] + F.log(prior[i]) for i in each]))

@@ -2,14 +2,19 @@
 
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marginalia.llm.classifier import classify_quality
-from marginalia.llm.language_id import identify_languages
+from marginalia.llm.language_id import declared_of, identify_languages, visible
 from marginalia.llm.lm_score import CLASSES, WORDS, Model, lm_scores
 from marginalia.llm.quality_rules import platt, quality_rules
 
@@ -214,6 +219,30 @@ def test_language_id_rare_and_many_languages(spark):
     assert {r["page_id"]: r["text_lang"] for r in got} == dict(enumerate(own)) and {r["text_lang"] for r in got} == set(own)
 
 
+PIECES = ["<", ">", "<!--", "-->", "<script", "</script>", "</SCRIPT >", "<style x>", "</style", "</scriptx>", "&amp;", "&", ";", "a", " ", "<p>", "/"]
+
+
+@settings(deadline=None, max_examples=400)
+@given(st.lists(st.sampled_from(PIECES), max_size=14))
+def test_visible_is_what_the_markup_leaves(pieces):
+    page = "".join(pieces)
+    assert visible(page) == re.sub(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z0-9#]{1,10};", b" ", page.encode())
+
+
+@pytest.mark.parametrize("open_", ["<!--", "<script ", "<", "<style>", "</script x", "<!-- --><", "&am", "<html <meta ", "<script></script"])
+def test_unclosed_markup_takes_linear_time(open_):
+    page = open_ * (20_000_000 // len(open_))
+    began = time.monotonic()
+    visible(page)
+    assert time.monotonic() - began < 60
+
+
+def test_declared_language(spark):
+    rows = ["<HTML class=x Lang = 'de-AT'>", "<html><meta content='fr' http-equiv=\"Content-Language\">", "<meta http-equiv=content-language content=es-MX>", "<htmlx lang=de>", None, "<html lang=en " * 1_000_000, "<meta " * 1_000_000]
+    got = spark.createDataFrame([(x,) for x in rows], "html string").select(declared_of(F.col("html")).alias("d")).collect()
+    assert [r["d"] for r in got] == ["de", "fr", "es", "", "", "en", ""]
+
+
 def test_language_id_empty(spark):
     docs, rows = pages()
     table = lambda x: spark.createDataFrame([r[:3] for r in x], "page_id bigint, url string, html string")
