@@ -33,7 +33,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all pages, written to archives and read back."""
-    records = read_archives(write_archives(_table(spark, sf_dir, "pages")))
+    records = read_archives(write_archives(_table(spark, sf_dir, "pages")), with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -33,6 +33,15 @@ def test_round_trip(spark):
     mine = [(str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in got]
     assert sorted(mine, key=repr) == sorted(expected, key=repr)
     assert not any("\n" in (r["url"] or "") for r in got)
+    named = [r["record_id"] for r in index.collect()]
+    assert len(set(named)) == len(data) and "<urn:page:42>" in named and "<urn:page:100>" not in named
+
+
+def test_reading_follows_the_bytes(spark, monkeypatch):
+    """The records of a big bundle are read by several tasks."""
+    monkeypatch.setattr(warc, "READ_BYTES", 1 << 12)
+    index = write_archives(spark.createDataFrame(rows(), PAGES).coalesce(1))
+    assert read_archives(index).rdd.getNumPartitions() > 10 and read_archives(index).count() == len(rows())
 
 
 def test_one_record_by_one_seek(spark):
