@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Each document gets a hash key, random but reproducible. A source is sorted by the key: its leading bits make ``BUCKETS``
-key ranges, so that no source, however large, is sorted in one task. Sums of the ranges give each range its offset,
-a running sum inside the range gives each document its place, and the source is cut exactly at its budget; a budget
-beyond the source's size takes whole epochs first.
+Texts are read once, for a small table of sizes; rows that are alike in it are one row with a count, so that no id or text,
+however often it is repeated, makes a hot key. Each document gets a hash key, random but reproducible. A source is sorted
+by the key: its leading bits make key ranges of some ``RANGE`` rows, so that no source, however large, is sorted in one
+task. Sums of the ranges give each range its offset, a running sum inside the range gives each document its place, and
+the source is cut exactly at its budget; a budget beyond the source's size takes whole epochs first.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .storage import Work
+
 WEIGHTS, LIMIT = (5, 2, 1), 3
-BUCKETS = 4096
+RANGE, REPEATS = 1 << 14, 1 << 16
 
 
 def size_of(text: Column) -> Column:
@@ -49,14 +52,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     ``taken`` is how many of the document's words the mix takes, repeats counted: whole epochs of the source, then the
     documents in key order up to the budget; the document at the cut gives a part. The taken words of a source add up to
     its target, rounded. A null text has size 0 and gives nothing; null is a source of its own; rows with one doc_id
-    have one key and are ordered by size. An empty table gives an empty result. Reruns agree for a seed.
+    have one key and are ordered by size; rows without a doc_id have the key of their text. An empty table gives an empty
+    result. Reruns agree for a seed.
     """
-    spread = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"))
-    spread = spread.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / ((1 << 32) // BUCKETS)).cast("int")
-    spread = spread.withColumn("bucket", bucket)
+    work = Work(docs.sparkSession, "mix")
+    spread = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
+    spread = spread.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), named)).alias("key"))
+    spread = work.cut(spread.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("n")), "sizes")
+    buckets = 1 << (spread.count() // RANGE).bit_length()
+    # the leading 32 bits of the key: as many ranges as there are buckets
+    bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / ((1 << 32) // buckets)).cast("long")
+    spread = spread.withColumn("bucket", bucket).withColumn("words", F.col("size") * F.col("n"))
 
-    ranges = spread.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    ranges = spread.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
     sizes = ranges.groupBy("source").agg(F.sum("words").alias("source_size"))
     goal = targets(sizes, weights, limit)
     in_order = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -66,9 +75,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
 
     placed = spread.join(ranges, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("range")))
     inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    start = F.col("offset") + F.coalesce(F.sum("words").over(inside), F.lit(0))
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     placed = placed.withColumn("start", start).withColumn("epochs", epochs)
+    # the rows that are alike follow one another; long runs of them are counted in steps
+    placed = placed.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(REPEATS).cast("long"))))
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + REPEATS, F.col("n")) - 1)))
+    placed = placed.withColumn("start", F.col("start") + F.col("nth") * F.col("size"))
     part = F.least("size", F.greatest(F.lit(0), budget - F.col("epochs") * F.col("source_size") - F.col("start")))
     return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+from marginalia.llm import mix as mixing
 from marginalia.llm.mix import mix
 
 from . import corpus
@@ -29,8 +30,11 @@ def check(spark, data):
     got = mix(corpus.frame(spark, data)).collect()
     assert len(got) == len(data)
     sizes = defaultdict(int)
-    for _, t, _, s, _ in data:
-        sizes[s] += len((t or "").encode().split())
+    keys = defaultdict(list)  # of the rows that are alike in the result
+    for i, t, _, s, _ in data:
+        n = len((t or "").encode().split())
+        sizes[s] += n
+        keys[i, s, n].append(hashlib.md5(f"0:{f'text:{t or str()}' if i is None else i}".encode()).hexdigest())
     goal = fill(sizes) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0)
     by_source = defaultdict(list)
     for r in got:
@@ -39,11 +43,12 @@ def check(spark, data):
         by_source[r["source"]].append(r)
     for s, rows in by_source.items():
         assert sum(r["taken"] for r in rows) == int(goal[s] + 0.5)
-        start = 0
-        for r in sorted(rows, key=lambda r: (hashlib.md5(f"0:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest(), r["size"])):
+        start, expected = 0, []
+        for _, i, n in sorted((k, repr(i), n) for (i, own, n), ks in keys.items() if own == s for k in ks):
             whole, rest = divmod(int(goal[s] + 0.5), sizes[s]) if sizes[s] else (0, 0)
-            assert r["taken"] == whole * r["size"] + min(r["size"], max(0, rest - start))
-            start += r["size"]
+            expected.append((i, n, whole * n + min(n, max(0, rest - start))))
+            start += n
+        assert sorted((repr(r["doc_id"]), r["size"], r["taken"]) for r in rows) == sorted(expected)
     return sorted(map(tuple, got), key=repr)
 
 
@@ -52,6 +57,13 @@ def test_against_brute_force(spark):
     assert check(spark, data) == check(spark, data[::-1])
 
 
+def test_repeats_and_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    monkeypatch.setattr(mixing, "RANGE", 4)
+    data = [(1, "a b c", "en", "a", 0)] * 50 + [(None, f"x {i}" + " y" * (i % 5), "en", "a", 0) for i in range(40)] + [(None, None, "en", "a", 0)] * 9 + [(i, "d " * i, "en", "b", 0) for i in range(2, 30)]
+    check(spark, data)
+
+
 def test_limits(spark):
     check(spark, [(i, "a b c " * (300 if i == 0 else 1), "en", s, 0) for i, s in enumerate(["z", "a", "a", "b", "c", "d", None, "é"])])
 
