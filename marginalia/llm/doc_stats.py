@@ -14,7 +14,7 @@ REPEAT = 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: The bytes that begin a character in UTF-8.
-_BEGINS = (np.arange(256) & 0xC0) != 0x80
+BEGINS = (np.arange(256) & 0xC0) != 0x80
 _WHITE_BYTES = bytes(np.flatnonzero(WHITE).tolist())
 
 
@@ -61,7 +61,7 @@ def counted(column: pa.Array) -> Iterator[Counts]:
         text = t.data.tobytes()
         yield Counts(
             t, h,
-            t.bytes_per_text(t.inside & _BEGINS[t.data]), t.bytes_per_text(SYMBOLS[t.data]),
+            t.bytes_per_text(t.inside & BEGINS[t.data]), t.bytes_per_text(SYMBOLS[t.data]),
             np.array([dup_lines(text[t.at[i] : t.at[i + 1]]) for i in range(len(words))], np.int64),
             np.array([repeat_words(w) for w in words], np.int64), np.array([len(np.unique(w)) for w in words], np.int64),
         )

@@ -19,5 +19,6 @@ def binary_labels(labels: DataFrame, column: str) -> DataFrame:
 
 
 def sample(labels: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` labelled rows, those whose doc_id has the least hashes: alike for every run."""
-    return labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """At most ``most`` labelled rows, those whose doc_id has the least hashes: alike for every run, as rows that share an
+    id come in the order of their other columns."""
+    return labels.orderBy(F.xxhash64("doc_id"), *labels.columns).limit(most)

@@ -1,8 +1,8 @@
 """Quality rules: base rules on counts, and a logistic regression on hashed word and character n-grams.
 
-The regression is fitted on the driver on at most ``SAMPLE`` labelled rows (a documented bound), four fifths of them
-for the weights and one fifth to calibrate its probability (Platt's sigmoid). Scoring runs in Arrow batches; the
-weights, of fixed size, are broadcast.
+The regression is fitted on the driver on at most ``SAMPLE`` labelled rows with at most ``MOST_FEATURES`` features in all
+(documented bounds; the rows come in the order of a hash of their ids), four fifths of them for the weights and one fifth
+to calibrate its probability (Platt's sigmoid). Scoring runs in Arrow batches; the weights, of fixed size, are broadcast.
 """
 
 from __future__ import annotations
@@ -14,52 +14,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .doc_stats import Counts, counted
-from .kernels import U, grams, lists, list_values, mix
+from .doc_stats import BEGINS, Counts, counted
+from .kernels import CHUNK, U, grams, lists, list_values, mix
 from .labels import binary_labels, sample
+from .storage import Work
 
-SAMPLE, DIMENSIONS, EPOCHS, RATE = 4000, 1 << 18, 8, 0.5
+SAMPLE, MOST_FEATURES, DIMENSIONS, EPOCHS, RATE = 4000, 1 << 24, 1 << 18, 8, 0.5
+CHARACTERS = 4
 THRESHOLD, LEAST_WORDS, MOST_REPEATED = 0.5, 20, 30
 _SALTS = (U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179), U(0x3C6EF372FE94F82B))
+KINDS, _STEP = len(_SALTS), U(0xD6E8FEB86659FD93)
 
 
-def hashed(c: Counts) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For words, word pairs and runs of four bytes: the feature of each occurrence, and the text it is in."""
+def _places(x: np.ndarray, salt: np.uint64) -> np.ndarray:
+    return (mix(x ^ salt) & U(DIMENSIONS - 1)).astype(np.int64)
+
+
+def hashed(c: Counts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, feature of each occurrence, text it is in) for words, word pairs and runs of four characters; the runs in
+    blocks, as there are more of them than words."""
     t, h = c.tokens, c.hashes
-    pairs = grams(h, 2)
     inside = t.doc[1:] == t.doc[:-1]
-    d = t.data
-    n = max(len(d) - 3, 0)
-    runs = d[:n].astype(U) | d[1 : n + 1].astype(U) << U(8) | d[2 : n + 2].astype(U) << U(16) | d[3 : n + 3].astype(U) << U(24)
-    of = np.repeat(np.arange(len(t.count)), np.diff(t.at))
-    whole = of[:n] == of[3:] if n else np.zeros(0, bool)
-    places = lambda x, salt: (mix(x ^ salt) & U(DIMENSIONS - 1)).astype(np.int64)
-    return [(places(h, _SALTS[0]), t.doc), (places(pairs[inside], _SALTS[1]), t.doc[1:][inside]), (places(runs[whole], _SALTS[2]), of[:n][whole])]
+    yield 0, _places(h, _SALTS[0]), t.doc
+    yield 1, _places(grams(h, 2)[inside], _SALTS[1]), t.doc[1:][inside]
+    begins = np.flatnonzero(BEGINS[t.data])
+    for lo in range(0, len(begins), CHUNK):
+        at = begins[lo : lo + CHUNK + CHARACTERS - 1]
+        end = begins[lo + len(at)] if lo + len(at) < len(begins) else len(t.data)
+        points = np.frombuffer(t.data[at[0] : end].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(U)
+        of, n = np.searchsorted(t.at[1:], at, "right"), max(len(at) - CHARACTERS + 1, 0)
+        run = np.zeros(n, U)
+        for j in range(CHARACTERS):
+            run = run * _STEP + points[j : n + j]
+        whole = of[:n] == of[CHARACTERS - 1 : CHARACTERS - 1 + n]
+        yield 2, _places(run[whole], _SALTS[2]), of[:n][whole]
 
 
 def margins(c: Counts, weights: np.ndarray, bias: float) -> np.ndarray:
     """The linear score of each text: the sum over the three kinds of features of their mean weight."""
-    n, out = len(c.tokens.count), np.full(len(c.tokens.count), bias)
-    for feature, of in hashed(c):
-        out += np.bincount(of, weights[feature], n) / np.maximum(np.bincount(of, minlength=n), 1)
-    return out
+    n = len(c.tokens.count)
+    sums, sizes = np.zeros((KINDS, n)), np.zeros((KINDS, n))
+    for kind, feature, of in hashed(c):
+        sums[kind] += np.bincount(of, weights[feature], n)
+        sizes[kind] += np.bincount(of, minlength=n)
+    return bias + (sums / np.maximum(sizes, 1)).sum(axis=0)
+
+
+def _features_of(c: Counts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct features of each text with their values: a kind's occurrences share a weight of one."""
+    n = len(c.tokens.count)
+    kinds, features, texts = ([], [], [])
+    for kind, feature, of in hashed(c):
+        key, times = np.unique(of * DIMENSIONS + feature, return_counts=True)
+        kinds.append(np.full(len(key), kind)), features.append(key), texts.append(times)
+    kind, key, times = map(np.concatenate, (kinds, features, texts))
+    of = key // DIMENSIONS
+    value = times / np.bincount(kind * n + of, times, KINDS * n)[kind * n + of]
+    distinct, at = np.unique(key, return_inverse=True)
+    value, first = np.bincount(at, value, len(distinct)), np.searchsorted(distinct // DIMENSIONS, np.arange(n + 1))
+    for i in range(n):
+        yield distinct[first[i] : first[i + 1]] % DIMENSIONS, value[first[i] : first[i + 1]]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, place, value): the distinct features of a text with their values."""
+    """(doc_id, label, n, sign, places, values): the features of a text, their number, and a hash that orders equal ids."""
+    seen: set[tuple] = set()
     for batch in batches:
-        places, values = [], []
+        at, kept = 0, []
         for c in counted(batch.column(1)):
-            kinds = hashed(c)
-            for i in range(len(c.tokens.count)):
-                own = [f[slice(*np.searchsorted(of, [i, i + 1]))] for f, of in kinds]
-                flat, share = np.concatenate(own), np.concatenate([np.full(len(x), 1 / max(len(x), 1)) for x in own])
-                u, at = np.unique(flat, return_inverse=True)
-                places.append(u)
-                values.append(np.bincount(at, share, len(u)).astype(np.float32) if len(u) else np.zeros(0, np.float32))
-        flat = [np.concatenate(x) if x else np.zeros(0) for x in (places, values)]
-        n = [len(x) for x in places]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists(flat[0].astype(np.int32), n), lists(flat[1].astype(np.float32), n)], ["doc_id", "label", "places", "values"])
+            for u, v in _features_of(c):
+                sign = int((mix(u.astype(U)) * v.astype(np.float32).view(np.uint32).astype(U)).sum(dtype=U) >> U(1))
+                own = (batch.column(0)[at].as_py(), sign)
+                if own not in seen:  # repeated rows are one row a partition, and later one in all
+                    kept.append((at, len(u), sign, u.astype(np.int32), v.astype(np.float32)))
+                    seen.add(own)
+                at += 1
+            if len(seen) > SAMPLE:
+                seen.clear()
+        rows = pa.array([k[0] for k in kept], pa.int64())
+        flat = [np.concatenate([k[j] for k in kept]) if kept else np.zeros(0, kind) for j, kind in ((3, np.int32), (4, np.float32))]
+        n = [k[1] for k in kept]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(n, pa.int64()), pa.array([k[2] for k in kept], pa.int64()), lists(flat[0], n), lists(flat[1], n)], ["doc_id", "label", "n", "sign", "places", "values"])
 
 
 def sigmoid(x):
@@ -90,9 +125,16 @@ def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, float, float, float]:
     """(weights, bias, a, b) from the labelled documents; without two classes every text scores like the one there is."""
+    work = Work(docs.sparkSession, "rules")
     chosen = F.broadcast(sample(binary_labels(labels, "quality"), most))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    got = rows.mapInArrow(_features, "doc_id bigint, label int, places array<int>, values array<float>").limit(most).toArrow().sort_by([("doc_id", "ascending")])
+    rows = work.cut(rows.mapInArrow(_features, "doc_id bigint, label int, n bigint, sign bigint, places array<int>, values array<float>"), "features")
+    order = [F.xxhash64("doc_id"), "doc_id", "sign"]
+    first = rows.select("doc_id", "sign", "n").distinct().orderBy(*order).limit(most).toArrow()
+    fit = int((np.cumsum(np.asarray(first["n"], dtype=np.int64)) <= MOST_FEATURES).sum())
+    kept = F.broadcast(docs.sparkSession.createDataFrame(first.slice(0, fit).select(["doc_id", "sign"]).to_pandas(), "doc_id bigint, sign bigint"))
+    got = rows.join(kept, ["doc_id", "sign"], "left_semi").dropDuplicates(["doc_id", "sign"]).toArrow().sort_by([("doc_id", "ascending"), ("sign", "ascending")])
+    work.drop(rows)
     y = np.asarray(got["label"], dtype=float)
     flat, at = list_values(got["places"])
     value, _ = list_values(got["values"])

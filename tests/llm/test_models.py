@@ -8,12 +8,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from marginalia.llm import quality_rules as rules
 from marginalia.llm.classifier import classify_quality
+from marginalia.llm.doc_stats import counted
 from marginalia.llm.language_id import declared_of, identify_languages, visible
 from marginalia.llm.lm_score import CLASSES, WORDS, Model, lm_scores
 from marginalia.llm.quality_rules import platt, quality_rules
@@ -65,6 +69,49 @@ def test_quality_rules_verdicts(spark):
     assert quality_rules(corpus.frame(spark, []), spark.createDataFrame(labels, LABELS)).collect() == []
 
 
+def brute_features(text):
+    """(kind, feature) -> share of the kind's occurrences."""
+    words = (text or "").encode().split()
+    ids = [xxhash.xxh64_intdigest(w) for w in words]
+    chars = [text[i : i + 4] for i in range(len(text or "") - 3)]
+    kinds = [Counter(ids), Counter(zip(ids, ids[1:])), Counter(chars)]
+    return [{k: v / sum(c.values()) for k, v in c.items()} for c in kinds]
+
+
+def test_rules_features_are_words_pairs_and_characters():
+    """A feature has one place, whatever text it is in, and the shares of its kind add up."""
+    texts = ["é a b", "a b a b é a", "日本語テキスト x", "", None, "abc", "a" * 40, "日本語テ a b"]
+    (c,) = counted(pa.array(texts, pa.string()))
+    got = list(rules._features_of(c))
+    for text, (places, values) in zip(texts, got, strict=True):
+        expected = brute_features(text)
+        assert len(places) == sum(map(len, expected)) and sorted(np.round(values, 6)) == sorted(round(v, 6) for k in expected for v in k.values())
+    weights = np.random.default_rng(1).normal(size=rules.DIMENSIONS)
+    assert rules.margins(c, weights, 0.5) == pytest.approx([0.5 + weights[p] @ v for p, v in got])
+
+
+def test_rules_verdict_is_that_of_the_regression(spark):
+    """kept against the margin summed feature by feature in numpy."""
+    docs, labels = rated(120)
+    table, known = corpus.frame(spark, docs), spark.createDataFrame(labels, LABELS)
+    weights, bias, a, b = rules.train(table, known)
+    assert all(np.array_equal(x, y) for x, y in zip((weights, bias, a, b), rules.train(table.repartition(7), known), strict=True))
+    got = {r["doc_id"]: r for r in quality_rules(table, known).collect()}
+    for i, text, *_ in docs:
+        ((places, values),) = rules._features_of(next(counted(pa.array([text]))))
+        p = 1 / (1 + math.exp(-(a * (bias + sum(weights[k] * v for k, v in zip(places, values))) + b)))
+        assert got[i]["probability"] == pytest.approx(p, abs=1e-6) and got[i]["kept"] == (not got[i]["base_failed"] and p >= 0.5)
+
+
+def test_rules_training_is_bounded(spark, monkeypatch):
+    """Few features fit: fewer rows are taken, always the same ones; a row repeated many times is one."""
+    docs, labels = rated(80)
+    known = spark.createDataFrame(labels, LABELS)
+    monkeypatch.setattr(rules, "MOST_FEATURES", 9000)
+    one, two = (rules.train(corpus.frame(spark, rows), known) for rows in (docs, docs[::-1] + docs[:5] * 30))
+    assert np.array_equal(one[0], two[0]) and one[1:] == two[1:] and (one[0] != 0).sum() < 9000
+
+
 def test_platt():
     rng = np.random.default_rng(0)
     x = rng.normal(size=4000) * 3
