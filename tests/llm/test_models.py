@@ -19,7 +19,7 @@ from marginalia.llm import quality_rules as rules
 from marginalia.llm.classifier import classify_quality
 from marginalia.llm.doc_stats import counted
 from marginalia.llm.language_id import declared_of, identify_languages, visible
-from marginalia.llm.lm_score import CLASSES, WORDS, Model, lm_scores
+from marginalia.llm.lm_score import CLASSES, ROUNDS, START, WORDS, Model, frequent_counts, lm_scores, sequences
 from marginalia.llm.quality_rules import platt, quality_rules
 
 from . import corpus
@@ -207,6 +207,52 @@ def test_lm_rare_tokens_by_join(spark, monkeypatch):
     assert key(plain) == key(few)
 
 
+@pytest.mark.parametrize("kinds", [0, 900, 5000])
+def test_lm_frequent_tokens_are_bounded_whatever_the_ties(spark, kinds):
+    """Many tokens of one count are no reason to take none, or all."""
+    rng = np.random.default_rng(2)
+    rows = [(int(h), 1) for h in rng.integers(-(1 << 62), 1 << 62, kinds)] + [(i, 5000 + 7 * i) for i in range(min(kinds, 40))]
+    h, c = frequent_counts(spark.createDataFrame(rows, "h bigint, c bigint"), 1000)
+    assert len(h) == len(set(h.tolist())) and list(c) == sorted(c, reverse=True) and (c > 1).sum() == min(kinds, 40)
+    assert len(h) == kinds + 40 if kinds == 900 else 800 * bool(kinds) <= len(h) <= 1000
+
+
+def test_lm_scores_are_those_of_the_model(spark):
+    """score against the model's factors, multiplied token by token: class, place in the class, and share of the rest."""
+    docs = [*corpus.rows(), *chain(60)]
+    got = {(r["doc_id"], r["n_tokens"]): r for r in lm_scores(corpus.frame(spark, docs)).collect()}
+    apart = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    texts = {d: next(sequences(pa.array([d[1]], pa.string())))[0] for d in docs}
+    training = [texts[d] for d in docs if not apart(d[0])]
+    counts = Counter(int(t) for x in training for t in x)
+    ranked = sorted(counts, key=lambda t: (-counts[t], t))
+    model = Model(np.array(ranked, np.uint64), np.array([counts[t] for t in ranked]), sum(counts.values()), len(ranked))
+    h, of = np.concatenate(training), np.repeat(np.arange(len(training)), [len(x) for x in training])
+    for _ in range(ROUNDS):
+        model.step(h, of)
+    rank = {t: i for i, t in enumerate(ranked)}
+
+    def softmax(bias, weights, places):
+        logits = bias.astype(float) + sum(weights[p].astype(float) for p in places)
+        return np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+
+    for d in docs[:40] + docs[-10:]:
+        total, before, two = 0.0, int(START), int(START)
+        for t in map(int, texts[d]):
+            f = Model.features(np.array([two, before, t], np.uint64), np.zeros(3, np.int64))[:, 2:] if before != int(START) else Model.features(np.array([t], np.uint64), np.zeros(1, np.int64))
+            if before != int(START) and two == int(START):
+                f = Model.features(np.array([before, t], np.uint64), np.zeros(2, np.int64))[:, 1:]
+            r = rank.get(t, len(ranked))
+            c = min(r // WORDS, CLASSES)
+            p = softmax(model.class_bias, model.of_class, Model.places(f)[:, 0])[c]
+            if c < CLASSES:
+                p *= softmax(model.word_bias[c], model.of_word, Model.places(f, np.array([c]))[:, 0])[r % WORDS]
+            else:
+                p *= (counts.get(t, 0) + 1) / (model.rest_count + model.rest_kinds + 1)
+            total, before, two = total + math.log10(p), t, before
+        assert got[d[0], len(texts[d])]["score"] == pytest.approx(total, rel=2e-3, abs=2e-2)
+
+
 def test_lm_is_a_distribution():
     """Over all known tokens and one unknown the probabilities add up to 1, after training too."""
     rng = np.random.default_rng(3)
