@@ -14,7 +14,7 @@ from .lm_score import lm_scores
 from .mix import mix
 from .near_dedup import near_duplicates
 from .quality_rules import quality_rules
-from .shard import place
+from .shard import lookup_table, place, shard_names
 from .substring_dedup import substring_dedup
 from .warc import read_archives, write_archives
 
@@ -66,10 +66,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that don't depend on its model, for the comparison with SQL."""
+    return op6_quality_rules(spark, sf_dir).drop("kept", "probability")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_near_dedup, op2_decontaminate, op3_warc, op4_shard, op5_mix, op6_quality_rules, op7_lm_score, op8_quality_classifier, op9_language_id, op10_substring_dedup)
+    named = (op1_near_dedup, op2_decontaminate, op3_warc, op4_shard, op5_mix, op6_quality_rules, op7_lm_score, op8_quality_classifier, op9_language_id, op10_substring_dedup, rule_counts)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": sql.NEAR_DEDUP, "op2_decontaminate": sql.DECONTAMINATE, "op3_warc": sql.WARC, "op5_mix": sql.MIX, "op10_substring_dedup": sql.SUBSTRING_DEDUP}
+    return {"op1_near_dedup": sql.NEAR_DEDUP, "op2_decontaminate": sql.DECONTAMINATE, "op3_warc": sql.WARC, "op4_shard": sql.shard(lookup_table(shard_names())), "rule_counts": sql.RULE_COUNTS, "op5_mix": sql.MIX, "op10_substring_dedup": sql.SUBSTRING_DEDUP}

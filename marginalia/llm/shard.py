@@ -47,13 +47,17 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % slots).cast("int")
 
 
+def shard_names(n: int = SHARDS) -> list[str]:
+    return [f"shard-{i:05d}" for i in range(n)]
+
+
 def place(docs: DataFrame, shards: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
     """``docs`` with the columns slot (int) and shard (string); columns of these names are replaced.
 
     A row's key is its doc_id; a row without one is placed by its text, a row without both like an empty text. Repeated
     rows share a shard. Only the lookup table, of ``slots`` rows, is broadcast; documents aren't shuffled.
     """
-    names = shards or [f"shard-{i:05d}" for i in range(SHARDS)]
+    names = shards or shard_names()
     table = docs.sparkSession.createDataFrame([(k, names[i]) for k, i in enumerate(lookup_table(names, slots))], "slot int, shard string")
     missing = F.lit(None).cast("string")
     by_id, by_text = (F.col(c).cast("string") if c in docs.columns else missing for c in ("doc_id", "text"))

@@ -15,10 +15,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from marginalia.llm import classifier, language_id
 from marginalia.llm import quality_rules as rules
 from marginalia.llm.classifier import classify_quality
-from marginalia.llm.doc_stats import counted
-from marginalia.llm.language_id import declared_of, identify_languages, visible
+from marginalia.llm.doc_stats import counted, statistics
+from marginalia.llm.language_id import declared_of, identify_languages, ngrams, visible
 from marginalia.llm.lm_score import CLASSES, ROUNDS, START, WORDS, Model, frequent_counts, lm_scores, sequences
 from marginalia.llm.quality_rules import platt, quality_rules
 
@@ -133,6 +134,29 @@ def test_classifier(spark):
     assert np.mean([r["predicted"] == seen[r["doc_id"]] for r in held]) > 0.95
 
 
+def test_classifier_against_brute_force(spark):
+    """Scores against Gaussian log densities with inverted covariances, from all training rows at once."""
+    docs, labels = rated(200)
+    x = np.array([statistics(next(counted(pa.array([d[1]]))))[0] for d in docs])
+    y = np.array([q for _, q, _ in labels])
+    train = np.array([zlib.crc32(str(d[0]).encode()) % 5 != 0 for d in docs])
+    own = {k: x[train & (y == k)] for k in (0, 1)}
+    pooled = sum(len(v) * np.cov(v.T, bias=True) for v in own.values()) / train.sum()
+    logs = {}
+    for k, v in own.items():
+        weight = len(v) / (len(v) + 10 * x.shape[1]) * (1 - classifier.POOLED)
+        cov = weight * np.cov(v.T, bias=True) + (1 - weight) * pooled
+        cov = (1 - classifier.DIAGONAL) * cov + classifier.DIAGONAL * np.diag(np.diag(pooled)) + 1e-4 * np.eye(x.shape[1])
+        off = x - v.mean(axis=0)
+        logs[k] = np.log(len(v) / train.sum()) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off)
+    d = logs[1] - logs[0]
+    d = np.sign(d) * x.shape[1] * np.log1p(np.abs(d) / x.shape[1])
+    a, b = platt(d[train], y[train])
+    expected = 1 / (1 + np.exp(-(a * d + b)))
+    got = {r["doc_id"]: r["score"] for r in classify_quality(corpus.frame(spark, docs), spark.createDataFrame(labels, LABELS)).collect()}
+    assert [got[d[0]] for d in docs] == pytest.approx(expected, abs=1e-5)
+
+
 def test_classifier_ignores_held_out_labels(spark):
     docs, labels = rated(120)
     turned = [(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q, t) for i, q, t in labels]
@@ -300,6 +324,37 @@ def test_language_id(spark):
     assert all(0 < r["confidence"] <= 1 for r in got)
 
 
+def test_language_id_against_brute_force(spark):
+    """Every probability by loops over dictionaries."""
+    docs, rows = pages()
+    rows += [(500 + i, f"http://{h}/", f"<html lang={l}>{t}", None) for i, (h, l, t) in enumerate([("www.fr1.example", "de", ""), ("", "xx", "the of"), ("x.test", "en", "der die und"), ("www.en1.example", "", "que pour")])]
+    buckets = lambda text: [int(b) for bs, _ in ngrams(np.frombuffer(text, np.uint8), np.array([0, len(text)])) for b in bs]
+    langs = ["de", "en", "fr"]
+    counts = {k: Counter(b for _, t, lang in docs if lang == k for b in buckets(t.encode())) for k in langs}
+    log = {k: {b: math.log((counts[k][b] + 0.5) / (sum(counts[k].values()) + 0.5 * language_id.BUCKETS)) for b in range(language_id.BUCKETS)} for k in langs}
+    page = {}
+    for i, url, html, _ in rows:
+        raw = [0.2 * sum(log[k][b] for b in buckets(visible(html))) for k in langs]
+        e = [math.exp(v - max(raw)) for v in raw]
+        host = url.split("/")[2] if "://" in url else ""
+        found = re.search(r"<html lang='?([a-z]*)", html)[1]
+        page[i] = (raw, [math.floor(1000 * v / sum(e) + 0.5) / 1000 for v in e], host, host.split(".")[-1], found)
+    said = lambda p: p[4] if p[4] in langs else "other" if p[4] else "none"
+    total = [sum(p[1][j] for p in page.values()) for j in range(3)]
+    overall = [(x + 1) / (sum(total) + 3) for x in total]
+    got = {r["page_id"]: r for r in identify_languages(spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string"), spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()}
+    for i, (raw, votes, host, suffix, _) in page.items():
+        of = lambda test: [sum(p[1][j] for p in page.values() if test(p)) for j in range(3)]
+        by_suffix, by_host = of(lambda p: p[3] == suffix), of(lambda p: p[2] == host)  # noqa: B023
+        prior = [(x + 50 * o) / (sum(by_suffix) + 50) for x, o in zip(by_suffix, overall)]
+        others = [h - v for h, v in zip(by_host, votes)]
+        prior = [(x + 5 * p) / (sum(others) + 5) for x, p in zip(others, prior)]
+        kind = of(lambda p: said(p) == said(page[i]))  # noqa: B023
+        logs = [r + math.log((k + 1) / (t + 5)) + math.log(p) for r, k, t, p in zip(raw, kind, total, prior)]
+        e = [math.exp(v - max(logs)) for v in logs]
+        assert got[i]["lang"] == langs[logs.index(max(logs))] and got[i]["confidence"] == pytest.approx(1 / sum(e), rel=1e-3)
+
+
 def test_language_id_rare_and_many_languages(spark):
     """A language of one document among many, a 65th language, and tags with a region."""
     rng = random.Random(15)

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from marginalia.llm.mix import mix
 from marginalia.llm.near_dedup import near_duplicates
@@ -51,6 +53,19 @@ def test_stages(spark, tmp_path):
     assert placed.count() == len(data) and placed.columns == [*docs.columns, "slot", "shard"]
 
 
+def test_columns_of_any_name_stay(spark, tmp_path):
+    """Columns named like what the stages use inside, through every stage."""
+    tables(spark, str(tmp_path))
+    docs = corpus.frame(spark, [(i, " ".join([f"w{i}"] * 30 + ["a", "b", "c"]), "en", "a", 0) for i in range(20)] + [(3, "more " * 40, "en", "a", 0), (None, "no id " * 30, "en", None, 0)])
+    for name in ("key", "row", "copy", "times", "kept", "n", "order", "size", "_key", "_times", "_copy", "taken", "score", "d", "id"):
+        docs = docs.withColumn(name, F.lit(f"keep {name}"))
+    for _, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) <= set(got.columns) and got.count() > 0
+        for r in got.collect():
+            assert all(r[c] == f"keep {c}" for c in ("key", "row", "copy", "times", "kept", "n", "order", "_key", "_times", "_copy", "taken", "d", "id"))
+
+
 def test_near_dedup_links_from_four_fifths_up(spark):
     """Copies with similarities between 0.80 and 0.85 go in the pipeline, though op1 keeps them; less similar ones stay."""
     w = [f"w{i}" for i in range(104)]  # 100 shingles
