@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 
 from ..functions.vectors import cosine, vector
 
-BLOCK = 1024
+#: Queries whose scores are made at once, queries that are broadcast for a pass, and rows of a block of a similarity join.
+BLOCK, SENT, ROWS = 1024, 1 << 14, 4096
 DIGITS = 9
 
 
@@ -37,55 +38,93 @@ def knn(df: DataFrame, vec: str, query, k: int, key: str = "id") -> DataFrame:
     return score(df, vec, query).orderBy(F.desc_nulls_last("score"), key).limit(k).filter("score is not null")
 
 
-def _block(queries, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = queries.value
-        best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-        for batch in batches:
-            lengths = np.asarray(batch.column(1).value_lengths().fill_null(0))
-            batch = batch.filter(pa.array(lengths == q.shape[1]))
-            if not batch.num_rows:
-                continue
-            x = np.asarray(batch.column(1).flatten(), dtype=float).reshape(-1, q.shape[1])
-            n = np.sqrt((x * x).sum(axis=1))
-            s = np.round(q @ (x / np.where(n > 0, n, 1)[:, None]).T, DIGITS)
-            own = np.asarray(batch.column(0))
-            s[ids[:, None] == own[None, :]] = -np.inf
-            best_id, best = np.concatenate([best_id, np.broadcast_to(own, s.shape)], axis=1), np.concatenate([best, s], axis=1)
-            keep = np.stack([np.lexsort((i, -v))[:k] for i, v in zip(best_id, best, strict=True)])
-            best_id, best = np.take_along_axis(best_id, keep, 1), np.take_along_axis(best, keep, 1)
-        flat = best.ravel() > -np.inf
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])[flat]), pa.array(best_id.ravel()[flat]), pa.array(best.ravel()[flat])], ["query_id", "id", "score"])
-
-    return run
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; those without a direction stay."""
+    n = np.sqrt((rows * rows).sum(axis=1))
+    return rows / np.where(n > 0, n, 1)[:, None]
+
+
+def vectors_of(batch: pa.RecordBatch, ids: int, column: int, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) of the rows of a batch with vectors of a dimension."""
+    batch = batch.filter(pa.array(np.asarray(batch.column(column).value_lengths().fill_null(0)) == dimension))
+    return np.asarray(batch.column(ids)), unit(np.asarray(batch.column(column).flatten(), dtype=float).reshape(-1, dimension))
+
+
+class Best:
+    """The ``k`` best of each of some queries so far: their ids and scores, best first; of equal scores the smaller id."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.queries, self.q, self.k = ids, queries, k
+        self.ids, self.scores = np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), -np.inf)
+
+    def add(self, ids: np.ndarray, rows: np.ndarray, only: np.ndarray | None = None) -> None:
+        """Rows seen by all queries, or by ``only`` some."""
+        chosen = np.arange(len(self.queries)) if only is None else only
+        for lo in range(0, len(chosen) if len(ids) else 0, BLOCK):
+            at = chosen[lo : lo + BLOCK]
+            s = np.round(self.q[at] @ rows.T, DIGITS)
+            s[self.queries[at][:, None] == ids[None, :]] = -np.inf
+            if s.shape[1] > self.k:  # the best by score, with all that tie with the last of them
+                bar = np.maximum(-np.partition(-s, self.k - 1, axis=1)[:, self.k - 1], self.scores[at, -1])
+            else:
+                bar = self.scores[at, -1]
+            for i in np.flatnonzero((s >= bar[:, None]).any(axis=1)):
+                new = np.flatnonzero(s[i] >= bar[i])
+                both, score = np.concatenate([self.ids[at[i]], ids[new]]), np.concatenate([self.scores[at[i]], s[i, new]])
+                order = np.lexsort((both, -score))[: self.k]
+                self.ids[at[i]], self.scores[at[i]] = both[order], score[order]
+
+    def batch(self) -> pa.RecordBatch:
+        flat = self.scores.ravel() > -np.inf
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.queries, self.k)[flat]), pa.array(self.ids.ravel()[flat]), pa.array(self.scores.ravel()[flat])], ["query_id", "id", "score"])
+
+
+FOUND = "query_id bigint, id bigint, score double"
+
+
+def blocks(queries: DataFrame, key: str, vec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of queries, SENT at a time by id."""
+    rows, last = queries.select(F.col(key).cast("long").alias("i"), F.col(vec).cast("array<double>").alias("v")).filter("i is not null and v is not null"), None
+    while True:
+        block = (rows if last is None else rows.filter(F.col("i") > last)).orderBy("i").limit(SENT).toArrow()
+        if block.num_rows:
+            last = int(block["i"][-1].as_py())
+            yield np.asarray(block["i"]), unit(np.array(block["v"].to_pylist(), float))
+        if block.num_rows < SENT:
+            return
+
+
+def ranked(found: list[DataFrame], k: int, df: DataFrame) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` best of what the tasks have found."""
+    if not found:
+        return df.sparkSession.createDataFrame([], FOUND + ", rank int")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def knn_join(df: DataFrame, queries: DataFrame, k: int, key: str, vec: str) -> DataFrame:
     """(query_id, id, score, rank): for each query row the ``k`` nearest other rows of ``df``.
 
-    Queries are taken in blocks of BLOCK vectors that are broadcast; a task keeps k rows a query of its partition, so
-    what is moved is tasks * queries * k rows, never pairs. For many queries the blocks bound the memory.
+    Up to SENT queries are broadcast for a pass over ``df`` and scored BLOCK at a time; a task keeps k rows a query of its
+    partition, so what is moved is tasks * queries * k rows, never pairs. More queries take more passes.
     """
-    spark, out, last = df.sparkSession, None, None
+
+    def search(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            best = Best(ids, q, k)
+            for batch in batches:
+                best.add(*vectors_of(batch, 0, 1, q.shape[1]))
+            yield best.batch()
+
+        return run
+
     rows = df.select(F.col(key).cast("long"), F.col(vec).cast("array<double>"))
-    while True:
-        block = queries.select(F.col(key).cast("long").alias("i"), F.col(vec).cast("array<double>").alias("v")).orderBy("i")
-        block = (block if last is None else block.filter(F.col("i") > last)).limit(BLOCK).toArrow()
-        if not block.num_rows:
-            break
-        ids = np.asarray(block["i"])
-        last = int(ids[-1])
-        q = np.array(block["v"].to_pylist(), float)
-        n = np.sqrt((q * q).sum(axis=1))
-        sent = spark.sparkContext.broadcast((ids, q / np.where(n > 0, n, 1)[:, None]))
-        found = rows.mapInArrow(_block(sent, k), "query_id bigint, id bigint, score double")
-        out = found if out is None else out.unionByName(found)
-        if block.num_rows < BLOCK:
-            break
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    sent = (df.sparkSession.sparkContext.broadcast(x) for x in blocks(queries, key, vec))
+    return ranked([rows.mapInArrow(search(x), FOUND) for x in sent], k, df)
 
 
 def related(df: DataFrame, vec: str, source, k: int, key: str, boosts: dict[str, object] | None = None) -> DataFrame:
@@ -110,12 +149,32 @@ def boosted(df: DataFrame, vec: str, query, k: int, key: str, boosts: dict[str,
 
 
 def similar_pairs(df: DataFrame, key: str, vec: str, least: float, block: list[str] | None = None) -> DataFrame:
-    """(a, b, score), a < b, of the rows at least so similar. With ``block`` columns only rows that agree on them are
-    compared, by an equi-join; without, each is compared with each, which suits a catalogue, not a corpus."""
-    block = block or []
-    a = df.select(F.col(key).alias("a"), F.col(vec).alias("va"), *block)
-    b = df.select(F.col(key).alias("b"), F.col(vec).alias("vb"), *[F.col(c).alias(f"_{c}") for c in block])
-    on = F.col("a") < F.col("b")
-    for c in block:
-        on = on & (F.col(c) == F.col(f"_{c}"))
-    return a.join(b, on).select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), DIGITS).alias("score")).filter(F.col("score") >= least)
+    """(a, b, score), a < b, of the rows at least so similar. With ``block`` columns only rows that agree on them are compared.
+
+    Rows are dealt into blocks of some ROWS; a task multiplies the vectors of two blocks as matrices and keeps the pairs
+    that are similar, so no pair is a row before. Each row is sent to as many tasks as there are blocks: all pairs are
+    compared, which suits catalogues. For neighbours in a large corpus take ``knn_join`` or an approximate index.
+    """
+    on, spread = block or [], max(1, -(-df.count() // ROWS))
+    part = F.pmod(F.xxhash64(F.col(key), F.col(vec)), F.lit(spread))
+    rows = df.filter(F.col(vec).isNotNull()).select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"), part.alias("part"), *on)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    rows = rows.withColumn("cell", F.least("part", "other") * spread + F.greatest("part", "other"))
+
+    def pairs(table: pa.Table) -> pa.Table:
+        part, keys, lengths = np.asarray(table["part"]), table["k"], np.asarray(table["v"].combine_chunks().value_lengths())
+        out: list[tuple] = []
+        for d in np.unique(lengths[lengths > 0]):
+            x = unit(np.asarray(table["v"].combine_chunks().filter(pa.array(lengths == d)).flatten(), dtype=float).reshape(-1, d))
+            own, names = part[lengths == d], np.array(keys.filter(pa.array(lengths == d)).to_pylist(), object)
+            lo, hi = np.flatnonzero(own == part.min()), np.flatnonzero(own == part.max())
+            for at in range(0, len(lo), BLOCK // 4):
+                some = lo[at : at + BLOCK // 4]
+                i, j = np.nonzero(np.round(x[some] @ x[hi].T, DIGITS) >= least)
+                found = np.round((x[some[i]] * x[hi[j]]).sum(axis=1), DIGITS)
+                out += [(a, b, s) for a, b, s in zip(names[some[i]], names[hi[j]], found.tolist(), strict=True) if a < b or (part.min() < part.max() and b < a)]
+        ordered = [(min(a, b), max(a, b), s) for a, b, s in out]
+        return pa.table({"a": pa.array([p[0] for p in ordered], keys.type), "b": pa.array([p[1] for p in ordered], keys.type), "score": pa.array([p[2] for p in ordered], pa.float64())})
+
+    kind = df.schema[key].dataType.simpleString()
+    return rows.groupBy(*on, "cell").applyInArrow(pairs, f"a {kind}, b {kind}, score double")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -27,16 +28,20 @@ def index_fields(notes: DataFrame) -> dict[str, Column]:
 
 
 def postings(notes: DataFrame, key: str = "doc_id", columns: dict[str, Column] | None = None) -> DataFrame:
-    """(key, field, term, tf, dl): the inverted index, to be written partitioned by field."""
+    """(key, field, term, tf, dl, positions): the inverted index, a row for each term of a field of a note."""
     columns = columns or index_fields(notes)
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), index_terms(c).alias("terms")) for f, c in columns.items()])).alias("x")
-    rows = notes.select(key, each).select(key, F.col("x.field").alias("field"), F.size("x.terms").alias("dl"), F.explode("x.terms").alias("term"))
-    return rows.groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    rows = notes.select(key, each).select(key, F.col("x.field").alias("field"), F.size("x.terms").alias("dl"), F.posexplode("x.terms").alias("pos", "term"))
+    return rows.groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def df_stats(notes: DataFrame, columns: dict[str, Column] | None = None, key: str = "doc_id") -> DataFrame:
     """(field, term, df, cf): in how many notes, and how often, a term occurs."""
-    return postings(notes, key, columns).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    columns = columns or index_fields(notes)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), index_terms(c).alias("terms")) for f, c in columns.items()])).alias("x")
+    rows = notes.select(key, each).select(key, F.col("x.field").alias("field"), F.explode("x.terms").alias("term"))
+    rows = rows.groupBy(key, "field", "term").agg(F.count("*").alias("tf"))
+    return rows.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def query_terms(query: str) -> list[str]:
@@ -44,20 +49,65 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(x for x in re.split(r"[\W_]+", query.lower()) if x))
 
 
+@dataclass(frozen=True)
+class Clause:
+    """A part of a query: one term, or a phrase of several, in one field or any; ``+`` must match and ``-`` must not."""
+
+    terms: tuple[str, ...]
+    sign: str = ""
+    field: str | None = None
+
+
+_CLAUSE = re.compile(r"""([+-]?)(?:(\w+):)?(?:"([^"]*)"?|(\S+))""")
+
+
+def parse_syntax(query: str, fields: Iterable[str]) -> list[Clause]:
+    """The clauses of a query: words, ``"phrases"``, ``+must``, ``-not`` and ``field:word``. A word that the index has as several
+    terms is a phrase of these. Signs and names that mean nothing are read as words: no query is an error. Of equal
+    clauses the first counts."""
+    known, out = set(fields), []
+    for sign, name, phrase, word in _CLAUSE.findall(query):
+        if name and name not in known:
+            phrase, word, name = "", f"{name}:{phrase or word}", ""
+        if terms := tuple(x for x in re.split(r"[\W_]+", (phrase or word).lower()) if x):
+            out.append(Clause(terms, sign, name or None))
+    return list(dict.fromkeys(out))
+
+
 def _is(term: str):
     return lambda x: x == term
 
 
+def _idf(total: int, df: int) -> float:
+    return math.log(1 + (total - df + 0.5) / (df + 0.5))
+
+
+def _part(tf: Column, dl: Column, mean: float) -> Column:
+    return (K1 + 1) * tf / (tf + K1 * (1 - B + B * dl / F.lit(mean or 1.0)))
+
+
 def bm25(notes: DataFrame, query: str, limit: int | None, key: str = "path", boosts: dict[str, float] | None = None, columns: dict[str, Column] | None = None) -> DataFrame:
-    """``notes`` with their BM25 score, best first: the boosted sum over fields and terms, any term may match.
+    """``notes`` with their BM25 score, best first: the boosted sum over fields and terms, any term may match. Queries may
+    have phrases, signs and field names (``parse_syntax``).
 
-    A query has few terms, so their frequencies are plain columns: one pass gives the statistics, a second the scores.
-    Neither shuffles more than a row or ``limit`` rows a task.
+    A query of bare words has few terms, so their frequencies are plain columns: one pass gives the statistics, a second
+    the scores. Neither shuffles more than a row or ``limit`` rows a task. Other queries go through the postings of
+    their terms.
     """
-    boosts, columns, terms = boosts or BOOSTS, columns or index_fields(notes), query_terms(query)
-    if not terms:
-        return notes.limit(0).withColumn("score", F.lit(0.0))
+    boosts, columns = boosts or BOOSTS, columns or index_fields(notes)
     names = [f for f in columns if boosts.get(f)]
+    clauses = parse_syntax(query, names)
+    if not clauses:
+        return notes.limit(0).withColumn("score", F.lit(0.0))
+    if any(len(c.terms) > 1 or c.sign or c.field for c in clauses):
+        sizes = [F.sum(F.size(index_terms(columns[f]))).alias(f) for f in names]
+        held = notes.agg(F.count("*").alias("n"), *sizes).first()
+        wanted = sorted({t for c in clauses for t in c.terms})
+        posts = postings(notes, key, {f: columns[f] for f in names}).filter(F.col("term").isin(*wanted))
+        found = score_postings(posts, {f: (held["n"], held[f] or 0) for f in names}, clauses, {f: boosts[f] for f in names}, key)
+        out = notes.join(found, key)
+        return out.orderBy(F.desc("score"), key).limit(limit) if limit is not None else out
+    terms = [c.terms[0] for c in clauses]
     tokens = notes.withColumns({f"_t_{f}": index_terms(columns[f]) for f in names})
     counts = {f"_n_{f}": F.size(f"_t_{f}") for f in names}
     counts |= {f"_f_{f}_{i}": F.size(F.filter(f"_t_{f}", _is(t))) for f in names for i, t in enumerate(terms)}
@@ -70,8 +120,7 @@ def bm25(notes: DataFrame, query: str, limit: int | None, key: str = "path", boo
         for i, _ in enumerate(terms):
             c, df = F.col(f"_f_{f}_{i}"), stats[f"_f_{f}_{i}"]
             if df:
-                idf = F.log(F.lit(1 + (total - df + 0.5) / (df + 0.5)))
-                parts.append(F.when(c > 0, boosts[f] * idf * (K1 + 1) * c / (c + K1 * (1 - B + B * F.col(f"_n_{f}") / mean))).otherwise(0.0))
+                parts.append(F.when(c > 0, boosts[f] * _idf(total, df) * _part(c, F.col(f"_n_{f}"), mean)).otherwise(0.0))
     if not parts:
         return notes.limit(0).withColumn("score", F.lit(0.0))
     matched = counted.filter(F.greatest(F.lit(0), *[F.col(c) for c in counts if c.startswith("_f_")]) > 0)
@@ -79,6 +128,83 @@ def bm25(notes: DataFrame, query: str, limit: int | None, key: str = "path", boo
     return out.orderBy(F.desc("score"), key).limit(limit) if limit is not None else out
 
 
+def score_postings(posts: DataFrame, sizes: dict[str, tuple[int, int]], clauses: list[Clause], boosts: dict[str, float], key: str = "path") -> DataFrame:
+    """(key, score) of all notes that match. ``posts`` are the postings of the clauses' terms, ``sizes`` the notes and the
+    words of each field. A phrase counts where its terms follow one another; its weight is the sum of theirs."""
+    df = {(r["field"], r["term"]): r["n"] for r in posts.groupBy("field", "term").agg(F.count("*").alias("n")).collect()}  # a row a field and term of the query
+    held = posts.groupBy(key, "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.first("dl").alias("dl"))
+    none, scored = F.array().cast("array<int>"), held
+    for i, clause in enumerate(clauses):
+        places = [F.coalesce(F.col("at")[t], none) for t in clause.terms]
+        tf = F.size(F.filter(places[0], _follows(places[1:]))).cast("double")
+        score = F.lit(0.0)
+        for f, boost in boosts.items():
+            n, words = sizes.get(f, (0, 0))
+            if clause.field in (None, f) and all((f, t) in df for t in clause.terms):
+                weight = boost * sum(_idf(n, df[f, t]) for t in clause.terms)
+                score = F.when((F.col("field") == f) & (tf > 0), F.lit(weight) * _part(tf, F.col("dl"), words / max(n, 1))).otherwise(score)
+        scored = scored.withColumn(f"_s{i}", score)
+    sums = scored.groupBy(key).agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(clauses))])
+    met = [F.col(f"_s{i}") > 0 for i in range(len(clauses))]
+    for m, clause in zip(met, clauses, strict=True):
+        sums = sums.filter(m) if clause.sign == "+" else sums.filter(~m) if clause.sign == "-" else sums
+    total = F.round(sum((F.col(f"_s{i}") for i, c in enumerate(clauses) if c.sign != "-"), F.lit(0.0)), 9)
+    return sums.select(key, total.alias("score")).filter("score > 0")
+
+
+def _follows(rest: list[Column]):
+    def test(p: Column) -> Column:
+        out = F.lit(True)
+        for j, places in enumerate(rest):
+            out = out & F.array_contains(places, p + (j + 1))
+        return out
+
+    return test
+
+
+#: Parts that the terms of a stored index are dealt into.
+PARTS = 64
+
+
+def _term_part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+
+
+class StoredIndex:
+    """An inverted index on disk: postings in folders by field and part of the terms, and the sizes of the fields. A query
+    reads the parts of its terms alone."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.posts = spark.read.parquet(f"{folder}/postings")
+        self.sizes = {r["field"]: (r["n"], r["words"]) for r in spark.read.parquet(f"{folder}/fields").collect()}  # a row a field
+
+    @staticmethod
+    def write(notes: DataFrame, folder: str, key: str = "path", columns: dict[str, Column] | None = None) -> StoredIndex:
+        """Replaces the index in a folder by one of all ``notes``."""
+        columns = columns or index_fields(notes)
+        part = postings(notes, key, columns).withColumn("part", _term_part(F.col("term")))
+        part.repartition("field", "part", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("field", "part", "term").write.mode("overwrite").partitionBy("field", "part").parquet(f"{folder}/postings")
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(index_terms(c)).alias("words")) for f, c in columns.items()])).alias("x")
+        notes.select(each).groupBy("x.field").agg(F.count("*").alias("n"), F.sum("x.words").alias("words")).write.mode("overwrite").parquet(f"{folder}/fields")
+        return StoredIndex(notes.sparkSession, folder)
+
+    @property
+    def notes(self) -> int:
+        """How many notes there are."""
+        return max((n for n, _ in self.sizes.values()), default=0)
+
+    def search(self, query: str, limit: int | None, key: str = "path", boosts: dict[str, float] | None = None) -> DataFrame:
+        """(key, score) of the best notes, as ``bm25`` scores them."""
+        boosts = {f: b for f, b in (boosts or BOOSTS).items() if f in self.sizes and b}
+        clauses = parse_syntax(query, boosts)
+        if not clauses:
+            return self.posts.limit(0).select(key, F.lit(0.0).alias("score"))
+        terms = sorted({t for c in clauses for t in c.terms})
+        wanted = F.col("part").isin(*[_term_part(F.lit(t)) for t in terms]) & F.col("term").isin(*terms) & F.col("field").isin(*boosts)
+        out = score_postings(self.posts.filter(wanted), self.sizes, clauses, boosts, key)
+        return out.orderBy(F.desc("score"), key).limit(limit) if limit is not None else out
+
+
 def ranked(hits: DataFrame, key: str = "path") -> DataFrame:
     """(key, rank) of a list of hits, best first; lists are limited, so one task ranks them."""
     return hits.select(key, F.row_number().over(W.orderBy(F.desc("score"), key)).alias("rank"))
@@ -114,27 +240,30 @@ def plan_search(limit: int = LIMIT, mode: str | None = None, **filters: str | No
     return SearchPlan(limit, min(limit * OVERSAMPLE, MOST_FETCHED) if kept else limit, parse_mode(mode), kept)
 
 
-def hits(notes: DataFrame, query: str, fetch: int, mode: str, embedder: Embedder, key: str = "path") -> DataFrame:
-    """(key, score) of the ``fetch`` best notes in a mode. ``notes`` have path, gist, tags and the vector ``vec``."""
+def hits(notes: DataFrame, query: str, fetch: int, mode: str, embedder: Embedder, key: str = "path", index: StoredIndex | None = None) -> DataFrame:
+    """(key, score) of the ``fetch`` best notes in a mode. ``notes`` have path, gist, tags and the vector ``vec``; with a stored
+    index keywords are looked up there."""
+    keyword = (lambda n: index.search(query, n, key)) if index else (lambda n: bm25(notes, query, n, key))
     if mode == "semantic":
         return knn(notes, "vec", embedder.query(query), fetch, key).select(key, "score")
     if mode == "keyword":
-        return bm25(notes, query, fetch, key).select(key, "score")
+        return keyword(fetch).select(key, "score")
     semantic = knn(notes, "vec", embedder.query(query), FUSE * fetch, key)
-    both = {"semantic": ranked(semantic, key), "bm25": ranked(bm25(notes, query, FUSE * fetch, key), key)}
+    both = {"semantic": ranked(semantic, key), "bm25": ranked(keyword(FUSE * fetch), key)}
     return fuse(both, key=key).orderBy(F.desc("score"), key).limit(fetch)
 
 
-def search(notes: DataFrame, query: str, limit: int = LIMIT, mode: str | None = None, embedder: Embedder | None = None, prefilter: bool = False, key: str = "path", **filters: str | None) -> DataFrame:
+def search(notes: DataFrame, query: str, limit: int = LIMIT, mode: str | None = None, embedder: Embedder | None = None, prefilter: bool = False, key: str = "path", index: StoredIndex | None = None, **filters: str | None) -> DataFrame:
     """The best notes for a query with their score, best first.
 
     Filters are equalities on columns such as type and area; null never matches. As a rule they apply to the hits, so
-    that fewer than ``limit`` may be left; with ``prefilter`` they apply to the notes, before ranking.
+    that fewer than ``limit`` may be left; with ``prefilter`` they apply to the notes, before ranking, and a stored index
+    isn't used.
     """
     plan = plan_search(limit, mode, **filters)
     for name, value in plan.filters.items() if prefilter else ():
         notes = notes.filter(F.col(name) == value)
-    found = hits(notes, query, plan.limit if prefilter else plan.fetch, plan.mode, embedder or Embedder(), key)
+    found = hits(notes, query, plan.limit if prefilter else plan.fetch, plan.mode, embedder or Embedder(), key, None if prefilter else index)
     out = notes.join(F.broadcast(found), key)  # at most MOST_FETCHED hits
     for name, value in plan.filters.items():
         out = out.filter(F.col(name) == value)

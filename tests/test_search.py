@@ -1,10 +1,11 @@
 """Rankings of a small collection, fusion, and search modes."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import vectors as vx
-from marginalia.operators import knn, search
+from marginalia.operators import ann, knn, search
 
 NOTES = [
     ("alpha.md", "alpha", "Work note gist for smoke tests.", ["alpha", "demo"], "note", "work"),
@@ -120,3 +121,61 @@ def test_blocks_of_queries(spark, monkeypatch):
     whole = sorted(map(tuple, knn.knn_join(df, df, 2, "id", "v").collect()))
     monkeypatch.setattr(knn, "BLOCK", 7)
     assert sorted(map(tuple, knn.knn_join(df, df, 2, "id", "v").collect())) == whole
+
+
+SYNTAX = [
+    ("rust", {"a", "b"}), ("+rust -python", {"a"}), ("rust python", {"a", "b", "c"}), ('"systems language"', {"a"}), ('"language systems"', {"b"}), ("title:python", {"c"}), ("gist:python", {"b"}),
+    ("tags:slow rust-language", {"c"}), ("+absent rust", set()), ("-rust", set()), ('+"systems language" python', {"a"}), ("nofield:rust", set()), ('"unclosed rust', set()), ("+", set()), ("", set()),
+]
+
+
+def syntax_notes(spark):
+    rows = [("a.md", "rust: a systems language", ["fast"]), ("b.md", "rust and python: language systems", []), ("x/python-c.md", "another language", ["slow"]), ("d.md", None, [])]
+    return spark.createDataFrame(rows, "path string, gist string, tags array<string>")
+
+
+def test_query_syntax_and_stored_index(spark, tmp_path):
+    """Phrases, signs and fields, by a scan and out of an index on disk, with equal scores."""
+    notes = syntax_notes(spark)
+    index = search.StoredIndex.write(notes, str(tmp_path / "index"))
+    again = search.StoredIndex(spark, str(tmp_path / "index"))
+    assert index.notes == again.notes == 4
+    for query, expected in SYNTAX:
+        scanned = {r["path"]: r["score"] for r in search.bm25(notes, query, None).collect()}
+        assert {p.removesuffix(".md")[-1] for p in scanned} == expected, query
+        assert {r["path"]: r["score"] for r in again.search(query, None).collect()} == scanned, query
+    plan = again.search("rust", 5)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+
+
+def test_scores_of_bare_words_and_of_clauses_agree(spark):
+    notes = syntax_notes(spark)
+    plain, signed = ({r["path"]: r["score"] for r in search.bm25(notes, q, None).collect()} for q in ("language", "+language"))
+    assert plain == signed and len(plain) == 3
+
+
+def test_similar_pairs_in_blocks(spark, monkeypatch):
+    """All pairs, whatever blocks they are in; vectors of other lengths and without a direction are similar to none."""
+    rng = np.random.default_rng(4)
+    rows = [(f"k{i:03}", i % 3, [float(x) for x in rng.normal(size=4)]) for i in range(90)] + [("a", 0, [1.0, 0.0]), ("b", 0, [2.0, 0.0]), ("z", 0, [0.0] * 4), ("n", 0, None), ("k000", 0, [9.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "k string, g int, v array<double>")
+    cos = lambda x, y: round(sum(a * b for a, b in zip(x, y)) / ((sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5 or 1), 9) if x and y and len(x) == len(y) else -1
+    for on in (None, ["g"]):
+        expected = sorted((a, b, round(cos(x, y), 6)) for a, g, x in rows for b, h, y in rows if a < b and (not on or g == h) and cos(x, y) >= 0.7)
+        for size in (4096, 16):
+            monkeypatch.setattr(knn, "ROWS", size)
+            assert sorted((r["a"], r["b"], round(r["score"], 6)) for r in knn.similar_pairs(df, "k", "v", 0.7, on).collect()) == expected
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0, 30.0])
+def test_inverted_lists_find_the_neighbours(spark, spread):
+    """Recall against the exact join, for clear clusters and for none; scores are exact."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, [float(x) for x in centres[i % 12] + spread * rng.normal(size=16)]) for i in range(1500)] + [(5000, None)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").persist()
+    queries, index = df.filter("id % 20 = 0"), ann.build(df, "id", "v", 5)
+    found, exact = index.search(queries, 5, "id", "v"), knn.knn_join(df, queries, 5, "id", "v")
+    assert ann.recall(found, exact.select("query_id", "id")) >= 0.9 and found.filter("rank = 1").count() == queries.filter("v is not null").count()
+    assert found.join(exact.withColumnRenamed("score", "s"), ["query_id", "id"]).filter("abs(score - s) > 1e-9").count() == 0
+    assert index.search(df.limit(0), 5, "id", "v").count() == 0 and ann.build(df.limit(0), "id", "v").search(queries, 5, "id", "v").count() == 0
