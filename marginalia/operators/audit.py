@@ -24,16 +24,13 @@ def _v(code: str, arg: Column | str, when: Column) -> Column:
 
 def message(code: Column, arg: Column, config: NotesConfig) -> Column:
     """The text of a violation."""
-    bar = "|".join
+    one_of = lambda values: F.concat(F.lit("'"), arg, F.lit(f"' is none of {', '.join(values)}"))
     texts = {
-        "missing_frontmatter": F.lit("Missing YAML frontmatter"), "missing_field": F.concat(F.lit("Missing required field: "), arg),
-        "invalid_type": F.concat(F.lit("Invalid type '"), arg, F.lit(f"' (must be: {bar(config.types)})")),
-        "invalid_status": F.concat(F.lit("Invalid status '"), arg, F.lit(f"' (must be: {bar(config.statuses)})")),
-        "invalid_area": F.concat(F.lit("Invalid area '"), arg, F.lit(f"' (must be: {bar(config.areas)})")),
-        "too_many_tags": F.concat(F.lit("Too many tags: "), arg, F.lit(f" (max {config.max_tags})")),
-        "hierarchical_tag": F.concat(F.lit("Hierarchical tag not allowed: "), arg), "non_lowercase_tag": F.concat(F.lit("Tag must be lowercase: "), arg),
-        "empty_gist": F.lit("Gist field is empty"), "duplicate_frontmatter": F.concat(F.lit("Duplicate frontmatter: "), arg, F.lit(" blocks found (expected 1)")),
-        "yaml_syntax": F.concat(F.lit("YAML syntax error"), arg), "folded_scalar": F.concat(F.lit("[Warning] Field '"), arg, F.lit("' uses a folded or literal scalar - may not display correctly")),
+        "missing_frontmatter": F.lit("the note has no frontmatter"), "missing_field": F.concat(arg, F.lit(" is required and absent")),
+        "invalid_type": F.concat(F.lit("type "), one_of(config.types)), "invalid_status": F.concat(F.lit("status "), one_of(config.statuses)), "invalid_area": F.concat(F.lit("area "), one_of(config.areas)),
+        "too_many_tags": F.concat(arg, F.lit(f" tags where {config.max_tags} are allowed")), "hierarchical_tag": F.concat(F.lit("no levels in tags: "), arg),
+        "non_lowercase_tag": F.concat(F.lit("capitals in tag "), arg), "duplicate_frontmatter": F.concat(arg, F.lit(" frontmatter blocks where one is expected")),
+        "yaml_syntax": F.concat(F.lit("the frontmatter is no YAML"), arg), "folded_scalar": F.concat(arg, F.lit(" is folded over lines, which not every reader shows")),
     }
     out = F.lit(None).cast("string")
     for name, value in texts.items():
@@ -41,13 +38,8 @@ def message(code: Column, arg: Column, config: NotesConfig) -> Column:
     return out
 
 
-def violations(notes: DataFrame, config: NotesConfig | None = None, yaml: bool = False) -> DataFrame:
-    """(name, code, severity, arg, message) of all schema violations; a note may have several.
-
-    Type, status and area are checked only if they are required. With ``yaml`` the frontmatter's syntax is checked too,
-    and a note that fails has no further violations but a duplicate block.
-    """
-    c = config or NotesConfig()
+def _found(notes: DataFrame, c: NotesConfig, yaml: bool) -> tuple[DataFrame, Column]:
+    """(notes, the array of their violations: code and arg)."""
     notes = notes.withColumn("_yaml", yaml_error(F.col("raw"))) if yaml else notes.withColumn("_yaml", F.lit(None).cast("string"))
     blocks, has, parses = tx.block_count(F.col("content")), F.col("raw").isNotNull(), F.col("raw").isNotNull() & F.col("_yaml").isNull()
     single = [_v("duplicate_frontmatter", blocks, blocks > 1), _v("missing_frontmatter", "", ~has), _v("yaml_syntax", F.col("_yaml"), has & F.col("_yaml").isNotNull())]
@@ -66,7 +58,18 @@ def violations(notes: DataFrame, config: NotesConfig | None = None, yaml: bool =
         listed(not c.hierarchical_tags, "hierarchical_tag", F.col("tags"), lambda t: F.contains(t, F.lit("/"))),
         listed(c.lowercase_tags, "non_lowercase_tag", F.col("tags"), lambda t: t != F.lower(t)),
     ]
-    rows = notes.select("name", F.explode(F.concat(*[F.coalesce(p, none) for p in parts])).alias("v")).select("name", "v.code", "v.arg")
+    return notes, F.concat(*[F.coalesce(p, none) for p in parts])
+
+
+def violations(notes: DataFrame, config: NotesConfig | None = None, yaml: bool = False) -> DataFrame:
+    """(name, code, severity, arg, message) of all schema violations; a note may have several.
+
+    Type, status and area are checked only if they are required. With ``yaml`` the frontmatter's syntax is checked too,
+    and a note that fails has no further violations but a duplicate block.
+    """
+    c = config or NotesConfig()
+    notes, found = _found(notes, c, yaml)
+    rows = notes.select("name", F.explode(found).alias("v")).select("name", "v.code", "v.arg")
     severity = F.when(F.col("code").isin(*WARNINGS), "warning").otherwise("error")
     return rows.select("name", "code", severity.alias("severity"), "arg", message(F.col("code"), F.col("arg"), c).alias("message"))
 
@@ -117,58 +120,37 @@ def incoming(links: DataFrame, names: DataFrame) -> DataFrame:
     return names.select("name").distinct().join(counts, "name", "left").select("name", F.coalesce("incoming", F.lit(0).cast("long")).alias("incoming"))
 
 
-def _check(rows: DataFrame, name: str, status: Column, found: Column, total: Column) -> DataFrame:
-    return rows.select(F.lit(name).alias("check"), status.alias("status"), found.cast("long").alias("found"), total.cast("long").alias("total"))
-
-
-def check_schema(notes: DataFrame, config: NotesConfig | None = None, yaml: bool = False) -> DataFrame:
-    found = violations(notes, config, yaml).agg(F.count_if(F.col("severity") == "error").alias("e"), F.count("*").alias("n"))
-    status = F.when(F.col("e") > 0, "fail").when(F.col("n") > 0, "warn").otherwise("pass")
-    return _check(found.crossJoin(notes.agg(F.count("*").alias("t"))), "schema", status, F.col("n"), F.col("t"))
-
-
-def check_links(links: DataFrame, names: DataFrame) -> DataFrame:
-    r = link_report(links, names)
-    return _check(r, "wikilinks", F.when(F.col("broken") > 0, "fail").otherwise("pass"), F.col("broken"), F.col("total"))
-
-
-def check_gist(notes: DataFrame) -> DataFrame:
-    r = notes.agg(F.count("*").alias("t"), F.count_if(F.col("gist").isNull()).alias("n"))
-    return _check(r, "gist", F.when(F.col("n") > 0, "fail").otherwise("pass"), F.col("n"), F.col("t"))
-
-
-def check_tags(notes: DataFrame) -> DataFrame:
-    r = notes.agg(F.count("*").alias("t"), F.count_if(F.size("tags") <= 0).alias("n"))
-    return _check(r, "tags", F.when((F.col("t") == 0) | (F.col("n") / F.greatest("t", F.lit(1)) < SHARE), "pass").otherwise("fail"), F.col("n"), F.col("t"))
-
-
-def check_orphans(links: DataFrame, notes: DataFrame) -> DataFrame:
-    r = orphans(links, notes).agg(F.count("*").alias("n")).crossJoin(notes.agg(F.count("*").alias("t")))
-    return _check(r, "orphans", F.when((F.col("t") == 0) | (F.col("n") / F.greatest("t", F.lit(1)) < SHARE), "pass").otherwise("fail"), F.col("n"), F.col("t"))
+def _gist_date(prefix: str) -> Column:
+    return F.try_to_date(F.regexp_extract("raw", rf"(?m)^{prefix}gist_date:\s*(\d{{4}}-\d{{2}}-\d{{2}})", 1))
 
 
 def stale(notes: DataFrame, prefix: str = "note_") -> DataFrame:
     """(name, gist_date, modified_date) of the notes changed after their gist was written."""
-    said = F.try_to_date(F.regexp_extract("raw", rf"(?m)^{prefix}gist_date:\s*(\d{{4}}-\d{{2}}-\d{{2}})", 1))
-    rows = notes.select("name", said.alias("gist_date"), F.to_date("modified").alias("modified_date"))
+    rows = notes.select("name", _gist_date(prefix).alias("gist_date"), F.to_date("modified").alias("modified_date"))
     return rows.filter("gist_date < modified_date")
 
 
-def check_stale(notes: DataFrame, prefix: str = "note_") -> DataFrame:
-    r = stale(notes, prefix).agg(F.count("*").alias("n")).crossJoin(notes.agg(F.count("*").alias("t")))
-    return _check(r, "stale_gists", F.when(F.col("n") > 0, "warn").otherwise("pass"), F.col("n"), F.col("t"))
-
-
 def audit(notes: DataFrame, links: DataFrame, config: NotesConfig | None = None, quick: bool = False, yaml: bool = False) -> DataFrame:
-    """The rows of all checks; quick: schema and links alone."""
+    """(check, status, found, total), a row a check; quick: schema and links alone.
+
+    Schema, gists, tags and stale gists are counted in one pass over the notes, links and orphans by one join of the link
+    targets, counted first, with the names.
+    """
     c = config or NotesConfig()
-    rows = [check_schema(notes, c, yaml), check_links(links, notes)]
+    rows, found = _found(notes, c, yaml)
+    rows = rows.select(found.alias("v"), F.col("gist").isNull().alias("no_gist"), (F.size("tags") <= 0).alias("no_tags"), (_gist_date(c.field_prefix) < F.to_date("modified")).alias("stale"))
+    errors = F.size(F.filter("v", lambda x: ~x["code"].isin(*WARNINGS)))
+    counted = rows.agg(F.count("*").alias("notes"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("violations"), F.coalesce(F.sum(errors), F.lit(0)).alias("errors"), *[F.count_if(x).alias(x) for x in ("no_gist", "no_tags", "stale")])
+    targets = links.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("links"))
+    both = notes.select("name").distinct().withColumn("known", F.lit(True)).join(targets, "name", "full_outer")
+    linked = both.agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("links"))), F.lit(0)).alias("broken"), F.count_if(F.col("links").isNull()).alias("orphans"))
+    few = lambda n: F.when((F.col("notes") == 0) | (F.col(n) / F.greatest("notes", F.lit(1)) < SHARE), "pass").otherwise("fail")
+    none = lambda n, bad: F.when(F.col(n) > 0, bad).otherwise("pass")
+    checks = [("schema", F.when(F.col("errors") > 0, "fail").otherwise(none("violations", "warn")), "violations", "notes"), ("wikilinks", none("broken", "fail"), "broken", "links")]
     if not quick:
-        rows += [check_gist(notes), check_tags(notes), check_orphans(links, notes), check_stale(notes, c.field_prefix)]
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
+        checks += [("gist", none("no_gist", "fail"), "no_gist", "notes"), ("tags", few("no_tags"), "no_tags", "notes"), ("orphans", few("orphans"), "orphans", "notes"), ("stale_gists", none("stale", "warn"), "stale", "notes")]
+    each = F.array(*[F.struct(F.lit(name).alias("check"), status.alias("status"), F.col(n).cast("long").alias("found"), F.col(of).cast("long").alias("total")) for name, status, n, of in checks])
+    return counted.crossJoin(linked).select(F.inline(each))  # one row by one row
 
 
 def audit_totals(checks: DataFrame) -> DataFrame:

@@ -131,7 +131,8 @@ def band(score: Column) -> Column:
 
 @dataclass(frozen=True)
 class Recommendation:
-    """What a role's field becomes. ``mapping`` may be overridden before planning."""
+    """What a role's field becomes. A value goes by ``mapping``, which may be overridden before planning, and else, if a
+    migration is needed, by ``map_value``: so a field of many values needs no list of them."""
 
     existing: str | None
     values: tuple[str, ...]
@@ -141,23 +142,57 @@ class Recommendation:
     def override(self, **changes: str) -> Recommendation:
         return Recommendation(self.existing, self.values, self.mapping | changes, self.needs_migration)
 
+    def target(self, value: Column) -> Column:
+        """What a value becomes; null if it isn't mapped."""
+        named = F.create_map(*[F.lit(x) for pair in self.mapping.items() for x in pair])[value] if self.mapping else F.lit(None).cast("string")
+        return F.coalesce(named, F.when(F.char_length(value) < LONG, map_value(value, list(self.values)))) if self.needs_migration else named
+
 
 def recommend(fields: DataFrame, role: str, prefix: str = "note_") -> Recommendation:
     """For type or area: keep a clean field that has the right name already, else map its values to the recommended ones.
-    The values of one field of few values reach the driver; a field of many has no clean values, and those that are
-    dominant are mapped."""
-    profile = field_profile(fields)
-    first = candidates(profile, role).first()
+    Only the values of a field of few values (HIGH at most) reach the driver."""
+    first = candidates(field_profile(fields), role).first()
     wanted = RECOMMENDED[role]
     if first is None:
         return Recommendation(None, tuple(wanted), {}, False)
     field = first["field"]
-    rows = value_mapping(fields, field, wanted).orderBy(F.desc("n"), "value").limit(1000).collect()
-    if not first["high_cardinality"] and first["distinct"] <= MOST_CLEAN[role] and field == prefix + role:
+    rows = [] if first["high_cardinality"] else value_mapping(fields, field, wanted).orderBy(F.desc("n"), "value").collect()
+    if rows and first["distinct"] <= MOST_CLEAN[role] and field == prefix + role:
         return Recommendation(field, tuple(sorted(r["value"] for r in rows)), {r["value"]: r["value"] for r in rows}, False)
     return Recommendation(field, tuple(wanted), {r["value"]: r["mapped"] for r in rows}, True)
 
 
+@dataclass(frozen=True)
+class Schema:
+    """What a collection's fields should become, and how many notes each change concerns."""
+
+    type: Recommendation
+    area: Recommendation
+    gist: str | None
+    tags: str | None
+    notes_without_gist: int
+    type_updates: int
+    area_updates: int
+    new_frontmatter: int
+
+
+def recommend_schema(notes: DataFrame, fields: DataFrame, prefix: str = "note_") -> Schema:
+    """The recommendations for all four roles. Notes count as without a gist if they have frontmatter without the gist
+    field; without any such field all notes do."""
+    profile = field_profile(fields)
+    roles = {r: recommend(fields, r, prefix) for r in ("type", "area")}
+    gist, tags = (candidates(profile, r).first() for r in ("gist", "tags"))
+    total, having = notes.count(), fields.select("path").distinct().count()
+
+    def updates(rec: Recommendation) -> int:
+        if not rec.needs_migration or not rec.existing:
+            return 0
+        rows = value_counts(fields).filter(F.col("field") == rec.existing)
+        return estimate(rows.select("value", "n", rec.target(F.col("value")).alias("mapped"))).first()["n"]
+
+    return Schema(roles["type"], roles["area"], gist and gist["field"], tags and tags["field"], having - gist["n"] if gist else total, updates(roles["type"]), updates(roles["area"]), total - having)
+
+
 CHANGE = "array<struct<field:string,action:string,old_value:string,new_value:string,reason:string>>"
 
 
@@ -168,9 +203,8 @@ def migration_plan(notes: DataFrame, type_: Recommendation, area: Recommendation
     """
     roles = {"type": type_, "area": area}
     held = {f"_{r}": F.col("fields")[x.existing] if x.existing else F.lit(None).cast("string") for r, x in roles.items()}
-    maps = {r: F.create_map(*[F.lit(x) for pair in rec.mapping.items() for x in pair]) for r, rec in roles.items() if rec.existing and rec.mapping}
     notes = once(notes.select("path", "fields"), **held, _own=F.coalesce(F.col("fields")[prefix + "type"], F.lit("")), _has=F.col("fields").isNotNull())
-    notes = once(notes, **{f"_to_{r}": maps[r][F.col(f"_{r}")] if r in maps else F.lit(None).cast("string") for r in roles})
+    notes = once(notes, **{f"_to_{r}": x.target(F.col(f"_{r}")) if x.existing else F.lit(None).cast("string") for r, x in roles.items()})
     has = F.col("_has")
 
     def change(field: str, action: str, old: Column, new: Column, reason: Column) -> Column:
@@ -178,10 +212,10 @@ def migration_plan(notes: DataFrame, type_: Recommendation, area: Recommendation
 
     def updated(role: str) -> Column:
         value, mapped = F.col(f"_{role}"), F.col(f"_to_{role}")
-        reason = F.concat(F.lit('Mapping "'), value, F.lit('" to standardized value "'), mapped, F.lit('"'))
+        reason = F.concat(value, F.lit(" is not in the schema and becomes "), mapped)
         return F.when(has & (value != "") & mapped.isNotNull() & (mapped != value), change(role, "update", value, mapped, reason))
 
-    added = change("type", "add", F.lit(None), F.lit("note"), F.lit("Adding default type field"))
+    added = change("type", "add", F.lit(None), F.lit("note"), F.lit("no type yet"))
     own, old = F.col("_own"), F.coalesce("_type", F.lit(""))
     parts = [F.when(~has | ((old == "") & (own == "")), added), updated("type"), updated("area")]
     changes = F.array_compact(F.array(*[p.cast(CHANGE[6:-1]) for p in parts]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.api import Collection, register_functions
 from marginalia.functions import text as tx
 from marginalia.functions import vectors as vx
-from marginalia.operators import sync, tags
+from marginalia.operators import save, sync, tags
 from marginalia.sources.model import read_tensors, token_table
 
 
@@ -59,8 +59,60 @@ def test_tags(spark, vault):
     assert vault.tags_list(catalogue).count() == catalogue.count() and vault.tags_analyze(catalogue, 0.999).count() == 0
 
 
+def test_saving_with_suggested_tags(spark, vault, tmp_path):
+    catalogue = tags.seed_catalogue(spark)
+    assert vault.save("clusters", "text", gist="kubernetes and cuda", tags_=["own"], catalogue=catalogue)[0] == "created"
+    assert "note_tags: [own, cuda, k8s]" in (tmp_path / "Notes/clusters.md").read_text()
+    vault.save("plain", "text", gist="kubernetes and cuda", auto_tag=False, catalogue=catalogue)
+    vault.save("few", "text", gist="kubernetes and cuda", tag_limit=1, catalogue=catalogue)
+    assert "note_tags" not in (tmp_path / "Notes/plain.md").read_text() and "note_tags: [cuda]" in (tmp_path / "Notes/few.md").read_text()
+
+
+def test_stored_index(spark, vault, tmp_path):
+    before = {m: [tuple(r) for r in vault.search("graph queries", 3, mode=m).collect()] for m in ("keyword", "semantic", "hybrid")}
+    index = vault.reindex(str(tmp_path / ".index"))
+    assert index.notes == 4 and {m: [tuple(r) for r in vault.search("graph queries", 3, mode=m).collect()] for m in before} == before
+    vault.clear_index(str(tmp_path / ".index"))
+    assert not (tmp_path / ".index").exists() and names(vault.search("bread", 1)) == ["three"]
+    assert names(vault.complete("see [[baking br")) [:1] == ["three"] and vault.complete("see [[b").count() == 0
+
+
+def test_restoring(spark, vault, tmp_path):
+    folder = tmp_path / "exported"
+    assert save.restore_index(spark, str(folder)) is None
+    vectors = vault.notes.select("path", "vec")
+    assert save.export_index(vault.index_rows(), vectors, str(folder)) and save.restore_index(spark, str(folder)).count() == 4
+    vectors.limit(0).write.mode("overwrite").parquet(f"{folder}/vectors")
+    assert save.restore_index(spark, str(folder)) is None and not (folder / "vectors").exists()
+    (folder / "vectors").mkdir()
+    (folder / "vectors" / "part-0.parquet").write_bytes(b"damaged")
+    assert save.restore_index(spark, str(folder)) is None and not (folder / "vectors").exists()
+
+
+def subword_tokenizer() -> str:
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordPiece({"[UNK]": 0, "graph": 1, "##s": 2, "data": 3, "##base": 4, "bread": 5, "a": 6}, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    return t.to_str()
+
+
+def test_subwords(spark):
+    rows = np.array([[0, 0, 0], [1, 0, 0], [0.5, 0.5, 0], [0, 1, 0], [0, 1, 1], [0, 0, 1]], float)
+    e = vx.SubwordEmbedder(rows, subword_tokenizer())
+    assert e.words("graphs database") == [("graphs", [1, 2]), ("database", [3, 4])]
+    mean = rows[[1, 2]].mean(axis=0)
+    assert e.query("graphs") == pytest.approx(mean / np.sqrt(mean @ mean)) and not e.query("").any() and not e.query("a").any()
+    got = spark.createDataFrame([("graphs",), (None,)], "t string").select(e.column(F.col("t")).alias("v")).collect()
+    assert got[0]["v"] == pytest.approx(list(e.query("graphs"))) and got[1]["v"] == [0, 0, 0]
+    assert tags.keywords("bread bread graph", e, 1)[0][0] == "bread"
+    found = tags.keyword_rows(spark.createDataFrame([(1, "bread bread graph")], "doc_id int, text string"), e).collect()
+    assert {r["tag"] for r in found} == {"bread", "graph"}
+
+
 def test_sql_functions(spark):
     register_functions(spark)
+    assert spark.sql("SELECT bm25(2, 10, 8, 3, 100) AS s").first()["s"] == pytest.approx(np.log(1 + 97.5 / 3.5) * 2.2 * 2 / (2 + 1.2 * (0.25 + 0.75 * 10 / 8)))
     row = spark.sql("SELECT htp_embed('graph') AS v, cosine(htp_embed('graph x'), htp_embed('GRAPH, x')) AS c, cosine(array(1D), array(1D, 2D)) AS z").first()
     assert row["c"] == pytest.approx(1) and row["z"] == 0 and row["v"] == pytest.approx(list(vx.embed_text("graph")))
 

@@ -70,7 +70,7 @@ def test_violations(spark):
     loose = NotesConfig(required_fields=(), hierarchical_tags=True, lowercase_tags=False, max_tags=9)
     assert {r["code"] for r in au.violations(notes, loose).collect()} == {"missing_frontmatter", "duplicate_frontmatter", "folded_scalar"}
     by_code = {r["code"]: r for r in au.violations(notes).collect()}
-    assert by_code["invalid_type"]["message"] == "Invalid type 'odd' (must be: note|term|project|log|lesson)" and by_code["folded_scalar"]["severity"] == "warning"
+    assert by_code["invalid_type"]["message"] == "type 'odd' is none of note, term, project, log, lesson" and by_code["folded_scalar"]["severity"] == "warning"
 
 
 def test_frontmatter_values(spark):

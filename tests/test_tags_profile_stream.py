@@ -1,6 +1,7 @@
 """Tags, profiles, migrations, and change feeds."""
 
 import json
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -43,6 +44,40 @@ def test_stopwords(spark):
     assert {r["w"]: r["s"] for r in df.select("w", tags.is_stopword(F.col("w")).alias("s")).collect()} == words
 
 
+def test_suggestions_of_many_tags(spark, monkeypatch):
+    """More tags than are looked for at once, aliases in turn, and vectors."""
+    rows = [(f"tag{i:03}", [f"alias{i}", f"tag{(i + 1) % 50:03}"], [float(i % 7 == k) for k in range(7)]) for i in range(50)]
+    texts = [(0, "Tag003 here, and alias9", [0.0] * 6 + [1.0]), (1, None, None), (2, "nothing", [1.0] + [0.0] * 6)]
+    df, catalogue = spark.createDataFrame(texts, "doc_id int, text string, vec array<double>"), spark.createDataFrame(rows, "name string, aliases array<string>, vec array<double>")
+    expected = set()
+    for i, text, vec in texts:
+        for name, aliases, own in rows:
+            low = (text or "").lower()
+            alias = next((a for a in aliases if a in low), None)
+            cos = sum(x * y for x, y in zip(vec, own)) if vec else 0
+            if name in low or alias or cos >= 0.3:
+                expected.add((i, name, 1.0 if name in low else 0.95 if alias else cos, "name" if name in low else f"alias:{alias}" if alias else "semantic"))
+    for most in (10_000, 7):
+        monkeypatch.setattr(tags, "TAGS", most)
+        assert {tuple(r) for r in tags.suggest(df, catalogue).collect()} == expected
+
+
+def test_catalogue_upkeep(spark):
+    catalogue = tags.seed_catalogue(spark).limit(2)
+    more = tags.add_tag(tags.add_tag(catalogue, "new", "a new tag"), "new", "again")
+    assert more.count() == 3 and tags.tag_count(more).first().asDict() == {"n": 3, "is_empty": False} and tags.tag_count(more.limit(0)).first()["is_empty"]
+    assert tags.add_alias(more, "new", "fresh").filter("name = 'new'").first()["aliases"] == ["fresh"] and tags.add_alias(more, "none", "x").filter("array_contains(aliases, 'x')").count() == 0
+    left, aliases = tags.delete_tag(more, spark.createDataFrame([("new", "fresh"), ("b", "c")], "name string, alias string"), "new")
+    assert left.count() == 2 and [r["name"] for r in aliases.collect()] == ["b"]
+
+
+def test_tag_vectors_are_those_of_all_gists(spark):
+    rows = [("a", ["x", "y"], "graph databases"), ("b", ["x"], "baking bread today"), ("c", ["x", "z"], None)]
+    notes = spark.createDataFrame(rows, "name string, tags array<string>, gist string").withColumn("path", F.col("name"))
+    got = {r["name"]: r["vec"] for r in tags.tag_vectors(notes.repartition(3)).collect()}
+    assert set(got) == {"x"} and got["x"] == pytest.approx(list(vx.embed_text("graph databases baking bread today c")))
+
+
 def test_merges_and_similar(spark):
     df = spark.createDataFrame([("b", [1.0, 0.0], 3), ("a", [1.0, 0.1], 3), ("c", [1.0, 0.05], 9), ("d", [0.0, 1.0], 1)], "name string, vec array<double>, usage_count bigint")
     assert {(r["keep"], r["merge"]) for r in tags.merges(df, 0.9).collect()} == {("a", "b"), ("c", "a"), ("c", "b")}
@@ -160,10 +195,50 @@ def test_streaming_upserts(spark, tmp_path):
         state.difference_update(r["path"] for r in deletes.collect())
         state.update(r["path"] for r in upserts.collect())
 
-    watch.run(watch.read_changes(spark, str(tmp_path / "in")), apply, str(tmp_path / "cp")).awaitTermination()
+    watch.run(watch.read_changes(spark, str(tmp_path / "in")), apply, str(tmp_path / "cp"), gap=None).awaitTermination()
     assert state == {"c.md", "z.md"}
 
 
+def test_streaming_applies_ended_bursts(spark, tmp_path):
+    """With a gap only bursts that are over are applied; those that may go on wait."""
+    (tmp_path / "in").mkdir()
+    write(spark, tmp_path / "in")
+    applied: list[tuple[str, str]] = []
+
+    def apply(upserts, deletes):
+        applied.extend((r["path"], "upsert") for r in upserts.collect())
+        applied.extend((r["path"], "delete") for r in deletes.collect())
+
+    watch.run(watch.read_changes(spark, str(tmp_path / "in")), apply, str(tmp_path / "cp"), gap="2 seconds", late="0 seconds").awaitTermination()
+    assert {("c.md", "upsert"), ("a.md", "delete"), ("b.md", "delete")} <= set(applied) and ("z.md", "upsert") not in applied
+
+
+def test_catch_up(spark):
+    files = spark.createDataFrame([("a", 1, "x"), ("b", 2, "new"), ("d", 1, "y")], "path string, mtime int, text string")
+    stored = spark.createDataFrame([("a", 1, "x"), ("b", 1, "old"), ("c", 1, "z")], "path string, mtime int, text string")
+    got: list[set[str]] = []
+    apply = lambda *sets: got.extend({r["path"] for r in s.collect()} for s in sets)
+    assert watch.catch_up(files, stored, apply) == {"unchanged": 1, "updated": 1, "added": 1, "removed": 1}
+    assert got == [{"b", "d"}, {"c"}]
+    assert watch.catch_up(files, files, apply) == {"unchanged": 3} and len(got) == 2
+
+
+def test_fields_of_many_values(spark):
+    """All values are mapped, though there are more than anyone would list; overrides go first."""
+    notes = spark.createDataFrame([(f"{i}.md", f"---\nkind: Value {i} project\n---\n") for i in range(1500)] + [("t.md", "---\nkind: a term\nsummary: s\nkeywords: [x]\n---\n"), ("n.md", "none")], "path string, content string")
+    fields = profile.scan_fields(notes)
+    rec = profile.recommend(fields, "type")
+    assert rec.existing == "kind" and rec.needs_migration and rec.mapping == {}
+    held = notes.join(fields.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("field", F.get("values", F.lit(0))))).alias("fields")), "path", "left")
+    plan = profile.migration_plan(held, rec.override(**{"Value 7 project": "log"}), profile.Recommendation(None, (), {}, False))
+    new = Counter(c["new_value"] for r in plan.collect() for c in r["changes"] if c["action"] == "update")
+    assert new == {"project": 1499, "log": 1, "term": 1}
+    schema = profile.recommend_schema(notes, fields)
+    assert (schema.gist, schema.tags, schema.notes_without_gist, schema.type_updates, schema.area_updates, schema.new_frontmatter) == ("summary", "keywords", 1500, 1501, 0, 1)
+    bare = profile.recommend_schema(notes.limit(0), fields.limit(0))
+    assert (bare.gist, bare.tags, bare.notes_without_gist, bare.type_updates) == (None, None, 0, 0)
+
+
 def test_corpus_round_trip(spark):
     docs = spark.createDataFrame([(i, f"Firsty lineup WORD{i}\nmore", ("en", "fr", "xx")[i % 3], "s", 9) for i in range(12)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     notes = src.corpus(docs)
