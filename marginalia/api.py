@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .config import NotesConfig
+from .functions import text as tx
 from .functions import vectors as vx
 from .operators import audit as au
 from .operators import knn, listing, save, search, sync, tags
@@ -27,6 +28,7 @@ class Collection:
     config: NotesConfig = field(default_factory=NotesConfig)
     embedder: vx.Embedder = field(default_factory=vx.Embedder)
     root: str | None = None
+    stored: search.StoredIndex | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, config: NotesConfig | None = None, embedder: vx.Embedder | None = None, text_source: str = "gist") -> Collection:
@@ -53,7 +55,7 @@ class Collection:
         return str(Path(self.root or ".", self.config.inbox))
 
     def search(self, query: str, limit: int = search.LIMIT, type: str | None = None, area: str | None = None, mode: str | None = None, prefilter: bool = False) -> DataFrame:  # noqa: A002
-        found = search.search(self.notes, query, limit, mode, self.embedder, prefilter, type=type, area=area)
+        found = search.search(self.notes, query, limit, mode, self.embedder, prefilter, index=self.stored, type=type, area=area)
         return found.select(F.col("name").alias("title"), "path", "gist", "type", "area", "score")
 
     def related(self, name: str, limit: int = 10, boost_type: bool = False, boost_area: bool = False) -> DataFrame:
@@ -87,14 +89,22 @@ class Collection:
     def clear_inbox(self) -> None:
         save.clear_inbox(self.inbox)
 
-    def save(self, title: str, content: str, strategy: str = "create", type: str | None = None, area: str | None = None, tags_: list[str] | None = None, gist: str | None = None, source: list[str] | None = None, similarity: float = save.SIMILAR, auto_tags: list[str] | None = None, tag_limit: int = 5) -> tuple[str, DataFrame | None]:  # noqa: A002
-        """(what was done, similar notes if a decision is needed). Strategies: create, update, append, inbox, smart."""
+    def save(self, title: str, content: str, strategy: str = "create", type: str | None = None, area: str | None = None, tags_: list[str] | None = None, gist: str | None = None, source: list[str] | None = None, similarity: float = save.SIMILAR, auto_tag: bool = True, discover: bool = False, tag_limit: int = 5, catalogue: DataFrame | None = None) -> tuple[str, DataFrame | None]:  # noqa: A002
+        """(what was done, similar notes if a decision is needed). Strategies: create, update, append, inbox, smart.
+
+        With ``auto_tag`` and a catalogue the tags that the gist, or else the title, suggests are added to the given ones, up to
+        ``tag_limit`` in all; with ``discover`` its own words may become tags too.
+        """
         if strategy == "inbox":
             save.append_inbox(self.inbox, content, title)
             return "appended to inbox", None
+        if strategy not in ("create", "smart", "update", "append"):
+            raise ValueError(f"no strategy {strategy}")
         spark = self.notes.sparkSession
-        kept = [x.strip() for x in tags_ or [] if x.strip()]
-        kept = list(dict.fromkeys(kept + auto_tags))[:tag_limit] if auto_tags else list(dict.fromkeys(kept))
+        kept = list(dict.fromkeys(x.strip() for x in tags_ or [] if x.strip()))
+        if auto_tag and catalogue is not None and strategy != "append":
+            found = self.tags_suggest(gist or title, catalogue, tag_limit, discover).collect()
+            kept = list(dict.fromkeys(kept + [r["tag"] for r in found]))[:tag_limit]
         schema = "title string, content string, type string, area string, gist string, tags array<string>, source array<string>, today date"
         request = spark.createDataFrame([(title, content, type, area, gist, kept, source, date.today())], schema)
         if strategy == "smart":
@@ -106,13 +116,11 @@ class Collection:
             if row["outcome"] != "created":
                 return row["outcome"], None
             changed = spark.createDataFrame([(row["path"], row["content"])], "path string, content string")
-        elif strategy in ("update", "append"):
+        else:
             own = self.notes.filter(F.col("name") == title).orderBy("path").limit(1).select("path", "name", "content")
             if own.isEmpty():
                 return "not found", None
             changed = (save.update(request, own, self.config) if strategy == "update" else save.append(request, own)).select("path", "content")
-        else:
-            raise ValueError(f"no strategy {strategy}")
         errors = save.write_files(changed, self.root or ".").filter("error is not null").collect()
         return (errors[0]["error"] if errors else {"update": "updated", "append": "appended"}.get(strategy, "created")), None
 
@@ -137,12 +145,38 @@ class Collection:
         near = knn.knn(self.notes.filter(F.col("name") != name), "vec", row["vec"], min(max(similar, 1), 50), "path")
         return tags.from_similar(near, row["tags"] or [], least, limit)
 
+    def complete(self, line: str, limit: int = 5) -> DataFrame:
+        """The notes for a link that is being typed: what stands after an open ``[[`` is searched for, from two characters on."""
+        row = self.notes.sparkSession.createDataFrame([(line,)], "line string").select(tx.completion_prefix(F.col("line")).alias("p")).first()
+        return self.search(row["p"], limit, mode="semantic") if row["p"] else self.search("", limit).limit(0)
+
+    def index_rows(self) -> DataFrame:
+        """(path, gist, mtime, indexed, fields, tags): the notes as an index has them."""
+        return self.notes.select("path", "gist", F.unix_millis("modified").alias("mtime"), F.col("vec").isNotNull().alias("indexed"), "fields", "tags")
+
+    def reindex(self, folder: str) -> search.StoredIndex:
+        """Embeds all notes, writes their vectors and their inverted index below a folder, and searches it from then on.
+        Vectors are written as they are made, batch by batch; the notes then read them back."""
+        self.notes.select("path", "vec").write.mode("overwrite").parquet(f"{folder}/vectors")
+        vectors = self.notes.sparkSession.read.parquet(f"{folder}/vectors")
+        self.stored = search.StoredIndex.write(self.notes.drop("vec"), f"{folder}/words")
+        self.notes = self.notes.drop("vec").join(vectors, "path")
+        return self.stored
+
+    def clear_index(self, folder: str) -> None:
+        """Removes what ``reindex`` has written; searches read the notes again."""
+        spark, self.stored = self.notes.sparkSession, None
+        self.notes = self.embed(self.notes.drop("vec") if self.root is None else src.parse_notes(src.read_folder(spark, self.root), self.config.field_prefix), self.embedder)
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def recent(self, limit: int = 10) -> DataFrame:
         return listing.project(self.notes.orderBy(F.desc("modified"), "path").limit(limit))
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions: htp_embed(text) and cosine(a, b). Both run in Arrow batches; in DataFrame code use the Columns."""
+    """SQL functions: htp_embed(text) and cosine(a, b), which run in Arrow batches, so in DataFrame code use the Columns, and
+    bm25(tf, dl, mean, df, n), the score of a term met ``tf`` times in a field of ``dl`` terms, which stays in the JVM."""
     def embed(texts: pd.Series) -> pd.Series:
         return pd.Series([[float(x) for x in vx.embed_text(t or "")] for t in texts])
 
@@ -156,3 +190,4 @@ def register_functions(spark: SparkSession) -> None:
 
     spark.udf.register("htp_embed", F.pandas_udf(embed, T.ArrayType(T.DoubleType())))
     spark.udf.register("cosine", F.pandas_udf(cosine, T.DoubleType()))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION bm25(tf DOUBLE, dl DOUBLE, mean DOUBLE, df DOUBLE, n DOUBLE) RETURNS DOUBLE RETURN ln(1 + (n - df + 0.5) / (df + 0.5)) * {search.K1 + 1} * tf / (tf + {search.K1} * (1 - {search.B} + {search.B} * dl / mean))")

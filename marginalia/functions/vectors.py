@@ -199,6 +199,67 @@ class TableEmbedder(Embedder):
         return self._mean([t for t in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower()) if t])
 
 
+class SubwordEmbedder(Embedder):
+    """Static vectors of subwords: a text is the normalised mean over the rows of its token ids, and a word is the mean over
+    the subwords it is made of. Tokenizer and rows are files of a model, of bounded size, and go to the workers."""
+
+    STARTS, CONTINUED = ("\u2581", "\u0120"), "##"
+
+    def __init__(self, rows: np.ndarray, tokenizer: str, name: str = "subword", unit: bool = True):
+        """``tokenizer`` is the text of a tokenizer.json."""
+        self.rows, self.text, self.name, self.unit, self.dimension = np.asarray(rows, float), tokenizer, name, unit, rows.shape[1]
+        self._loaded = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_loaded": None}
+
+    @property
+    def tokenizer(self):
+        if self._loaded is None:
+            from tokenizers import Tokenizer
+
+            self._loaded = Tokenizer.from_str(self.text)
+        return self._loaded
+
+    def query(self, text: str) -> np.ndarray:
+        ids = [i for i in self.tokenizer.encode(text, add_special_tokens=False).ids if i < len(self.rows)]
+        mean = self.rows[ids].mean(axis=0) if ids else np.zeros(self.dimension)
+        size = math.sqrt(mean @ mean)
+        return mean / size if self.unit and size > 1e-12 else mean
+
+    def column(self, text: Column) -> Column:
+        own = self
+        return F.pandas_udf(lambda texts: pd.Series([own.query(t or "") for t in texts]), VECTOR)(text)
+
+    def words(self, text: str) -> list[tuple[str, list[int]]]:
+        """The words of a text with the ids of their subwords: a subword begins a word if it is marked so or if the tokenizer
+        has split the text before it."""
+        found, before = self.tokenizer.encode(text, add_special_tokens=False), object()
+        out: list[tuple[str, list[int]]] = []
+        for token, i, of in zip(found.tokens, found.ids, found.word_ids, strict=True):
+            if token.startswith(self.STARTS) or of != before or not out:
+                out.append((token.lstrip("".join(self.STARTS)).removeprefix(self.CONTINUED).lower(), [i]))
+            else:
+                out[-1] = (out[-1][0] + token.removeprefix(self.CONTINUED).lower(), [*out[-1][1], i])
+            before = of
+        return out
+
+    def matrix(self, tokens: list[str]) -> np.ndarray:
+        return np.array([self.query(t) for t in tokens]).reshape(-1, self.dimension)
+
+    def keywords(self, text: str, floor: float, limit: int) -> list[tuple[str, float]]:
+        """The words of a text whose cosine to it is over a floor, nearest first; marks of special tokens and single letters are none."""
+        whole, score = self.query(text), {}
+        for word, ids in self.words(text):
+            ids = [i for i in ids if i < len(self.rows)]
+            if len(word.encode()) >= 2 and not word.startswith(("[", "<")) and word not in score and ids:
+                mean = self.rows[ids].mean(axis=0)
+                size = math.sqrt((mean @ mean) * (whole @ whole))
+                if mean.any():
+                    score[word] = round(float(mean @ whole / size), 9) if size else 0.0
+        return sorted(((w, s) for w, s in score.items() if s > floor), key=lambda x: (-x[1], x[0]))[:limit]
+
+
 def create_embedder(table: dict[str, list[float]] | None = None) -> Embedder:
     """The table's embedder if there is a table, else the harmonic one."""
     return TableEmbedder(table) if table else Embedder()

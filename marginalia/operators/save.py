@@ -7,7 +7,9 @@ import time
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -150,12 +152,38 @@ def contract_errors(notes: DataFrame, meta: dict) -> DataFrame:
 
 
 def export_index(notes: DataFrame, vectors: DataFrame, folder: str, mode: str = "htp") -> bool:
-    """Writes notes, vectors and meta below a folder, if the notes keep the contract. Notes are JSON lines, vectors parquet."""
+    """Writes notes, vectors and meta below a folder, if the notes keep the contract. Notes are a folder notes.json of JSON
+    lines, as many files as there are partitions; vectors are parquet."""
     count = notes.count()
     meta = {"embeddingMode": mode, "dimension": DIMENSIONS[mode], "noteCount": count, "indexSize": vectors.count(), "exportedAt": int(time.time() * 1000), "version": CONTRACT_VERSION}
     if not contract_errors(notes, meta).isEmpty():
         return False
-    notes.write.mode("overwrite").json(f"{folder}/notes.jsonl")
+    notes.write.mode("overwrite").json(f"{folder}/notes.json")
     vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
     notes.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta.json")
     return True
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on any file system that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def restore_index(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The vectors of an exported index; None if there are none. One that is there but can't be read, or has no vector
+    although its meta counts some, is damaged: its vectors are removed, so that the next sync builds them anew."""
+    path = f"{folder}/vectors"
+    if not exists(spark, path):
+        return None
+    try:
+        vectors = spark.read.parquet(path)
+        stored = spark.read.json(f"{folder}/meta.json").first() if exists(spark, f"{folder}/meta.json") else None
+        if not vectors.isEmpty() or (stored and stored["indexSize"] == 0):
+            return vectors
+    except (AnalysisException, Py4JJavaError) as e:
+        if isinstance(e, Py4JJavaError) and "is not a Parquet file" not in str(e):
+            raise  # what keeps Spark from reading may pass; only what the files say is damage
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return None

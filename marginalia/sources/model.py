@@ -8,6 +8,8 @@ from pathlib import Path
 
 import numpy as np
 
+from ..functions.vectors import SubwordEmbedder
+
 
 def read_tensors(path: str) -> dict[str, np.ndarray]:
     """The tensors of a safetensors file as float arrays: F32, F16 and BF16."""
@@ -42,6 +44,11 @@ def token_table(tensors: str, tokenizer: str, name: str = "embeddings") -> dict[
     return table
 
 
+def subword_model(tensors: str, tokenizer: str, name: str = "embeddings") -> SubwordEmbedder:
+    """The embedder of a static model: its tensor file and its tokenizer.json."""
+    return SubwordEmbedder(read_tensors(tensors)[name], Path(tokenizer).read_text(encoding="utf-8"))
+
+
 def clean_token(token: str) -> str:
     """A subword without its marks, in lower case."""
     for mark in ("Ġ", "##", "▁"):

@@ -81,14 +81,16 @@ def coerce_fields(raw: Column) -> Column:
 
 
 def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(notes, meta) of an exported index, with lenient field values: its notes are one JSON array, or JSON lines."""
+    """(notes, meta) of an exported index, with lenient field values: its notes are one file with
+    a JSON array, or a folder of files with JSON lines."""
     reader = spark.read.schema("path string, gist string, mtime bigint, indexed boolean, fields string, tags array<string>")
-    raw = reader.json(f"{folder}/notes.json", multiLine=True) if Path(folder, "notes.json").exists() else reader.json(f"{folder}/notes.jsonl")
+    path = f"{folder}/notes.json"
+    raw = reader.json(path) if Path(path).is_dir() else reader.json(path, multiLine=True)
     return raw.withColumn("fields", coerce_fields(F.col("fields"))), spark.read.schema(META).json(f"{folder}/meta.json", multiLine=True)
 
 
 def index_exists(folder: str) -> bool:
-    return any(Path(folder, x).exists() for x in ("notes.json", "notes.jsonl")) and all(Path(folder, x).exists() for x in ("meta.json", "vectors"))
+    return all(Path(folder, x).exists() for x in ("notes.json", "meta.json", "vectors"))
 
 
 def read_inbox(spark: SparkSession, path: str) -> DataFrame:

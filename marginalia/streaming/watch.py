@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import sync
+
 GAP, LATE = "1 second", "10 seconds"
 CHANGES = "path string, old_path string, kind string, ts timestamp"
 
@@ -49,15 +51,30 @@ def last_events(changes: DataFrame, gap: str = GAP, late: str = LATE) -> DataFra
     return rows.select("path", "m.kind", "m.ts", "n")
 
 
-def run(changes: DataFrame, apply: Callable[[DataFrame, DataFrame], None], checkpoint: str, **trigger) -> StreamingQuery:
-    """Starts applying bursts: ``apply(upserts, deletes)`` gets the paths of each micro-batch, with the last event of a
-    path deciding. ``trigger`` as of writeStream.trigger; stop the query to drop what is pending."""
+def catch_up(files: DataFrame, stored: DataFrame, apply: Callable[[DataFrame, DataFrame], None], key: str = "path", text: str = "text") -> dict[str, int]:
+    """What has changed while nobody watched: ``apply(upserts, deletes)`` gets the paths whose file (key, mtime, text) is new or
+    differs from the stored row, and those that are gone. How many of each action there were."""
+    changes = sync.diff(files, stored, key, text).persist()
+    counts = {r["action"]: r["n"] for r in sync.sync_counts(changes).collect()}  # a row an action
+    if counts.keys() - {"unchanged"}:
+        apply(changes.filter("action in ('added', 'updated')").select(key), changes.filter("action = 'removed'").select(key))
+    changes.unpersist()
+    return counts
+
+
+def run(changes: DataFrame, apply: Callable[[DataFrame, DataFrame], None], checkpoint: str, gap: str | None = GAP, late: str = LATE, **trigger) -> StreamingQuery:
+    """Starts applying bursts: ``apply(upserts, deletes)`` gets the paths whose burst of changes a quiet ``gap`` has ended, with
+    its last event deciding; changes of a burst that goes on wait in the state. Without a gap each micro-batch is applied
+    at once, with the last event of a path in it. ``trigger`` as of writeStream.trigger; stop the query to drop what is pending."""
 
     def batch(rows: DataFrame, _: int) -> None:
         last = rows.groupBy("path").agg(F.max_by("kind", F.struct("ts", (F.col("kind") == "delete"))).alias("kind"))
         last = last.persist()
-        apply(last.filter("kind <> 'delete'").select("path"), last.filter("kind = 'delete'").select("path"))
+        if not last.isEmpty():
+            apply(last.filter("kind <> 'delete'").select("path"), last.filter("kind = 'delete'").select("path"))
         last.unpersist()
 
-    writer = expand_renames(notes_only(changes)).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    events = expand_renames(notes_only(changes))
+    events = last_events(events, gap, late) if gap else events
+    writer = events.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
