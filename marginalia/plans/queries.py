@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..api import Collection
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import ann
 from ..operators import audit as au
 from ..operators import knn, listing, profile, save, search, sync, tags
 from ..sources import notes as src
+from ..sources.shared import shared_folder
 from ..streaming import watch
 from . import sql
 
@@ -345,18 +348,24 @@ def audit_schema(spark, d):
     return au.violations(_notes(spark, d)).drop("message")
 
 
-@query(
-    f"""WITH {sql.NOTES}, {sql.LINKS}, {_VIOLATIONS}, t AS (SELECT count(*) AS t, count(*) FILTER (coalesce(trim(gist), '') = '') AS g, count(*) FILTER (len(tags) = 0) AS u, count(*) FILTER (gist IS NOT NULL AND gist_date < CAST(modified AS DATE)) AS s FROM notes),
+_AUDIT = f"""WITH {sql.NOTES}, {sql.LINKS}, {_VIOLATIONS}, t AS (SELECT count(*) AS t, count(*) FILTER (coalesce(trim(gist), '') = '') AS g, count(*) FILTER (len(tags) = 0) AS u, count(*) FILTER (gist IS NOT NULL AND gist_date < CAST(modified AS DATE)) AS s FROM notes),
 o AS (SELECT count(*) AS o FROM (SELECT DISTINCT name FROM notes WHERE name NOT IN (SELECT dst FROM links))), l AS (SELECT count(*) AS t, count(*) FILTER (dst NOT IN (SELECT name FROM notes)) AS b FROM links), v AS (SELECT count(*) FILTER (severity = 'error') AS e, count(*) AS n FROM violations)
 SELECT 'schema' AS "check", CASE WHEN e > 0 THEN 'fail' WHEN n > 0 THEN 'warn' ELSE 'pass' END AS status, n AS found, t AS total FROM v, t UNION ALL SELECT 'wikilinks', CASE WHEN b > 0 THEN 'fail' ELSE 'pass' END, b, t FROM l
 UNION ALL SELECT 'gist', CASE WHEN g > 0 THEN 'fail' ELSE 'pass' END, g, t FROM t UNION ALL SELECT 'tags', CASE WHEN u / greatest(t, 1) < 0.3 THEN 'pass' ELSE 'fail' END, u, t FROM t
 UNION ALL SELECT 'orphans', CASE WHEN o / greatest(t, 1) < 0.3 THEN 'pass' ELSE 'fail' END, o, t FROM o, t UNION ALL SELECT 'stale_gists', CASE WHEN s > 0 THEN 'warn' ELSE 'pass' END, s, t FROM t"""
-)
+
+
+@query(_AUDIT)
 def audit_summary(spark, d):
     notes = _notes(spark, d)
     return au.audit(notes, src.links(notes))
 
 
+@query(f"SELECT count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed FROM ({_AUDIT})")
+def audit_totals(spark, d):
+    return au.audit_totals(audit_summary(spark, d))
+
+
 @query(f"WITH {sql.NOTES} SELECT name, gist_date, CAST(modified AS DATE) AS modified_date FROM notes WHERE gist IS NOT NULL AND gist_date < CAST(modified AS DATE)")
 def audit_stale(spark, d):
     return au.stale(_notes(spark, d))
@@ -742,9 +751,9 @@ def rename_expand(spark, d):
 _GAP = "6 hours"
 
 
-def _sessions(keys: str) -> str:
+def _sessions(keys: str, gap: str = "6 HOUR") -> str:
     by = f"PARTITION BY {keys} " if keys else ""
-    return f"s AS (SELECT *, sum(new) OVER ({by}ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts < lag(ts) OVER ({by}ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM x))"
+    return f"s AS (SELECT *, sum(new) OVER ({by}ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts < lag(ts) OVER ({by}ORDER BY ts) + INTERVAL {gap} THEN 0 ELSE 1 END AS new FROM x))"
 
 
 @query(f"WITH {_EXPANDED}, {_sessions('path')} SELECT path, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", count(*) AS n FROM s GROUP BY path, g")
@@ -755,3 +764,142 @@ def debounce_sessions(spark, d):
 @query(f"WITH {_EXPANDED}, {_sessions('path')}, r AS (SELECT *, row_number() OVER (PARTITION BY path, g ORDER BY ts DESC, kind = 'delete' DESC, kind DESC) AS r, count(*) OVER (PARTITION BY path, g) AS n FROM s) SELECT path, kind, ts, n FROM r WHERE r = 1")
 def last_event_wins(spark, d):
     return watch.last_events(watch.expand_renames(_feed(spark, d)), _GAP)
+
+
+@query(f"WITH {_EXPANDED}, {_sessions('', '2 MINUTE')} SELECT min(ts) AS start, max(ts) + INTERVAL 2 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY g")
+def debounce_all(spark, d):
+    """One timer for all paths."""
+    return watch.debounce(watch.expand_renames(_feed(spark, d)), "2 minutes")
+
+
+# Smaller operators -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT doc_id, 'Notes/' || CASE WHEN doc_id % 4 = 0 THEN '.' ELSE '' END || source || '/' || CASE WHEN doc_id % 9 = 0 THEN '.x.md' ELSE 'x.md' END AS path FROM documents)
+SELECT doc_id, contains('/' || path, '/.') AS hidden FROM p""")
+def hidden_paths(spark, d):
+    dot = lambda n: F.when(F.col("doc_id") % n == 0, ".").otherwise("")
+    path = F.concat(F.lit("Notes/"), dot(4), F.col("source"), F.lit("/"), dot(9), F.lit("x.md"))
+    return _table(spark, d, "documents").select("doc_id", tx.hidden(path).alias("hidden"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 20 THEN left(text, 20) || '...' ELSE text END AS short, CAST(round((n_chars % 1001) / 1000 * 100) AS INTEGER) || '%' AS share FROM documents")
+def text_formats(spark, d):
+    return _table(spark, d, "documents").select("doc_id", tx.ellipsis(F.col("text"), 20).alias("short"), tx.percent((F.col("n_chars") % 1001) / 1000).alias("share"))
+
+
+@query("SELECT doc_id, CAST(n_chars AS VARCHAR) AS n, 'true' AS b, source || ', ' || lang AS l, 3 AS size FROM documents")
+def coerced_fields(spark, d):
+    raw = F.concat(F.lit('{"n": '), F.col("n_chars").cast("string"), F.lit(', "b": true, "l": ["'), F.col("source"), F.lit('", "", "'), F.col("lang"), F.lit('"], "o": {"z": 1}, "e": null}'))
+    rows = _table(spark, d, "documents").select("doc_id", src.coerce_fields(raw).alias("f"))
+    return rows.select("doc_id", F.col("f")["n"].alias("n"), F.col("f")["b"].alias("b"), F.col("f")["l"].alias("l"), F.size("f").alias("size"))
+
+
+@query(f"""WITH {sql.CORPUS} SELECT path, '{{"title":"' || name || '","path":"' || path || '"' || CASE WHEN status IS NOT NULL THEN ',"status":"' || status || '"' ELSE '' END || CASE WHEN area IS NOT NULL THEN ',"area":"' || area || '"' ELSE '' END || '}}' AS json FROM corpus""")
+def notes_json(spark, d):
+    return listing.as_json(_corpus(spark, d), "status, area")
+
+
+@query(f"WITH {sql.NOTES} SELECT doc_id, type, area, CAST((type IS NOT NULL)::INT + (area IS NOT NULL)::INT AS INTEGER) AS size FROM notes")
+def picked_fields(spark, d):
+    rows = _notes(spark, d).select("doc_id", listing.pick_fields(F.col("fields"), ["type", "area", "nothing"]).alias("f"))
+    return rows.select("doc_id", F.col("f")["type"].alias("type"), F.col("f")["area"].alias("area"), F.size("f").alias("size"))
+
+
+@query(f"WITH {sql.CORPUS} SELECT name AS title, path, gist FROM corpus ORDER BY modified DESC, path LIMIT 10")
+def recent_notes(spark, d):
+    return Collection(_corpus(spark, d)).recent(10)
+
+
+@query(f"""WITH {sql.NOTES} SELECT path, CASE WHEN doc_id % 5 = 0 THEN concat_ws(chr(10), '---', 'note_type: log', 'note_status: active', 'note_area: ' || area, '---') || chr(10) || chr(10) || 'anew: ' || name || chr(10) ELSE content END AS content FROM notes""")
+def save_update(spark, d):
+    notes, none = src.rendered(_corpus(spark, d)), F.lit(None).cast("string")
+    requests = notes.filter("doc_id % 5 = 0").select(
+        F.col("name").alias("title"), F.concat(F.lit("anew: "), F.col("name")).alias("content"), F.lit("log").alias("type"), "area", none.alias("gist"),
+        F.array().cast("array<string>").alias("tags"), F.lit(None).cast("array<string>").alias("source"), F.lit(None).cast("date").alias("today"),
+    )
+    return save.update(requests, notes.select("path", "name", "content")).select("path", "content")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 7 <> 0")
+def delete_vectors(spark, d):
+    rows = _vectors(spark, d)
+    return save.delete(rows, rows.filter("vec_id % 7 = 0"), "vec_id").select("vec_id", "label")
+
+
+def _labelled_tags(spark, d):
+    """A catalogue of as many tags as there are labels of vectors, each with two aliases."""
+    label = F.col("label").cast("string")
+    rows = _vectors(spark, d).select("label").distinct()
+    return rows.select(F.concat(F.lit("tag-"), label).alias("name"), F.concat(F.lit("about "), label).alias("description"), F.array(F.concat(F.lit("a"), label), F.concat(F.lit("b"), label)).alias("aliases"), F.lit(0).cast("long").alias("usage_count"))
+
+
+@query("SELECT 'tag-' || label AS name, count(*) AS usage_count FROM embeddings GROUP BY label")
+def tag_usage(spark, d):
+    return save.increment_usage(_labelled_tags(spark, d), _vectors(spark, d).select(F.concat(F.lit("tag-"), F.col("label").cast("string")).alias("name"))).select("name", "usage_count")
+
+
+@query("SELECT name, aliases FROM (SELECT DISTINCT 'tag-' || label AS name, 'a' || label || '|b' || label || CASE WHEN label = 1 THEN '|more' ELSE '' END AS aliases FROM embeddings UNION ALL SELECT 'fresh', '')")
+def tag_additions(spark, d):
+    more = tags.add_tag(tags.add_tag(_labelled_tags(spark, d), "fresh", "a new one"), "tag-1", "known already")
+    return tags.add_alias(more, "tag-1", "more").select("name", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("SELECT * FROM (VALUES ('tag-1', 'a1|b1'), ('tag-2', '')) AS t(name, aliases)")
+def find_tag(spark, d):
+    """By name, by alias, and not at all."""
+    catalogue = _labelled_tags(spark, d)
+    found = tags.find_tag(catalogue, "tag-1").unionByName(tags.find_tag(catalogue, "b2")).unionByName(tags.find_tag(catalogue, "nothing"))
+    return found.select("name", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("SELECT count(DISTINCT label) AS n, count(*) = 0 AS is_empty FROM embeddings")
+def tag_count(spark, d):
+    return tags.tag_count(_labelled_tags(spark, d))
+
+
+@query(f"""SELECT doc_id, tag, round(score, 6) AS score, 'semantic' AS reason FROM (SELECT a.vec_id AS doc_id, 'tag-' || b.vec_id AS tag, round({sql.cosine('a.embedding', 'b.embedding')}, 9) AS score
+FROM embeddings a JOIN embeddings b ON b.vec_id < 30) WHERE score >= 0.3""")
+def tag_semantic(spark, d):
+    rows = _vectors(spark, d)
+    texts = rows.select(F.col("vec_id").alias("doc_id"), F.lit("").alias("text"), F.col("embedding").cast("array<double>").alias("vec"))
+    catalogue = rows.filter("vec_id < 30").select(F.concat(F.lit("tag-"), F.col("vec_id").cast("string")).alias("name"), F.array().cast("array<string>").alias("aliases"), F.col("embedding").cast("array<double>").alias("vec"))
+    return _short(tags.suggest(texts, catalogue), "doc_id", "tag", "reason")
+
+
+@query(f"WITH {sql.NOTES}, {_FIELDS} SELECT coalesce(CAST(sum(n) FILTER ({_mapped('value', profile.RECOMMENDED['type'])} <> value) AS BIGINT), 0) AS n FROM vc WHERE field = 'note_type'")
+def mapping_estimate(spark, d):
+    return profile.estimate(profile.value_mapping(_fields(spark, d), "note_type", profile.RECOMMENDED["type"]))
+
+
+@query(f"WITH {sql.NOTES} SELECT 'note_gist' AS gist, 'note_tags' AS tags, (SELECT count(*) FROM notes WHERE concat_ws('', type, status, area, gist) <> '' OR len(tags) > 0) - count(gist) AS notes_without_gist, CAST(0 AS BIGINT) AS type_updates, CAST(0 AS BIGINT) AS area_updates FROM notes")
+def schema_recommendation(spark, d):
+    found = profile.recommend_schema(src.rendered(_corpus(spark, d)), _fields(spark, d))
+    return spark.createDataFrame([(found.gist, found.tags, found.notes_without_gist, found.type_updates, found.area_updates)], "gist string, tags string, notes_without_gist bigint, type_updates bigint, area_updates bigint")
+
+
+@query("SELECT * FROM (VALUES ('dimension', '64', (SELECT count(*) FROM embeddings)), ('dimension', '128', 0)) AS t(key, value, vectors)")
+def index_meta(spark, d):
+    """Vectors stay as long as their dimension does."""
+    meta, out = sync.set_meta(spark.createDataFrame([("dimension", "32")], "key string, value string"), "dimension", "64"), None
+    for dimension in (64, 128):
+        new, left = sync.clear_on_dimension_change(meta, _vectors(spark, d), dimension)
+        part = new.crossJoin(left.agg(F.count("*").alias("vectors")))  # one row by one row
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_SCORE = "boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / mean))"
+
+
+@query(f"""WITH {sql.CORPUS}, {sql.bm25(['that', 'with', 'doc'], search.BOOSTS, 'h')}, ok AS (SELECT doc_id FROM p_h WHERE tf > 0 GROUP BY doc_id HAVING count(*) FILTER (term = 'that') > 0 AND count(*) FILTER (term = 'with') = 0)
+SELECT path, round(round(sum({_SCORE}), 9), 6) AS score FROM p_h JOIN d_h USING (field, term) JOIN s_h USING (field) JOIN ok USING (doc_id) WHERE tf > 0 AND term <> 'with' AND (term <> 'doc' OR field = 'title') GROUP BY path""")
+def bm25_syntax(spark, d):
+    return _short(search.bm25(_corpus(spark, d), "+that -with title:doc", None), "path")
+
+
+@query(f"WITH {sql.CORPUS}, {sql.bm25(TERMS, search.BOOSTS)} {CONTEXT} hits")
+def bm25_stored(spark, d):
+    """Out of an inverted index that is written first."""
+    index = search.StoredIndex.write(_corpus(spark, d), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return _short(index.search(WORDS, None), "path")
