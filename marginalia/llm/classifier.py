@@ -110,7 +110,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRE
 
     Labels of rows with crc32(doc_id) mod 5 = 0 are held out. Null and empty texts have statistics too and get a score.
     A row without a doc_id is not held out and has no label. Rows that share a doc_id are scored each by its text.
-    Without labels of both classes each text scores alike. Columns other than doc_id, text and quality are ignored.
+    Without labels of both classes each text scores alike. A very long text has statistics of the whole. An empty table
+    gives an empty result. Columns other than doc_id, text and quality are ignored.
     """
     work = Work(docs.sparkSession, "classifier")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

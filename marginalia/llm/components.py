@@ -43,5 +43,7 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
         work.drop(now, larger)
         now = after
         if sign == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            labels = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            labels._work_path = now._work_path
+            return labels
         seen = sign

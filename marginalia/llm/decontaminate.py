@@ -78,6 +78,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
     needs = proposed.join(each.drop("n", "k"), "wid").withColumn("pos", F.col("start") + F.col("off"))
     found = needs.join(at.select("rid", "pos", "shingle"), ["rid", "pos", "shingle"]).groupBy("rid", "wid", "start", "n").agg(F.count("*").alias("matches"))
     found = work.cut(found.filter(F.col("matches") == F.col("n") - F.least("n", F.lit(shingle)) + 1).drop("matches"), "found")
+    work.keep(windows, matched, found)
     return rows, found, members
 
 
@@ -87,7 +88,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     A document is contaminated if a ``share``-th of its words or more lie in windows of ``window`` benchmark words.
     Null, empty and wordless texts have no words and are clean; items without words match nothing; items with equal
     windows all count; a null item_id counts as no item, though its windows hit. Repeated rows each get a row.
-    Columns other than doc_id, text and item_id are ignored.
+    A very long text is a row like others: its words are one array and its shingles a stream of rows. An empty table gives
+    an empty result, an empty benchmark clean documents. Columns other than doc_id, text and item_id are ignored.
     """
     rows, found, members = occurrences(docs, benchmark, window)
     # words covered by any occurrence: each adds what lies beyond the furthest end so far

@@ -158,7 +158,8 @@ def identify_languages(pages: DataFrame, docs: DataFrame, most: int = SAMPLE) ->
 
     ``docs`` (doc_id, text, lang) are the labelled documents. A page without text, url or declaration goes by the
     evidence that is left, at last by the prior of all pages; ties go to the language first by name. Repeated rows
-    count and are scored each. Without a labelled language lang is null and the confidence 0.
+    count and are scored each. A very long page is read whole, its runs in blocks. An empty table gives an empty result.
+    Columns of other names are ignored. Without a labelled language lang is null and the confidence 0.
     """
     spark = pages.sparkSession
     work = Work(spark, "language")

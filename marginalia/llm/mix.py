@@ -52,8 +52,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     ``taken`` is how many of the document's words the mix takes, repeats counted: whole epochs of the source, then the
     documents in key order up to the budget; the document at the cut gives a part. The taken words of a source add up to
     its target, rounded. A null text has size 0 and gives nothing; null is a source of its own; rows with one doc_id
-    have one key and are ordered by size; rows without a doc_id have the key of their text. An empty table gives an empty
-    result. Reruns agree for a seed.
+    have one key and are ordered by size; rows without a doc_id have the key of their text. A very long text is
+    counted where it is read and moved nowhere. An empty table gives an empty result. Reruns agree for a seed.
     """
     work = Work(docs.sparkSession, "mix")
     spread = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))

@@ -167,7 +167,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = LINK)
 
     Null, empty and white texts have no shingles: they link with nothing and are kept. Repeated rows form one
     component; rows that share a doc_id count as one document. A row without a doc_id is kept; it has the component
-    of the documents with an equal set, if any, and else null.
+    of the documents with an equal set, if any, and else null. A very long text is compared as a whole, like others; its
+    set is made by one task, in blocks. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     work = Work(spark, "near")
@@ -187,7 +188,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = LINK)
     more = work.cut(_with_sets(more, sets).filter(_linked(F.col("x"), F.col("y"), similarity)).select("a", "b"), "links")
     if not more.isEmpty():
         labels = components(work, links.unionByName(more))
-    work.drop(sets)
+    work.keep(sketch, nodes, labels)
 
     rep = sketch.join(nodes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
     out = rep.join(labels, rep["rep"] == labels["node"], "left")

@@ -174,7 +174,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     A text fails the base rules with fewer than 20 words or with over 30 % of its words in repeated windows; else it is
     kept if the calibrated probability of good quality reaches ``threshold``. Null and white texts have no words and
     fail. Repeated rows and rows without a doc_id are scored like others. Unlabelled tables keep what passes the base
-    rules. Columns other than doc_id, text and quality are ignored.
+    rules. A very long text is judged as a whole, its characters in blocks. An empty table gives an empty result. Columns
+    other than doc_id, text and quality are ignored.
     """
     weights, bias, a, b = train(docs, labels, most)
     model = docs.sparkSession.sparkContext.broadcast((weights, bias, a, b))

@@ -55,7 +55,7 @@ def place(docs: DataFrame, shards: list[str] | None = None, slots: int = SLOTS)
     """``docs`` with the columns slot (int) and shard (string); columns of these names are replaced.
 
     A row's key is its doc_id; a row without one is placed by its text, a row without both like an empty text. Repeated
-    rows share a shard. Only the lookup table, of ``slots`` rows, is broadcast; documents aren't shuffled.
+    rows share a shard; a very long text matters only where it is the key. Only the lookup table, of ``slots`` rows, is broadcast; documents aren't shuffled.
     """
     names = shards or shard_names()
     table = docs.sparkSession.createDataFrame([(k, names[i]) for k, i in enumerate(lookup_table(names, slots))], "slot int, shard string")

@@ -31,10 +31,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Work:
-    """The tables one run of an operator writes. ``drop`` frees those that nothing reads any more."""
+    """The tables one run of an operator writes. ``drop`` and ``keep`` free those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.held = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -45,12 +45,21 @@ class Work:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._work_path = path
+        self.held.add(path)
         return out
 
+    def _delete(self, paths: set[str]) -> None:
+        for path in paths & self.held:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.held -= paths
+
     def drop(self, *tables: DataFrame) -> None:
-        for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._work_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete({t._work_path for t in tables})
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all other tables of this run: only these are read by what the operator returns."""
+        self._delete(self.held - {t._work_path for t in tables})
 
 
 #: A key is hot if more than this part of all rows have it, so there are fewer hot keys than this number.

@@ -8,8 +8,9 @@ fifth of the positions stands for all. At the later lengths a window is a candid
 length) or if its two end windows of the length before survived.
 
 A length is one grouped minimum and maximum of document ids by window hash, pre-aggregated before the shuffle, and one
-join that Spark may split; no group of equal windows is gathered. Texts are moved only for documents with candidates:
-a Bloom filter of bounded size lets them through, and an exact join follows.
+join that Spark may split; no group of equal windows is gathered. Texts move to their candidates once for each level after
+the first and once to be cut. A Bloom filter of bounded size keeps back those without candidates; beyond some ten million
+documents with candidates it lets all texts pass, and they are shuffled whole.
 """
 
 from __future__ import annotations
@@ -159,7 +160,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, start: int = START) -
     Removed is each word in a window of ``window`` words that also starts in a document with a smaller doc_id; windows
     are judged on the input. Texts of fewer words lose none; null and white texts have no words. Rows without a doc_id
     lose nothing and make no other document lose words. Rows that share a doc_id count as one document, and each gets
-    its row.
+    its row. A very long text is a row like others; its windows are made by one task. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     work = Work(spark, "substrings")
@@ -174,6 +175,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, start: int = START) -
         wider = work.cut(wider, "wider")
         alive = work.cut(_shared(wider, later=length == window), "level")
         work.drop(wider)
+    work.keep(offered, alive)
     kept_whole = offered.select("doc_id", "n_words", "sha")
     changed = _with_hashes(docs, alive).mapInArrow(_remove(window), "doc_id bigint, sha string, n_removed bigint, kept_sha256 string").dropDuplicates(["doc_id", "sha"])
     out = kept_whole.join(changed, ["doc_id", "sha"], "left")

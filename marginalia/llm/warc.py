@@ -159,6 +159,7 @@ def write_archives(pages: DataFrame, work: Work | None = None, least: int = LEAS
     The payload is the html in UTF-8; null is empty. Of records with equal payloads of ``least`` bytes or more, that
     with the smallest page_id is a response (all rows that repeat it are), the others are revisits of it. A null
     page_id is never the smallest, unless all are null; these rows then are responses. A null url leaves the header out.
+    A very long page is a frame by itself. An empty table gives no archives. Columns of other names are ignored.
     Records of rows that share a page_id, or have none, have identifiers with a part of their own, so that all differ.
     """
     work = work or Work(pages.sparkSession, "warc")
