@@ -15,12 +15,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marginalia.llm import classifier, language_id
+from marginalia.llm import classifier, kernels, language_id, lm_score
 from marginalia.llm import quality_rules as rules
 from marginalia.llm.classifier import classify_quality
 from marginalia.llm.doc_stats import counted, statistics
 from marginalia.llm.language_id import declared_of, identify_languages, ngrams, visible
-from marginalia.llm.lm_score import CLASSES, ROUNDS, START, WORDS, Model, frequent_counts, lm_scores, sequences
+from marginalia.llm.lm_score import CLASSES, ROUNDS, START, WORDS, Model, frequent_counts, grouped, lm_scores, sequences
 from marginalia.llm.quality_rules import platt, quality_rules
 
 from . import corpus
@@ -220,6 +220,19 @@ def test_lm_rounds_go_on_from_each_other():
     assert scores == sorted(scores) and scores[-1] > scores[1] + 100
 
 
+def test_lm_tables_follow_the_corpus(monkeypatch):
+    sizes = [Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), total, 0).rows for total in (0, 10**6, 10**7, 10**9)]
+    assert sizes == [1 << 13, 1 << 13, 1 << 15, 1 << 15]
+    column = pa.array(["a b c", "", None, "d " * 50, "e"] * 20)
+    whole = list(grouped(column))
+    monkeypatch.setattr(lm_score, "GROUP", 30)
+    monkeypatch.setattr(kernels, "CHUNK", 40)
+    parts = list(grouped(column))
+    assert len(whole) == 1 < len(parts) and np.array_equal(np.concatenate([h for h, _ in parts]), whole[0][0])
+    same = lambda of: of[1:] == of[:-1]
+    assert all(same(of).sum() + len(set(of.tolist())) == len(of) for _, of in parts)
+
+
 def test_lm_rare_tokens_by_join(spark, monkeypatch):
     from marginalia.llm import lm_score
 
@@ -268,9 +281,9 @@ def test_lm_scores_are_those_of_the_model(spark):
                 f = Model.features(np.array([before, t], np.uint64), np.zeros(2, np.int64))[:, 1:]
             r = rank.get(t, len(ranked))
             c = min(r // WORDS, CLASSES)
-            p = softmax(model.class_bias, model.of_class, Model.places(f)[:, 0])[c]
+            p = softmax(model.class_bias, model.of_class, model.places(f)[:, 0])[c]
             if c < CLASSES:
-                p *= softmax(model.word_bias[c], model.of_word, Model.places(f, np.array([c]))[:, 0])[r % WORDS]
+                p *= softmax(model.word_bias[c], model.of_word, model.places(f, np.array([c]))[:, 0])[r % WORDS]
             else:
                 p *= (counts.get(t, 0) + 1) / (model.rest_count + model.rest_kinds + 1)
             total, before, two = total + math.log10(p), t, before
