@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from .storage import Work
 
 WEIGHTS, LIMIT = (5, 2, 1), 3
-RANGE, REPEATS = 1 << 14, 1 << 16
+RANGE, REPEATS = 1 << 10, 1 << 16
 
 
 def size_of(text: Column) -> Column:
