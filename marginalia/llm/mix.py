@@ -3,8 +3,9 @@
 Texts are read once, for a small table of sizes; rows that are alike in it are one row with a count, so that no id or text,
 however often it is repeated, makes a hot key. Each document gets a hash key, random but reproducible. A source is sorted
 by the key: its leading bits make key ranges of some ``RANGE`` rows, so that no source, however large, is sorted in one
-task. Sums of the ranges give each range its offset, a running sum inside the range gives each document its place, and
-the source is cut exactly at its budget; a budget beyond the source's size takes whole epochs first.
+task. Sums over groups of ``GROUP`` ranges and over the ranges of a group give each range its offset, a running sum inside
+the range gives each document its place, and the source is cut exactly at its budget; a budget beyond the source's size
+takes whole epochs first.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 from .storage import Work
 
 WEIGHTS, LIMIT = (5, 2, 1), 3
-RANGE, REPEATS = 1 << 10, 1 << 16
+RANGE, GROUP, REPEATS = 1 << 10, 1 << 12, 1 << 16
 
 
 def size_of(text: Column) -> Column:
@@ -65,11 +66,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / ((1 << 32) // buckets)).cast("long")
     spread = spread.withColumn("bucket", bucket).withColumn("words", F.col("size") * F.col("n"))
 
-    ranges = spread.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
-    sizes = ranges.groupBy("source").agg(F.sum("words").alias("source_size"))
-    goal = targets(sizes, weights, limit)
-    in_order = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.select("source", "bucket", F.coalesce(F.sum("words").over(in_order), F.lit(0)).alias("offset"))
+    # prefix sums in two steps: of the groups in a source, of the ranges in a group
+    ranges = spread.groupBy("source", "bucket").agg(F.sum("words").alias("words")).withColumn("group", F.floor(F.col("bucket") / GROUP))
+    groups = ranges.groupBy("source", "group").agg(F.sum("words").alias("words"))
+    goal = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, limit)
+    before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select(F.col("source").alias("of"), F.col("group").alias("in"), before.alias("before"))
+    ranges = ranges.join(groups, F.col("source").eqNullSafe(F.col("of")) & (F.col("group") == F.col("in")))
+    in_order = W.partitionBy("source", "group").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("source", "bucket", (F.col("before") + F.coalesce(F.sum("words").over(in_order), F.lit(0))).alias("offset"))
     goal = goal.withColumnRenamed("source", "of")
     ranges = ranges.join(goal, F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("of"), F.col("bucket").alias("range"), "offset", "source_size", "target")
 

@@ -60,6 +60,7 @@ def test_against_brute_force(spark):
 def test_repeats_and_rows_without_ids(spark, monkeypatch):
     monkeypatch.setattr(mixing, "REPEATS", 7)
     monkeypatch.setattr(mixing, "RANGE", 4)
+    monkeypatch.setattr(mixing, "GROUP", 3)
     data = [(1, "a b c", "en", "a", 0)] * 50 + [(None, f"x {i}" + " y" * (i % 5), "en", "a", 0) for i in range(40)] + [(None, None, "en", "a", 0)] * 9 + [(i, "d " * i, "en", "b", 0) for i in range(2, 30)]
     check(spark, data)
 
