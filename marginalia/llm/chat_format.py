@@ -134,12 +134,12 @@ def masked_text(text: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarra
     return [text[a:b] for a, b in zip(s[new].tolist(), reach[last].tolist(), strict=True)]
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple[str, str]]]]:
+def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[object, list[tuple[str, str]]]]:
     """(conv_id, turns) of sorted rows: whole conversations, or stretches of turns of those that are very long."""
     turns, size, of = [], 0, None
     for batch in batches:
         for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if turns and (conv != of or size + len(text) > PART):
+            if turns and (conv != of or size + len(text) > most):
                 yield of, turns
                 turns, size = [], 0
             of = conv
@@ -164,14 +164,14 @@ def _encode(kind: pa.DataType, first: int, convs: list, held: list[tuple[str, li
     )
 
 
-def format_conversations(conversations: DataFrame, template: Template = Template(), tokenizer: str | None = None) -> DataFrame:
+def format_conversations(conversations: DataFrame, template: Template = Template(), tokenizer: str | None = None, part: int = PART) -> DataFrame:
     """(conv_id, part, text, n_turns, ids, starts, ends, loss) of conversations (conv_id, turn, role, text): the rendered text, its
     tokens with their spans in it, and whether each counts for the loss.
 
     Turns stand in the order of turn, null first, then role and text; repeated rows are repeated turns. A null text or role
     is an empty one; rows without a conv_id are one conversation; other columns are left out, whatever their names. An
-    empty text has no token. A conversation is one row; one of more than PART characters has a row for each stretch of its
-    turns, in the order of ``part``: marks are tokens of their own, so its tokens are those of the whole. A text of any length
+    empty text has no token. A conversation is one row; one of more than ``part`` characters has a row for each stretch of its
+    turns, numbered in order: marks are tokens of their own, so its tokens are those of the whole. A text of any length
     is encoded whole. An empty table gives an empty result.
 
     Rows meet by conversation and are sorted, never held as a group. Conversations of more than one in MOST_HOT of all
@@ -182,7 +182,7 @@ def format_conversations(conversations: DataFrame, template: Template = Template
     rows = conversations.select("conv_id", "turn", named("role").alias("role"), named("text").alias("text"))
     sizes = rows.groupBy("conv_id").agg(F.sum(F.char_length("text")).alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    limit = max(total // MOST_HOT, 4 * PART)
+    limit = max(total // MOST_HOT, 4 * part)
     hot = [] if total <= limit else [r[0] for r in sizes.filter(F.col("size") > limit).select("conv_id").collect()]  # MOST_HOT at most
     schema = f"conv_id {kind.simpleString()}, part bigint, text string, n_turns bigint, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
 
@@ -190,7 +190,7 @@ def format_conversations(conversations: DataFrame, template: Template = Template
         from pyspark import TaskContext
 
         tokens, first, convs, held, size = load_tokenizer(tokenizer, template), TaskContext.get().partitionId() << 32, [], [], 0
-        for conv, turns in _parts(batches):
+        for conv, turns in _parts(batches, part):
             convs.append(conv)
             held.append((*template.render(turns), len(turns)))
             size += len(held[-1][0])
@@ -207,8 +207,9 @@ def format_conversations(conversations: DataFrame, template: Template = Template
     if not hot:
         return in_order(rows.repartition("conv_id"))
     chosen = F.broadcast(conversations.sparkSession.createDataFrame([(x,) for x in hot], f"_hot {kind.simpleString()}"))
+    tasks = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     same = F.col("conv_id").eqNullSafe(F.col("_hot"))
-    return in_order(rows.join(chosen, same, "left_anti").repartition("conv_id")).unionByName(in_order(rows.join(chosen, same, "left_semi").repartitionByRange(*order)))
+    return in_order(rows.join(chosen, same, "left_anti").repartition("conv_id")).unionByName(in_order(rows.join(chosen, same, "left_semi").repartitionByRange(tasks, *order)))
 
 
 class _Digest:
@@ -263,6 +264,6 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
     return formatted.select("conv_id", "part", "text", "starts", "ends", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part").select("conv_id", "text", "starts", "ends", "loss").mapInArrow(run, schema)
 
 
-def formatted_and_read(conversations: DataFrame, template: Template = Template(), tokenizer: str | None = None) -> DataFrame:
+def formatted_and_read(conversations: DataFrame, template: Template = Template(), tokenizer: str | None = None, part: int = PART) -> DataFrame:
     """The digests of conversations out of their written formatted form."""
-    return read_back(Work(conversations.sparkSession, "chat").cut(format_conversations(conversations, template, tokenizer), "formatted"), template)
+    return read_back(Work(conversations.sparkSession, "chat").cut(format_conversations(conversations, template, tokenizer, part), "formatted"), template)

@@ -36,11 +36,11 @@ STOP, GAP, TAB = b".", b" ", "\t"
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\n\x0b\x0c\r" + b"\t", b"abcdefghijklmnopqrstuvwxyz" + STOP * 10 + GAP)
 
 
-def _segments(text: bytes) -> Iterator[bytes]:
-    """A text in which only stops and gaps are left, in stretches of some CHUNK bytes that end with a piece."""
+def _segments(text: bytes, chunk: int) -> Iterator[bytes]:
+    """A text in which only stops and gaps are left, in stretches of some ``chunk`` bytes that end with a piece."""
     text, at = text.translate(TABLE), 0
     while at < len(text):
-        end = text.find(STOP, at + CHUNK)
+        end = text.find(STOP, at + chunk)
         end = end + 1 if end >= 0 else len(text)
         yield text[at:end]
         at = end
@@ -117,10 +117,10 @@ def _filter_of(frequent: DataFrame) -> np.ndarray:
     return filled
 
 
-def count_phrases(docs: DataFrame, lowest: int, highest: int, known: np.ndarray | None = None) -> DataFrame:
+def count_phrases(docs: DataFrame, lowest: int, highest: int, known: np.ndarray | None = None, chunk: int = CHUNK) -> DataFrame:
     """(lang, phrase, a): how often each phrase of so many words occurs; with a filter of the frequent shorter phrases, those that
     can be frequent. From 1 word on the empty phrase counts all words. Texts become rows of phrases, already counted for
-    some CHUNK bytes; one hash aggregation by language and phrase, which are one key while they are moved, adds them up."""
+    some ``chunk`` bytes; one hash aggregation by language and phrase, which are one key while they are moved, adds them up."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)), F.coalesce(F.col("text").cast("string"), F.lit("")))
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -128,11 +128,11 @@ def count_phrases(docs: DataFrame, lowest: int, highest: int, known: np.ndarray
         langs, held, size = [], [], 0
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                for x in _segments(text.as_buffer().to_pybytes()):
+                for x in _segments(text.as_buffer().to_pybytes(), chunk):
                     langs.append(lang.as_py())
                     held.append(x)
                     size += len(x)
-                    if size >= CHUNK:
+                    if size >= chunk:
                         yield from _count(langs, held, lowest, highest, sent.value)
                         langs, held, size = [], [], 0
         if held:
@@ -155,7 +155,7 @@ def _first(rows: DataFrame, most: int, groups: list[Column]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
 
 
-def mine_phrases(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, share: int = SHARE, best: int = BEST) -> DataFrame:
+def mine_phrases(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, share: int = SHARE, best: int = BEST, chunk: int = CHUNK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``best`` phrases of each language of ``docs`` (lang, text), of 2 to ``max_n``
     words that occur ``least`` times or more.
 
@@ -171,9 +171,9 @@ def mine_phrases(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, share:
     work = Work(docs.sparkSession, "phrases")
     words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
     kept_counts = lambda counts, name: work.cut(counts.filter((F.col("a") >= least) | (F.col("phrase") == "")).withColumn("words", words), name)
-    counted = kept_counts(count_phrases(docs, 1, min(max_n, 2)), "counted")
+    counted = kept_counts(count_phrases(docs, 1, min(max_n, 2), chunk=chunk), "counted")
     for n in range(3, max_n + 1):
-        counted = counted.unionByName(kept_counts(count_phrases(docs, n, n, _filter_of(counted.filter(f"words = {n - 1}"))), f"of-{n}"))
+        counted = counted.unionByName(kept_counts(count_phrases(docs, n, n, _filter_of(counted.filter(f"words = {n - 1}")), chunk), f"of-{n}"))
     frequent, totals = counted.filter(f"words > 0 and a >= {least}"), counted.filter("words = 0").select("lang", F.col("a").alias("n"))
     longer = frequent.filter("words > 1")
 
