@@ -24,7 +24,7 @@ from .storage import MOST_HOT, Work
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Characters of a part of a conversation, if it has several turns, and of the parts that are encoded and sent on at once.
-PART, SENT = 1 << 22, 1 << 22
+PART, SENT = 1 << 22, 1 << 19
 
 
 @dataclass(frozen=True)
