@@ -332,7 +332,7 @@ def counts_by_type_area(spark, d):
 
 
 _TYPES, _STATUSES, _AREAS = (", ".join(f"'{x}'" for x in v) for v in (("note", "term", "project", "log", "lesson"), ("active", "done", "archived"), ("work", "tech", "life", "career", "learning", "reference", "defense", "prosecutor", "judge")))
-_VIOLATIONS = f"""violations AS (
+VIOLATIONS = f"""violations AS (
 SELECT name, 'missing_field' AS code, 'error' AS severity, 'note_type' AS arg FROM notes WHERE type IS NULL UNION ALL SELECT name, 'invalid_type', 'error', type FROM notes WHERE type NOT IN ({_TYPES})
 UNION ALL SELECT name, 'missing_field', 'error', 'note_status' FROM notes WHERE status IS NULL UNION ALL SELECT name, 'invalid_status', 'error', status FROM notes WHERE status NOT IN ({_STATUSES})
 UNION ALL SELECT name, 'missing_field', 'error', 'note_area' FROM notes WHERE area IS NULL UNION ALL SELECT name, 'invalid_area', 'error', area FROM notes WHERE area NOT IN ({_AREAS})
@@ -343,12 +343,12 @@ UNION ALL SELECT name, 'folded_scalar', 'warning', 'gist' FROM notes WHERE gist
 UNION ALL SELECT name, 'duplicate_frontmatter', 'error', CAST(len(list_filter(string_split(content, chr(10)), lambda x: rtrim(x) = '---')) // 2 AS VARCHAR) FROM notes WHERE len(list_filter(string_split(content, chr(10)), lambda x: rtrim(x) = '---')) // 2 > 1)"""
 
 
-@query(f"WITH {sql.NOTES}, {_VIOLATIONS} SELECT * FROM violations")
+@query(f"WITH {sql.NOTES}, {VIOLATIONS} SELECT * FROM violations")
 def audit_schema(spark, d):
     return au.violations(_notes(spark, d)).drop("message")
 
 
-_AUDIT = f"""WITH {sql.NOTES}, {sql.LINKS}, {_VIOLATIONS}, t AS (SELECT count(*) AS t, count(*) FILTER (coalesce(trim(gist), '') = '') AS g, count(*) FILTER (len(tags) = 0) AS u, count(*) FILTER (gist IS NOT NULL AND gist_date < CAST(modified AS DATE)) AS s FROM notes),
+_AUDIT = f"""WITH {sql.NOTES}, {sql.LINKS}, {VIOLATIONS}, t AS (SELECT count(*) AS t, count(*) FILTER (coalesce(trim(gist), '') = '') AS g, count(*) FILTER (len(tags) = 0) AS u, count(*) FILTER (gist IS NOT NULL AND gist_date < CAST(modified AS DATE)) AS s FROM notes),
 o AS (SELECT count(*) AS o FROM (SELECT DISTINCT name FROM notes WHERE name NOT IN (SELECT dst FROM links))), l AS (SELECT count(*) AS t, count(*) FILTER (dst NOT IN (SELECT name FROM notes)) AS b FROM links), v AS (SELECT count(*) FILTER (severity = 'error') AS e, count(*) AS n FROM violations)
 SELECT 'schema' AS "check", CASE WHEN e > 0 THEN 'fail' WHEN n > 0 THEN 'warn' ELSE 'pass' END AS status, n AS found, t AS total FROM v, t UNION ALL SELECT 'wikilinks', CASE WHEN b > 0 THEN 'fail' ELSE 'pass' END, b, t FROM l
 UNION ALL SELECT 'gist', CASE WHEN g > 0 THEN 'fail' ELSE 'pass' END, g, t FROM t UNION ALL SELECT 'tags', CASE WHEN u / greatest(t, 1) < 0.3 THEN 'pass' ELSE 'fail' END, u, t FROM t
