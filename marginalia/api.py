@@ -17,6 +17,7 @@ from .functions import text as tx
 from .functions import vectors as vx
 from .operators import audit as au
 from .operators import knn, listing, save, search, sync, tags
+from .operators.segments import SegmentedIndex
 from .sources import notes as src
 
 
@@ -28,19 +29,20 @@ class Collection:
     config: NotesConfig = field(default_factory=NotesConfig)
     embedder: vx.Embedder = field(default_factory=vx.Embedder)
     root: str | None = None
-    stored: search.StoredIndex | None = None
+    stored: search.StoredIndex | SegmentedIndex | None = None
+    text_source: str = "gist"
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, config: NotesConfig | None = None, embedder: vx.Embedder | None = None, text_source: str = "gist") -> Collection:
         """The notes of a folder that all executors share."""
         c, e = config or NotesConfig.load(Path(root, "notes.json")), embedder or vx.Embedder()
-        return cls(cls.embed(src.parse_notes(src.read_folder(spark, root), c.field_prefix), e, text_source), c, e, root)
+        return cls(cls.embed(src.parse_notes(src.read_folder(spark, root), c.field_prefix), e, text_source), c, e, root, text_source=text_source)
 
     @classmethod
     def of_table(cls, files: DataFrame, config: NotesConfig | None = None, embedder: vx.Embedder | None = None, text_source: str = "gist") -> Collection:
         """The notes of a table (path, name, content, modified)."""
         c, e = config or NotesConfig(), embedder or vx.Embedder()
-        return cls(cls.embed(src.parse_notes(files, c.field_prefix), e, text_source), c, e)
+        return cls(cls.embed(src.parse_notes(files, c.field_prefix), e, text_source), c, e, text_source=text_source)
 
     @staticmethod
     def embed(notes: DataFrame, embedder: vx.Embedder, text_source: str = "gist") -> DataFrame:
@@ -154,19 +156,46 @@ class Collection:
         """(path, gist, mtime, indexed, fields, tags): the notes as an index has them."""
         return self.notes.select("path", "gist", F.unix_millis("modified").alias("mtime"), F.col("vec").isNotNull().alias("indexed"), "fields", "tags")
 
-    def reindex(self, folder: str) -> search.StoredIndex:
-        """Embeds all notes, writes their vectors and their inverted index below a folder, and searches it from then on.
-        Vectors are written as they are made, batch by batch; the notes then read them back."""
-        self.notes.select("path", "vec").write.mode("overwrite").parquet(f"{folder}/vectors")
-        vectors = self.notes.sparkSession.read.parquet(f"{folder}/vectors")
-        self.stored = search.StoredIndex.write(self.notes.drop("vec"), f"{folder}/words")
-        self.notes = self.notes.drop("vec").join(vectors, "path")
-        return self.stored
+    def _plain(self) -> DataFrame:
+        """The notes as they are now, without vectors: those of a folder are listed and read again."""
+        if self.root is None:
+            return self.notes.drop("vec")
+        return src.parse_notes(src.read_folder(self.notes.sparkSession, self.root), self.config.field_prefix)
+
+    def _index(self, folder: str) -> SegmentedIndex:
+        return SegmentedIndex(self.notes.sparkSession, folder, kept="vec array<double>")
+
+    def _into(self, folder: str, base: bool) -> SegmentedIndex:
+        plain, index = self._plain(), self._index(folder)
+        vec = self.embedder.column(sync.index_text(F.col("path"), F.col("gist"), self.text_source)).cast("array<double>")
+        index.add(plain, base=base, whole=True, carry={"vec": vec}, needs=["gist"])
+        return self._search_in(index, plain)
+
+    def _search_in(self, index: SegmentedIndex, plain: DataFrame) -> SegmentedIndex:
+        self.stored, self.notes = index, plain.join(index.docs().select("path", "vec"), "path")
+        return index
+
+    def reindex(self, folder: str) -> SegmentedIndex:
+        """Embeds all notes anew, writes their vectors and postings as a new base below a folder, and searches it from then on. What
+        reads the index meanwhile goes on with the one before; ``drop_old`` of the index deletes that."""
+        return self._into(folder, True)
+
+    def sync(self, folder: str) -> SegmentedIndex:
+        """Brings the index below a folder up to date: new and changed notes are embedded and added, notes that are gone go, and the
+        others are left alone. A folder without an index gets one."""
+        return self._into(folder, False)
+
+    def open_index(self, folder: str) -> SegmentedIndex:
+        """Searches an index that was written before, as it is; notes that it doesn't have aren't found."""
+        index = self._index(folder)
+        if not index.segments():
+            raise ValueError(f"there is no index in {folder}")
+        return self._search_in(index, self._plain())
 
     def clear_index(self, folder: str) -> None:
         """Removes what ``reindex`` has written; searches read the notes again."""
         spark, self.stored = self.notes.sparkSession, None
-        self.notes = self.embed(self.notes.drop("vec") if self.root is None else src.parse_notes(src.read_folder(spark, self.root), self.config.field_prefix), self.embedder)
+        self.notes = self.embed(self._plain(), self.embedder, self.text_source)
         at = spark._jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -85,6 +85,8 @@ def _yaml(raw: pd.Series) -> pd.Series:
             return (f" at line {at.line + 1}, column {at.column + 1}" if at else "") + f": {e.problem or e.context}"
         except (yaml.YAMLError, ValueError) as e:
             return f": {e}"
+        except (RecursionError, MemoryError):
+            return ": nested too deeply"
         return None
 
     return raw.map(check)

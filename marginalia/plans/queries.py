@@ -14,6 +14,7 @@ from ..functions import vectors as vx
 from ..operators import ann
 from ..operators import audit as au
 from ..operators import knn, listing, profile, save, search, sync, tags
+from ..operators.segments import SegmentedIndex
 from ..sources import notes as src
 from ..sources.shared import shared_folder
 from ..streaming import watch
@@ -112,6 +113,45 @@ def simple_search(spark, d):
     return _short(search.simple_search(_corpus(spark, d), "The tion zebra", 50), "path")
 
 
+def _kept_up(spark, d) -> tuple[SegmentedIndex, list[int]]:
+    """An index of the bodies of all documents, whole, to which others are added later: those of good quality in a second edition,
+    while toxic ones are removed."""
+    body = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("quality") == 1, F.lit(" that second edition")).otherwise(""))
+    index = SegmentedIndex(spark, f"{shared_folder(spark)}/kept-up-{uuid.uuid4().hex}", "doc_id", {"body": F.col("body")}, kind="bigint")
+    docs = _table(spark, d, "documents").join(_table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    first = index.add(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body")))
+    second = index.add(docs.select("doc_id", body.alias("body")))
+    return index, [first, second, index.remove(docs.filter("toxic = 1")), index.compact()]
+
+
+_EDITIONS = """v1 AS (SELECT 0 AS version, doc_id, coalesce(text, '') AS body FROM documents),
+v2 AS (SELECT 1 AS version, d.doc_id, coalesce(text, '') || CASE WHEN quality = 1 THEN ' that second edition' ELSE '' END AS body FROM documents d LEFT JOIN labels USING (doc_id)),
+v3 AS (SELECT 2 AS version, doc_id, body FROM v2 WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+
+
+@query(f"WITH {_EDITIONS}, corpus AS (SELECT doc_id, doc_id AS path, body FROM v3), {sql.bm25(['that', 'edition', 'tion'], {'body': 1.0})} SELECT doc_id, round(score, 6) AS score FROM hits")
+def index_kept_up(spark, d):
+    """All hits in an index after additions, changes, removals and a merge, scored as in one that is built anew."""
+    index, _ = _kept_up(spark, d)
+    return _short(index.search("that edition tion", None, boosts={"body": 1.0}), "doc_id")
+
+
+@query(
+    f"""WITH {_EDITIONS}, every AS (SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT * FROM v3 UNION ALL SELECT 3, doc_id, body FROM v3), t AS (SELECT version, doc_id, {sql.terms("body")} AS t FROM every)
+SELECT t.version, CAST(n AS BIGINT) AS notes, CAST(words AS BIGINT) AS words, CAST(count(*) FILTER (list_contains(t, 'edition')) AS BIGINT) AS editions FROM t JOIN (SELECT version, count(*) AS n, sum(len(t)) AS words FROM t GROUP BY 1) USING (version) GROUP BY ALL"""
+)
+def index_versions(spark, d):
+    """What readers of each version of an index see: its notes, its words, and the notes with a term."""
+    index, versions = _kept_up(spark, d)
+    out = None
+    for v in versions:
+        at = SegmentedIndex(spark, index.folder, "doc_id", index.columns, kind="bigint", version=v)
+        sums = at.docs().agg(F.lit(v).alias("version"), F.count("*").alias("notes"), F.coalesce(F.sum(F.col("words")["body"]), F.lit(0)).alias("words"))
+        row = sums.crossJoin(at.postings(["edition"]).agg(F.count("*").alias("editions")))  # one row by one row
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # Vectors ---------------------------------------------------------------------------------------------------------------
 
 
@@ -143,6 +183,12 @@ def knn_threshold_pairs(spark, d):
     return _short(knn.similar_pairs(_vectors(spark, d), "vec_id", "embedding", 0.35), "a", "b")
 
 
+@query(f"SELECT a, b, round(score, 6) AS score FROM (SELECT x.vec_id AS a, y.vec_id AS b, round({sql.cosine('x.embedding', 'y.embedding')}, 9) AS score FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE score >= 0.2")
+def knn_pairs_in_blocks(spark, d):
+    """All similar pairs, out of blocks of a few vectors, as a large table has many."""
+    return _short(knn.similar_pairs(_vectors(spark, d), "vec_id", "embedding", 0.2, rows_a_block=40), "a", "b")
+
+
 @query(
     f"""SELECT vec_id, round(round(0.7 * score + 0.3 * (CASE WHEN label = 3 THEN 1 ELSE 0 END), 9), 6) AS score FROM (SELECT vec_id, label, round({sql.cosine('embedding', 'q')}, 9) AS score
 FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY score DESC, vec_id LIMIT 20) ORDER BY round(0.7 * score + 0.3 * (CASE WHEN label = 3 THEN 1 ELSE 0 END), 9) DESC, vec_id LIMIT 10"""

@@ -77,6 +77,36 @@ def test_stored_index(spark, vault, tmp_path):
     assert names(vault.complete("see [[baking br")) [:1] == ["three"] and vault.complete("see [[b").count() == 0
 
 
+def test_reindexing_and_syncing(spark, vault, tmp_path):
+    folder, embedded = str(tmp_path / ".index"), lambda i: {r["path"]: r["segment"] for r in i.docs().collect()}
+    for _ in range(3):
+        index = vault.reindex(folder)
+        assert index.notes == 4 and names(vault.search("bread", 1)) == ["three"]
+    version = index.segments()[0]
+    old = {r["path"]: r["vec"] for r in index.docs().collect()}
+    (tmp_path / "three.md").write_text("---\nnote_type: note\nnote_gist: sailing boats\n---\n")
+    (tmp_path / "four.md").unlink()
+    (tmp_path / "five.md").write_text("---\nnote_gist: bread and boats\n---\n")
+    index = vault.sync(folder)
+    assert {p: s > version for p, s in embedded(index).items()} == {"one.md": False, "two.md": False, "three.md": True, "five.md": True}
+    assert set(names(vault.search("boats", 5, mode="keyword"))) == {"three", "five"} and names(vault.search("sailing boats", 1, mode="semantic")) == ["three"]
+    assert {r["path"]: r["vec"] for r in index.docs().collect()}["three.md"] != old["three.md"]
+    again = Collection.open(spark, str(tmp_path))
+    assert again.open_index(folder).notes == 4 and names(again.search("sailing boats", 1)) == ["three"]
+    (tmp_path / "three.md").write_text("---\nnote_gist: knitting\n---\n")
+    vault.reindex(folder)
+    assert names(vault.search("knitting", 1)) == ["three"] and names(vault.search("bread", 9, mode="keyword")) == ["five"]
+    with pytest.raises(ValueError, match="no index"):
+        again.open_index(str(tmp_path / "nowhere"))
+
+
+def test_frontmatter_that_is_nested_too_deeply(spark, tmp_path):
+    for name, raw in (("deep", "[" * 100_000), ("plain", "a: 1"), ("closed", "[" * 3000 + "]" * 3000)):
+        (tmp_path / f"{name}.md").write_text(f"---\n{raw}\n---\n")
+    checks, found = Collection.open(spark, str(tmp_path)).audit(verbose=True)
+    assert {r["name"] for r in found.filter("code = 'yaml_syntax'").collect()} >= {"deep"} and checks.count() == 6
+
+
 def test_restoring(spark, vault, tmp_path):
     folder = tmp_path / "exported"
     assert save.restore_index(spark, str(folder)) is None

@@ -154,7 +154,7 @@ def test_scores_of_bare_words_and_of_clauses_agree(spark):
     assert plain == signed and len(plain) == 3
 
 
-def test_similar_pairs_in_blocks(spark, monkeypatch):
+def test_similar_pairs_in_blocks(spark):
     """All pairs, whatever blocks they are in; vectors of other lengths and without a direction are similar to none."""
     rng = np.random.default_rng(4)
     rows = [(f"k{i:03}", i % 3, [float(x) for x in rng.normal(size=4)]) for i in range(90)] + [("a", 0, [1.0, 0.0]), ("b", 0, [2.0, 0.0]), ("z", 0, [0.0] * 4), ("n", 0, None), ("k000", 0, [9.0, 1.0, 1.0, 1.0])]
@@ -163,8 +163,22 @@ def test_similar_pairs_in_blocks(spark, monkeypatch):
     for on in (None, ["g"]):
         expected = sorted((a, b, round(cos(x, y), 6)) for a, g, x in rows for b, h, y in rows if a < b and (not on or g == h) and cos(x, y) >= 0.7)
         for size in (4096, 16):
-            monkeypatch.setattr(knn, "ROWS", size)
-            assert sorted((r["a"], r["b"], round(r["score"], 6)) for r in knn.similar_pairs(df, "k", "v", 0.7, on).collect()) == expected
+            assert sorted((r["a"], r["b"], round(r["score"], 6)) for r in knn.similar_pairs(df, "k", "v", 0.7, on, size).collect()) == expected
+
+
+@pytest.mark.parametrize("least", [-0.2, 0.35, 0.9, 1.0])
+def test_similar_pairs_of_clusters(spark, least):
+    """Each pair once, with copies that fill several blocks, and among many rows without a vector; clusters prune."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(15, 12))
+    x = [centres[i % 15] + 0.08 * rng.normal(size=12) for i in range(330)] + [centres[0]] * 70
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "k bigint, v array<double>").unionByName(spark.range(1000, 9000).selectExpr("id as k", "cast(null as array<double>) as v"))
+    u = np.array(x) / np.linalg.norm(x, axis=1)[:, None]
+    expected = {(i, j) for i, j in zip(*np.nonzero(np.round(u @ u.T, 9) >= least), strict=True) if i < j}
+    got = [(r["a"], r["b"]) for r in knn.similar_pairs(df, "k", "v", least, rows_a_block=24).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    if least == 0.9:
+        assert knn.pairs_compared(df, "k", "v", least, rows_a_block=24) < 0.35 * len(x) ** 2 / 2
 
 
 @pytest.mark.parametrize("spread", [0.05, 1.0, 30.0])
