@@ -69,30 +69,46 @@ def recall(found: DataFrame, exact: DataFrame) -> float:
     return found.join(exact, ["query_id", "id"], "left_semi").count() / total if total else 1.0
 
 
-def build(df: DataFrame, key: str, vec: str, k: int = 10, wanted: float = RECALL) -> Index:
-    """An index of all rows of ``df`` with a vector.
-
-    The centroids are fitted on at most SAMPLE rows, those with the least hashes of their keys. The number of lists is the
-    least, doubling, with which the ``k`` nearest of TRIALS rows are found to the share ``wanted``, against ``knn_join``;
-    with all lists the search is exact.
-    """
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")).filter("vec is not null")
+def fit(rows: DataFrame, most: int = MOST) -> np.ndarray:
+    """Centroids of rows (id, vec), about the square root of their number, fitted on at most SAMPLE rows, those with the least
+    hashes of their ids."""
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     held = unit(np.array(sample["vec"].to_pylist(), float)) if sample.num_rows else np.zeros((0, 1))
-    fitted = centroids(held, min(MOST, max(1, int(rows.count() ** 0.5)))) if len(held) else held
-    sent = df.sparkSession.sparkContext.broadcast(fitted)
+    return centroids(held, min(most, max(1, int(rows.count() ** 0.5)))) if len(held) else held
+
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def assign(rows: DataFrame, fitted: np.ndarray) -> DataFrame:
+    """(list, id, vec) of rows (id, vec): the nearest centroid, and the vector at length one."""
+    sent = rows.sparkSession.sparkContext.broadcast(fitted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = vectors_of(batch, 0, 1, sent.value.shape[1])
             kept = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array((x @ sent.value.T).argmax(axis=1).astype(np.int32) if len(ids) else [], pa.int32()), pa.array(ids, pa.int64()), kept], ["list", "id", "vec"])
 
-    index = Index(rows.mapInArrow(assign, "list int, id bigint, vec array<double>"), fitted, max(len(fitted), 1))
+    return rows.mapInArrow(run, "list int, id bigint, vec array<double>")
+
+
+def ids_and_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")).filter("id is not null and vec is not null")
+
+
+def calibrate(index: Index, rows: DataFrame, k: int, wanted: float = RECALL) -> int:
+    """The number of lists to look into, the least, doubling, with which the ``k`` nearest of TRIALS rows are found to the share
+    ``wanted``, against ``knn_join``; with all lists the search is exact."""
     trials = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(TRIALS)
-    exact, probes = knn_join(rows, trials, k, "id", "vec").select("query_id", "id").persist(), 1
-    while probes < len(fitted) and recall(index.search(trials, k, "id", "vec", probes), exact) < wanted:
+    exact, probes, n = knn_join(rows, trials, k, "id", "vec").select("query_id", "id").persist(), 1, len(index.centroids)
+    while probes < n and recall(index.search(trials, k, "id", "vec", probes), exact) < wanted:
         probes *= 2
     exact.unpersist()
-    index.probes = min(probes, max(len(fitted), 1))
+    return min(probes, max(n, 1))
+
+
+def build(df: DataFrame, key: str, vec: str, k: int = 10, wanted: float = RECALL) -> Index:
+    """An index of all rows of ``df`` with a vector, which each search reads and assigns anew; ``VectorIndex`` is one on disk."""
+    rows = ids_and_vectors(df, key, vec)
+    fitted = fit(rows)
+    index = Index(assign(rows, fitted), fitted, max(len(fitted), 1))
+    index.probes = calibrate(index, rows, k, wanted)
     return index

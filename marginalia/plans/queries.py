@@ -15,6 +15,7 @@ from ..operators import ann
 from ..operators import audit as au
 from ..operators import knn, listing, profile, save, search, sync, tags
 from ..operators.segments import SegmentedIndex
+from ..operators.vector_index import VectorIndex
 from ..sources import notes as src
 from ..sources.shared import shared_folder
 from ..streaming import watch
@@ -225,6 +226,22 @@ def ivf_knn(spark, d):
     return _short(ann.build(rows, "vec_id", "embedding", 5).search(rows.filter("vec_id % 20 = 0"), 5, "vec_id", "embedding"), "query_id", "id", "rank")
 
 
+@query("SELECT count(*) AS vectors, count(*) FILTER (vec_id % 20 = 0) AS queries, 5 * count(*) FILTER (vec_id % 20 = 0) AS neighbours, TRUE AS enough FROM embeddings WHERE label <> 7")
+def vector_index_kept_up(spark, d):
+    """A stored vector index after insertions (label 3) and deletions (label 7): its vectors, every twentieth of them as queries,
+    and whether at least 0.9 of their true neighbours are found."""
+    rows, index = _vectors(spark, d).select("vec_id", "embedding", "label"), VectorIndex(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    index.write(rows.filter("label <> 3"), "vec_id", "embedding", 5)
+    index.insert(rows.filter("label = 3"), "vec_id", "embedding")
+    index.delete(rows.filter("label = 7").select(F.col("vec_id").alias("id")))
+    held = rows.filter("label <> 7")
+    queries = held.filter("vec_id % 20 = 0")
+    exact = knn.knn_join(held, queries, 5, "vec_id", "embedding").select("query_id", "id")
+    hit = exact.join(index.search(queries, 5, "vec_id", "embedding").select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    counts = hit.agg(F.count("*").alias("neighbours"), (10 * F.count("hit") >= 9 * F.count("*")).alias("enough"))
+    return index.rows().agg(F.count("*").alias("vectors")).crossJoin(queries.agg(F.count("*").alias("queries"))).crossJoin(counts)  # one row by one row
+
+
 # Embedding -------------------------------------------------------------------------------------------------------------
 
 
