@@ -7,13 +7,16 @@ probability (1 - (1 - s^ROWS)^SIDE)^2, 0.9999 at the default threshold of 0.85 a
 
 Candidates are verified on full shingle sets. Documents with equal sets are collapsed first, and the members of a bucket
 are compared with one hub B, so a large group of copies costs a star. Two members of different components may still be
-linked, though only if one of them, U, isn't linked with B. Let E_X be the symmetric difference of X and B. Then
-|X ^ Y| = |E_X ^ E_Y|, and with c = (1 - t) / (1 + t) a link means |X ^ Y| <= h = c * (|X| + |Y|), so that E_U and E_Z
-share at least o = (|E_U| + |E_Z| - h) / 2 shingles; o > 0 since |E_U| > c * (|U| + |B|). This is a prefix-filtered join
-on what distinguishes members from their hub: in order of rarity, the first shared shingle stands among the first
-|E_Z| - o + 1 <= (1 + c) / 2 * |E_Z| + 1 of E_Z, and from its place on both sets must have o shingles left. Edits are
-rare shingles, so variants of one text rarely meet, while every link between components is among the pairs verified.
-Every step is a written table.
+linked, though only if one of them, U, isn't linked with B. Let E_X be the symmetric difference of X and B, which is A_X,
+what X adds to B, and L_X, what it lacks. Then |X ^ Y| = |E_X ^ E_Y|, and with c = (1 - t) / (1 + t) a link means
+|X ^ Y| <= h = c * (|X| + |Y|), so that E_U and E_Z share at least o = (|E_U| + |E_Z| - h) / 2 shingles; o > 0 since
+|E_U| > c * (|U| + |B|). At most min(|L_U|, |L_Z|) of these are lacked, so A_U and A_Z share at least p = o - min(|L_U|, |L_Z|) =
+(|A_U| + |A_Z| + abs(|L_U| - |L_Z|) - h) / 2. Where p > 0 the pair meets in a join on added shingles alone, which are rare, while
+all members of a template lack the same. Where p <= 0, one of the two adds at most c times its size; only items that such a
+slim member has take part in a second join, prefix-filtered on all of E: in order of rarity, the first shared shingle
+stands among the first |E_Z| - o + 1 <= (1 + c) / 2 * |E_Z| + 1 of E_Z. In both joins, from the place of the shared shingle on
+both sets must have as many shingles left as they have to share. Every link between components is among the pairs
+verified. Every step is a written table.
 """
 
 from __future__ import annotations
@@ -140,25 +143,44 @@ def _between(work: Work, pairs: DataFrame, sets: DataFrame, labels: DataFrame, s
     mixed = members.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("linked").alias("all")).filter("lo <> hi and not all").select("a")
     # written, so that the join with the sets has nothing before it and Spark can split the rows of a hub with many members
     members = work.cut(members.join(mixed, "a", "left_semi"), "members")
-    differ = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
-    items = _with_sets(members, sets).select("a", "b", "n", "linked", "label", differ.alias("e"))
-    items = work.cut(items.select("a", "b", "n", "linked", "label", F.size("e").alias("m"), F.explode("e").alias("item")), "items")
-    rarity = items.groupBy("a", "item").agg(F.count("*").alias("rows"), F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    shared = join_hot(items, rarity.filter("lo <> hi").drop("lo", "hi"), ["a", "item"], "rows", items.count())
-    # items left out come first in the order and make no pair: the place of the others is counted from there
-    order = W.partitionBy("a", "b").orderBy("df", "item")
-    own = W.partitionBy("a", "b")
-    shared = shared.withColumn("left", F.count("*").over(own) - F.row_number().over(order) + 1)
-    shared = work.cut(shared.select("a", "item", "b", "n", "linked", "label", "m", "left"), "shared")
-    u = shared.filter("not linked").select("a", "item", *[F.col(c).alias(f"u_{c}") for c in ("b", "n", "label", "m", "left")])
+    parts = _with_sets(members, sets).select("a", "b", "n", "linked", "label", F.array_except("y", "x").alias("added"), F.array_except("x", "y").alias("lacked"))
+    parts = parts.withColumn("adds", F.size("added")).withColumn("lacks", F.size("lacked"))
     c = F.lit((OF - similarity) / (OF + similarity))
-    z = shared.filter(F.col("m") - F.col("left") <= F.floor((1 + c) / 2 * F.col("m")) + 1)
-    overlap = F.col("m") + F.col("u_m") - c * (F.col("n") + F.col("u_n")) - F.lit(1e-6)
+    marked = F.concat(*[F.transform(x, _marked(x == "added")) for x in ("added", "lacked")])
+    items = parts.select("a", "b", "n", "linked", "label", "adds", "lacks", (F.col("adds") <= c * F.col("n") + F.lit(1e-6)).alias("slim"), F.explode(marked).alias("e"))
+    items = work.cut(items.select("a", "b", "n", "linked", "label", "adds", "lacks", "slim", "e.item", "e.own"), "items")
     near = F.lit(OF) * F.least("n", "u_n") >= F.lit(similarity) * F.greatest("n", "u_n")
-    met = (F.col("label") != F.col("u_label")) & near & (2 * F.least("left", "u_left") >= overlap)
-    found = work.cut(u.join(z, ["a", "item"]).filter(met).select(F.least("b", "u_b").alias("a"), F.greatest("b", "u_b").alias("b")).distinct(), "between")
-    work.drop(members, items, shared)
-    return found
+    met = (F.col("label") != F.col("u_label")) & near
+    apart = F.col("adds") + F.col("u_adds") + F.abs(F.col("lacks") - F.col("u_lacks")) - c * (F.col("n") + F.col("u_n")) - F.lit(1e-6)
+    found = []
+    for name, rows, chosen in (("added", items.filter("own"), F.lit(True)), ("lacked", items, F.col("some_slim"))):
+        rarity = rows.groupBy("a", "item").agg(F.count("*").alias("rows"), F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("adds").alias("least_adds"), F.max("n").alias("most_n"), F.bool_or("slim").alias("some_slim"))
+        shared = join_hot(rows, rarity.filter("lo <> hi").filter(chosen).drop("lo", "hi", "some_slim"), ["a", "item"], "rows", rows.count())
+        # items left out come first in the order and make no pair: the place of the others is counted from there
+        order, own = W.partitionBy("a", "b").orderBy("df", "item"), W.partitionBy("a", "b")
+        shared = shared.withColumn("left", F.count("*").over(own) - F.row_number().over(order) + 1)
+        if name == "added":
+            # what is left must hold what any other member with the item would have to share
+            most = F.least(F.col("most_n"), F.col("n") * OF / F.lit(similarity))
+            shared = shared.filter(2 * F.col("left") >= F.col("adds") + F.col("least_adds") - c * (F.col("n") + most) - F.lit(1e-6))
+        shared = work.cut(shared.select("a", "item", "b", "n", "linked", "label", "adds", "lacks", "slim", "left"), name)
+        u = shared.filter("not linked").select("a", "item", *[F.col(x).alias(f"u_{x}") for x in ("b", "n", "label", "adds", "lacks", "slim", "left")])
+        if name == "added":
+            z, enough = shared, 2 * F.least("left", "u_left") >= apart
+        else:
+            m = F.col("adds") + F.col("lacks")
+            overlap = m + F.col("u_adds") + F.col("u_lacks") - c * (F.col("n") + F.col("u_n")) - F.lit(1e-6)
+            z = shared.filter(m - F.col("left") <= F.floor((1 + c) / 2 * m) + 1)
+            enough = (F.col("slim") | F.col("u_slim")) & (apart <= 0) & (2 * F.least("left", "u_left") >= overlap)
+        both = u.join(z, ["a", "item"]).filter(met & enough).select(F.least("b", "u_b").alias("a"), F.greatest("b", "u_b").alias("b"))
+        found.append(work.cut(both.distinct(), "between"))
+        work.drop(shared)
+    work.drop(members, items)
+    return found[0].union(found[1]).distinct()
+
+
+def _marked(own: bool):
+    return lambda x: F.struct(x.alias("item"), F.lit(own).alias("own"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = LINK) -> DataFrame:

@@ -104,3 +104,25 @@ def test_hot_and_other_keys_join_alike(spark, monkeypatch):
     for most in (1, 2, 4096):
         monkeypatch.setattr(storage, "MOST_HOT", most)
         assert sorted(map(tuple, storage.join_hot(rows, table, "k", "n", 65).collect())) == expected and len(expected) == 60
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_members_that_add_or_lack(spark, seed):
+    """Members of one hub that aren't linked with it: near subsets, pages of a template, and those that share what they add."""
+    rng = random.Random(seed)
+    common, extra = [f"c{i}" for i in range(240)], [[f"e{k}_{i}" for i in range(70)] for k in range(4)]
+    texts = [common + [f"hub{i}" for i in range(30)]]
+    for i in range(140):
+        kind, own = rng.randrange(5), [f"o{i}_{k}" for k in range(rng.choice([20, 35, 50]))]
+        start = rng.randrange(0, 200)
+        if kind == 0:  # a page of the template
+            texts.append(common + own)
+        elif kind == 1:  # one that lacks a stretch, as others do
+            texts.append(common[: start // 50 * 50] + common[start // 50 * 50 + 45 :] + own[: rng.randrange(0, 8)])
+        elif kind == 2:  # one that shares a block with others, and little else that the hub lacks
+            texts.append(common + rng.choice(extra) + own[: rng.randrange(0, 12)])
+        elif kind == 3:  # a shorter copy
+            texts.append(common[: 160 + rng.randrange(0, 80)])
+        else:
+            texts.append(common[start:] + rng.choice(extra)[: rng.randrange(30, 70)])
+    check(spark, [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)])
