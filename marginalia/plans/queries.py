@@ -15,6 +15,7 @@ from ..operators import ann
 from ..operators import audit as au
 from ..operators import knn, listing, profile, save, search, sync, tags
 from ..operators.segments import SegmentedIndex
+from ..operators.smart_save import smart_save
 from ..operators.vector_index import VectorIndex
 from ..sources import notes as src
 from ..sources.shared import shared_folder
@@ -226,6 +227,20 @@ def ivf_knn(spark, d):
     return _short(ann.build(rows, "vec_id", "embedding", 5).search(rows.filter("vec_id % 20 = 0"), 5, "vec_id", "embedding"), "query_id", "id", "rank")
 
 
+@query(
+    f"""WITH RECURSIVE q AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE vec_id % 20 = 0),
+near AS (SELECT DISTINCT q.vec_id FROM q, embeddings e WHERE e.vec_id % 20 <> 0 AND round({sql.cosine('q.embedding', 'e.embedding')}, 9) >= 0.35),
+pairs AS (SELECT b.vec_id, list(a.vec_id) AS before FROM q a JOIN q b ON a.vec_id < b.vec_id WHERE round({sql.cosine('a.embedding', 'b.embedding')}, 9) >= 0.35 GROUP BY 1),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS made UNION ALL
+  SELECT q.n, CASE WHEN q.vec_id IN (SELECT vec_id FROM near) OR list_has_any(coalesce(p.before, []), r.made) THEN r.made ELSE list_append(r.made, q.vec_id) END FROM r JOIN q ON q.n = r.n + 1 LEFT JOIN pairs p ON p.vec_id = q.vec_id)
+SELECT q.vec_id, CASE WHEN list_contains((SELECT made FROM r ORDER BY n DESC LIMIT 1), q.vec_id) THEN 'create' ELSE 'needs_decision' END AS decision FROM q"""
+)
+def smart_saving(spark, d):
+    """Every twentieth vector as a request to save, against all others and the requests before it."""
+    rows = _vectors(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return smart_save(rows.filter("id % 20 = 0"), rows.filter("id % 20 <> 0"), 0.35).select(F.col("id").alias("vec_id"), "decision")
+
+
 @query("SELECT count(*) AS vectors, count(*) FILTER (vec_id % 20 = 0) AS queries, 5 * count(*) FILTER (vec_id % 20 = 0) AS neighbours, TRUE AS enough FROM embeddings WHERE label <> 7")
 def vector_index_kept_up(spark, d):
     """A stored vector index after insertions (label 3) and deletions (label 7): its vectors, every twentieth of them as queries,
