@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import list_values
-from .storage import Bloom, Work
+from .storage import MOST_HOT, Bloom, Work
 
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -166,8 +166,13 @@ def write_archives(pages: DataFrame, work: Work | None = None, least: int = LEAS
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     repeated = Bloom(work.cut(pages.filter("page_id is not null").groupBy("page_id").count().filter("count > 1").select("page_id"), "repeated"), "page_id")
     pages = pages.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
-    firsts = pages.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    marked = pages.join(firsts, "digest", "left")
+    firsts = pages.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = work.cut(firsts, "firsts")
+    # pages with a payload that many have get its first page where they are, and are then dealt out by their own number
+    often = F.col("n") * MOST_HOT > pages.count()
+    marked = pages.join(F.broadcast(firsts.filter(often).select("digest", F.col("first").alias("of_many"))), "digest", "left")
+    marked = marked.withColumn("find", F.when(F.col("of_many").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    marked = marked.join(firsts.filter(~often).select(F.col("digest").alias("find"), "first"), "find", "left").withColumn("first", F.coalesce("of_many", "first"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     marked = marked.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"), repeated.places("page_id").alias("own"), repeated.places("first").alias("of"))
     return work.cut(marked.mapInArrow(_write(work.path("bundles"), repeated.words), INDEX), "index")
