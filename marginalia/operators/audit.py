@@ -116,6 +116,11 @@ def link_report(links: DataFrame, names: DataFrame) -> DataFrame:
     return counts.crossJoin(orphans(links, names).agg(F.count("*").alias("orphans")))  # one row by one row
 
 
+def broken_by_file(links: DataFrame, names: DataFrame) -> DataFrame:
+    """(src, n, targets): the files with broken links, how many they have, and to what, each target once and in order."""
+    return broken_links(links, names).groupBy("src", "dst").agg(F.count("*").alias("n")).groupBy("src").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("dst")).alias("targets"))
+
+
 def incoming(links: DataFrame, names: DataFrame) -> DataFrame:
     """(name, incoming): how many links lead to each note."""
     counts = links.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("incoming"))

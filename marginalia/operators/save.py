@@ -131,6 +131,13 @@ def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key), key, "left_anti")
 
 
+def delete_cascade(tables: dict[str, tuple[DataFrame, str]], keys: DataFrame, key: str) -> dict[str, DataFrame]:
+    """All tables (name: rows and the column that refers to the key) without the rows of these keys. Keys that are null, and rows
+    without one, delete nothing."""
+    gone = keys.select(F.col(key).alias("_gone")).filter("_gone is not null").distinct()
+    return {name: rows.join(gone, F.col(of) == F.col("_gone"), "left_anti") for name, (rows, of) in tables.items()}
+
+
 def increment_usage(tags: DataFrame, uses: DataFrame) -> DataFrame:
     """``tags`` (name, usage_count, ..) with the uses (name) counted in."""
     counts = uses.groupBy("name").agg(F.count("*").alias("_n"))

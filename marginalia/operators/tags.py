@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import tokenize
 from ..functions.vectors import Embedder, normalise
-from .knn import DIGITS, similar_pairs, unit
+from .knn import BLOCK, DIGITS, similar_pairs, unit
 
 # Thresholds and scores of suggestions.
 THRESHOLD, NAME_SCORE, ALIAS_SCORE, DISCOVERED, KEYWORD = 0.3, 1.0, 0.95, 0.8, 0.1
@@ -181,19 +181,34 @@ class Matcher:
         with_vec = [i for i, t in enumerate(tags) if t[2]]
         self.with_vec = np.array(with_vec, np.int64)
         self.rows = unit(np.array([tags[i][2] for i in with_vec], float)) if with_vec else np.zeros((0, 0))
+        self.made = None
 
     def _automaton(self):
-        import ahocorasick
+        """Made once a worker: a broadcast matcher is one object there."""
+        if self.made is None and self.words:
+            import ahocorasick
+
+            self.made = ahocorasick.Automaton()
+            for i, word in enumerate(self.words):
+                self.made.add_word(word, i)
+            self.made.make_automaton()
+        return self.made
+
+    def _scores(self, vectors: list) -> dict[int, np.ndarray]:
+        """The cosines of all tags with a vector to each vector of their dimension, by its place: one product of matrices."""
+        fit = [i for i, v in enumerate(vectors) if v is not None and len(self.rows) and len(v) == self.rows.shape[1]]
+        scores = np.round(unit(np.array([vectors[i] for i in fit], float)) @ self.rows.T, DIGITS) if fit else ()
+        return dict(zip(fit, scores, strict=True))
 
-        out = ahocorasick.Automaton()
-        for i, word in enumerate(self.words):
-            out.add_word(word, i)
-        out.make_automaton()
+    def __call__(self, texts, vectors) -> list[list[dict]]:
+        texts, vectors, out = list(texts), list(vectors), []
+        for at in range(0, len(texts), BLOCK):
+            out += self._block(texts[at : at + BLOCK], self._scores(vectors[at : at + BLOCK]))
         return out
 
-    def __call__(self, texts, vectors) -> list[list[dict]]:
-        automaton, out = self._automaton() if self.words else None, []
-        for text, vec in zip(texts, vectors, strict=True):
+    def _block(self, texts: list, scores: dict[int, np.ndarray]) -> list[list[dict]]:
+        automaton, out = self._automaton(), []
+        for place, text in enumerate(texts):
             first: dict[int, int] = {}
             for i, j in self.always:
                 first[i] = min(j, first.get(i, j))
@@ -201,8 +216,7 @@ class Matcher:
                 for i, j in self.places[k]:
                     first[i] = min(j, first.get(i, j))
             found = {i: (NAME_SCORE, "name") if j == 0 else (ALIAS_SCORE, f"alias:{self.tags[i][1][j - 1]}") for i, j in first.items()}
-            if vec is not None and len(vec) == self.rows.shape[1] and len(self.rows):
-                score = np.round(self.rows @ unit(np.asarray(vec, float)[None])[0], DIGITS)
+            if (score := scores.get(place)) is not None:
                 found = {int(self.with_vec[i]): (float(score[i]), "semantic") for i in np.flatnonzero(score >= self.least)} | found
             out.append([{"tag": self.tags[i][0], "score": s, "reason": why} for i, (s, why) in sorted(found.items())])
         return out
@@ -213,16 +227,18 @@ def suggest(texts: DataFrame, tags: DataFrame, text: str = "text", key: str = "d
     their cosine to the text, if that is enough.
 
     ``TAGS`` tags at a time are broadcast and found in one reading of a text, in Arrow batches; a larger catalogue takes more
-    passes. No row is paired with a row. ``texts`` may have the vector ``vec``, tags too.
+    passes. No row is paired with a row. ``texts`` may have the vector ``vec``, tags too. A tag without a name is left out.
     """
     with_vec = "vec" in texts.columns and "vec" in tags.columns
     spark, last, out = texts.sparkSession, None, None
     rows = texts.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"), (F.col("vec").cast("array<double>") if with_vec else F.lit(None).cast("array<double>")).alias("vec"))
-    listed = tags.select("name", "aliases", *(["vec"] if with_vec else []))
+    # tags may share a name, so a page ends at a name and what else tells rows apart
+    listed = tags.select("name", "aliases", *(["vec"] if with_vec else [])).filter("name is not null")
+    listed = listed.withColumn("_rest", F.to_json(F.struct(*[c for c in listed.columns if c != "name"]))).dropDuplicates(["name", "_rest"])
     while True:
-        some = (listed if last is None else listed.filter(F.col("name") > last)).orderBy("name").limit(TAGS).collect()
+        some = (listed if last is None else listed.filter((F.col("name") > last[0]) | ((F.col("name") == last[0]) & (F.col("_rest") > last[1])))).orderBy("name", "_rest").limit(TAGS).collect()
         if some:
-            last = some[-1]["name"]
+            last = some[-1]["name"], some[-1]["_rest"]
             matcher = spark.sparkContext.broadcast(Matcher([(r["name"], list(r["aliases"] or []), list(r["vec"]) if with_vec and r["vec"] is not None else None) for r in some], least))
             part = rows.select(key, F.explode(_suggested(matcher)(F.col("low"), F.col("vec"))).alias("x")).select(key, "x.*")
             out = part if out is None else out.unionByName(part)

@@ -485,6 +485,23 @@ def link_report(spark, d):
     return au.link_report(_links(spark, d), _corpus(spark, d))
 
 
+@query(f"WITH {sql.NOTES}, {sql.LINKS} SELECT src, CAST(sum(n) AS BIGINT) AS n, string_agg(dst, '|' ORDER BY dst) AS targets FROM (SELECT src, dst, count(*) AS n FROM links WHERE dst NOT IN (SELECT name FROM notes) GROUP BY 1, 2) GROUP BY src")
+def broken_links_by_file(spark, d):
+    return au.broken_by_file(_links(spark, d), _corpus(spark, d)).withColumn("targets", F.array_join("targets", "|"))
+
+
+@query("SELECT 'documents' AS name, count(*) AS n, CAST(coalesce(sum(doc_id), 0) AS BIGINT) AS ids FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'embeddings', count(*), CAST(coalesce(sum(vec_id), 0) AS BIGINT) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'labels', count(*), CAST(coalesce(sum(doc_id), 0) AS BIGINT) FROM labels WHERE toxic <> 1")
+def delete_with_cascade(spark, d):
+    """What is left of notes, their vectors and their labels when toxic notes are deleted."""
+    docs, vectors, labels = (_table(spark, d, t) for t in ("documents", "embeddings", "labels"))
+    left = save.delete_cascade({"documents": (docs, "doc_id"), "embeddings": (vectors, "vec_id"), "labels": (labels, "doc_id")}, labels.filter("toxic = 1"), "doc_id")
+    out = None
+    for name, of in (("documents", "doc_id"), ("embeddings", "vec_id"), ("labels", "doc_id")):
+        row = left[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.coalesce(F.sum(of), F.lit(0)).alias("ids"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(f"WITH {sql.NOTES}, {sql.LINKS} SELECT n.name, count(l.dst) AS incoming FROM (SELECT DISTINCT name FROM notes) n LEFT JOIN links l ON l.dst = n.name GROUP BY n.name")
 def incoming_links(spark, d):
     return au.incoming(_links(spark, d), _corpus(spark, d))

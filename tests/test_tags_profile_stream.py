@@ -245,3 +245,11 @@ def test_corpus_round_trip(spark):
     back = src.parse_notes(src.rendered(notes).select("path", "name", "content", "modified"))
     key = lambda df: sorted((r["path"], r["type"], r["status"], r["area"], r["gist"], tuple(r["tags"])) for r in df.select("path", *[F.coalesce(F.col(c), F.lit("-")).alias(c) for c in ("type", "status", "area", "gist")], "tags").collect())
     assert key(notes) == key(back)
+
+
+def test_suggesting_from_pages_of_tags_that_share_a_name(spark, monkeypatch):
+    monkeypatch.setattr(tags, "TAGS", 2)
+    catalogue = spark.createDataFrame([("db", ["data base"], [1.0, 0.0]), ("db", ["postgres"], None), ("db", ["sqlite"], None), ("db", ["sqlite"], None), (None, ["x"], None), ("web", [], [0.0, 1.0]), ("zoo", None, [1.0])], "name string, aliases array<string>, vec array<double>")
+    texts = spark.createDataFrame([(1, "on SQLITE", [0.0, 2.0]), (2, "postgres", None), (3, None, [1.0, 0.0, 0.0]), (4, "nothing", [1.0, 0.0])], "doc_id bigint, text string, vec array<double>")
+    got = sorted((r["doc_id"], r["tag"], r["score"], r["reason"]) for r in tags.suggest(texts, catalogue).collect())
+    assert got == [(1, "db", 0.95, "alias:sqlite"), (1, "web", 1.0, "semantic"), (2, "db", 0.95, "alias:postgres"), (4, "db", 1.0, "semantic")]
