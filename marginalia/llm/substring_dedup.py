@@ -168,15 +168,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, start: int = START) -
     levels = lengths(window, start)
     offered = work.cut(docs.mapInArrow(_offer(window, levels[0]), "doc_id bigint, n_words bigint, sha string, hashes array<bigint>"), "offered")
     alive = work.cut(_shared(offered.select("doc_id", "hashes"), later=levels[0] == window), "level")
+    # what the result needs of these rows is small; their hashes need no disk any longer
+    kept_whole = work.cut(offered.select("doc_id", "n_words", "sha"), "whole")
+    work.drop(offered)
     for before, length in zip(levels, levels[1:]):
         if alive.isEmpty():
             break
         wider = _with_hashes(docs, alive).mapInArrow(_extend(window, levels[0], before, length), "doc_id bigint, hashes array<bigint>")
-        wider = work.cut(wider, "wider")
+        wider, seen = work.cut(wider, "wider"), alive
         alive = work.cut(_shared(wider, later=length == window), "level")
-        work.drop(wider)
-    work.keep(offered, alive)
-    kept_whole = offered.select("doc_id", "n_words", "sha")
+        work.drop(wider, seen)
+    work.keep(kept_whole, alive)
     changed = _with_hashes(docs, alive).mapInArrow(_remove(window), "doc_id bigint, sha string, n_removed bigint, kept_sha256 string").dropDuplicates(["doc_id", "sha"])
     out = kept_whole.join(changed, ["doc_id", "sha"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
