@@ -355,7 +355,9 @@ def test_language_id_against_brute_force(spark):
     said = lambda p: p[4] if p[4] in langs else "other" if p[4] else "none"
     total = [sum(p[1][j] for p in page.values()) for j in range(3)]
     overall = [(x + 1) / (sum(total) + 3) for x in total]
-    got = {r["page_id"]: r for r in identify_languages(spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string"), spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()}
+    tables = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string"), spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    got = {r["page_id"]: r for r in identify_languages(*tables).collect()}
+    assert got == {r["page_id"]: r for r in identify_languages(*tables, at_once=2).collect()}
     for i, (raw, votes, host, suffix, _) in page.items():
         of = lambda test: [sum(p[1][j] for p in page.values() if test(p)) for j in range(3)]
         by_suffix, by_host = of(lambda p: p[3] == suffix), of(lambda p: p[2] == host)  # noqa: B023
@@ -369,15 +371,20 @@ def test_language_id_against_brute_force(spark):
 
 
 def test_language_id_rare_and_many_languages(spark):
-    """A language of one document among many, a 65th language, and tags with a region."""
+    """A language of one document among many, 500 languages in about the time of 4, and tags with a region."""
     rng = random.Random(15)
-    alphabet = [chr(0x4E00 + i) for i in range(700)]
-    own = {f"q{chr(97 + k // 26)}{chr(97 + k % 26)}": alphabet[10 * k : 10 * k + 10] for k in range(70)}
+    alphabet = [chr(0x4E00 + i) for i in range(5000)]
+    own = {f"q{chr(97 + k // 26)}{chr(97 + k % 26)}": alphabet[10 * k : 10 * k + 10] for k in range(500)}
     text = lambda lang: " ".join("".join(rng.choices(own[lang], k=4)) for _ in range(20))
     docs = [(i, text("qaa"), "qaa" if i % 2 else "QAA-XX") for i in range(300)] + [(1000 + i, text(k), k) for i, k in enumerate(own) if k != "qaa"]
     rows = [(i, f"https://{k}.example/", f"<html lang={k}><p>{text(k)}</p>") for i, k in enumerate(own)]
-    got = identify_languages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), 20).collect()
-    assert {r["page_id"]: r["text_lang"] for r in got} == dict(enumerate(own)) and {r["text_lang"] for r in got} == set(own)
+    took = {}
+    for n in (4, 500):
+        began = time.monotonic()
+        got = identify_languages(spark.createDataFrame(rows[:n], "page_id bigint, url string, html string"), spark.createDataFrame(docs[: 299 + n], "doc_id bigint, text string, lang string"), 20).collect()
+        took[n] = time.monotonic() - began
+        assert {r["page_id"]: r["text_lang"] for r in got} == dict(list(enumerate(own))[:n])
+    assert took[500] < 2 * took[4] + 15
 
 
 PIECES = ["<", ">", "<!--", "-->", "<script", "</script>", "</SCRIPT >", "<style x>", "</style", "</scriptx>", "&amp;", "&", ";", "a", " ", "<p>", "/"]
