@@ -14,6 +14,7 @@ from ..functions import vectors as vx
 from ..operators import ann
 from ..operators import audit as au
 from ..operators import knn, listing, profile, save, search, sync, tags
+from ..operators.block_max import BlockIndex
 from ..operators.segments import SegmentedIndex
 from ..operators.smart_save import smart_save
 from ..operators.vector_index import VectorIndex
@@ -1021,3 +1022,20 @@ def bm25_stored(spark, d):
     """Out of an inverted index that is written first."""
     index = search.StoredIndex.write(_corpus(spark, d), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
     return _short(index.search(WORDS, None), "path")
+
+
+RARE = "reviewing the benchmark of that tokenizer"
+
+
+@query(
+    f"""WITH {sql.CORPUS}, {sql.bm25(TERMS, {'body': 1.0}, 'a')}, {sql.bm25(search.query_terms(RARE), {'body': 1.0}, 'b')}
+SELECT query, path, round(score, 6) AS score FROM ((SELECT '{WORDS}' AS query, path, score FROM a ORDER BY score DESC, path LIMIT 20)
+  UNION ALL (SELECT '{RARE}', path, score FROM b ORDER BY score DESC, path LIMIT 20))"""
+)
+def bm25_block_max(spark, d):
+    """The best hits in the whole texts, out of the blocks that can hold them."""
+    index, out = BlockIndex.write(_corpus(spark, d), f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}", columns={"body": F.col("body")}), None
+    for words in (WORDS, RARE):
+        part = _short(index.search(words, 20, boosts={"body": 1.0}), F.lit(words).alias("query"), "path")
+        out = part if out is None else out.unionByName(part)
+    return out
