@@ -44,10 +44,15 @@ def scan_fields(notes: DataFrame) -> DataFrame:
     return rows.groupBy("path", "field").agg(F.max_by("kind", "place").alias("kind"), F.max_by("values", "place").alias("values"))
 
 
-def value_counts(fields: DataFrame) -> DataFrame:
-    """(field, value, n): short values of strings, and items of lists."""
+def valued(fields: DataFrame) -> DataFrame:
+    """(field, value): short values of strings, and items of lists, a row each."""
     kept = fields.filter("kind in ('string', 'array')").select("field", "kind", F.explode("values").alias("value"))
-    return kept.filter((F.col("kind") == "array") | (F.char_length("value") < LONG)).groupBy("field", "value").agg(F.count("*").alias("n"))
+    return kept.filter((F.col("kind") == "array") | (F.char_length("value") < LONG)).select("field", "value")
+
+
+def value_counts(fields: DataFrame) -> DataFrame:
+    """(field, value, n): how often each value occurs."""
+    return valued(fields).groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
 def field_profile(fields: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators import audit as au
 from ..operators import knn, listing, profile, save, search, sync, tags
 from ..operators.block_max import BlockIndex
 from ..operators.segments import SegmentedIndex
+from ..operators.sketches import FieldSketches
 from ..operators.smart_save import smart_save
 from ..operators.vector_index import VectorIndex
 from ..sources import notes as src
@@ -1039,3 +1040,22 @@ def bm25_block_max(spark, d):
         part = _short(index.search(words, 20, boosts={"body": 1.0}), F.lit(words).alias("query"), "path")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(
+    f"""WITH w AS (SELECT coalesce(lang, 'und') AS field, unnest({sql.terms('text')}) AS value FROM documents),
+c AS (SELECT field, value, count(*) AS n FROM w GROUP BY 1, 2), a AS (SELECT field, sum(n) AS total FROM c GROUP BY 1)
+SELECT field, value, n, place, CAST(total AS BIGINT) AS total, true AS distinct_is_close FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS place FROM c) JOIN a USING (field) WHERE place <= 10"""
+)
+def field_sketches(spark, d):
+    """The ten most frequent words of each language, and whether their estimated number is within 5 % (six standard errors) of
+    the true one, from sketches of the documents of each quality, the other documents being a batch that is replaced."""
+    docs = _table(spark, d, "documents").join(_table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    made = docs.select(F.coalesce("quality", F.lit(2)).alias("batch"), F.coalesce("lang", F.lit("und")).alias("field"), F.lit("array").alias("kind"), tx.index_terms(F.col("text")).alias("values"))
+    kept = FieldSketches(spark, f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}")
+    kept.add(made, 2)
+    for batch in range(3):
+        kept.add(made.filter(F.col("batch") == batch), batch)
+    true = profile.value_counts(made).groupBy("field").agg(F.count("*").alias("true"))
+    close = kept.profile().join(true, "field").select("field", F.col("n").alias("total"), (F.abs(F.col("distinct") - F.col("true")) <= 0.05 * F.col("true")).alias("distinct_is_close"))
+    return kept.top(10).join(close, "field")
