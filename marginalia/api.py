@@ -18,6 +18,7 @@ from .functions import vectors as vx
 from .operators import audit as au
 from .operators import knn, listing, save, search, sync, tags
 from .operators.segments import SegmentedIndex
+from .operators.vector_index import VectorIndex
 from .sources import notes as src
 
 
@@ -31,6 +32,7 @@ class Collection:
     root: str | None = None
     stored: search.StoredIndex | SegmentedIndex | None = None
     text_source: str = "gist"
+    vectors: VectorIndex | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, config: NotesConfig | None = None, embedder: vx.Embedder | None = None, text_source: str = "gist") -> Collection:
@@ -57,7 +59,7 @@ class Collection:
         return str(Path(self.root or ".", self.config.inbox))
 
     def search(self, query: str, limit: int = search.LIMIT, type: str | None = None, area: str | None = None, mode: str | None = None, prefilter: bool = False) -> DataFrame:  # noqa: A002
-        found = search.search(self.notes, query, limit, mode, self.embedder, prefilter, index=self.stored, type=type, area=area)
+        found = search.search(self.notes, query, limit, mode, self.embedder, prefilter, index=self.stored, near=self._near if self.vectors else None, type=type, area=area)
         return found.select(F.col("name").alias("title"), "path", "gist", "type", "area", "score")
 
     def related(self, name: str, limit: int = 10, boost_type: bool = False, boost_area: bool = False) -> DataFrame:
@@ -66,8 +68,9 @@ class Collection:
         if row is None:
             return self.notes.limit(0).withColumn("score", F.lit(0.0)).select(F.col("name").alias("title"), "path", "gist", "score")
         boosts = {k: row[k] for k, on in (("type", boost_type), ("area", boost_area)) if on and row[k] is not None}
-        others = self.notes.filter(F.col("name") != name)
-        found = knn.boosted(others, "vec", row["vec"], min(max(limit, 1), 50), "path", boosts)
+        limit = min(max(limit, 1), 50)
+        among = self._near(list(row["vec"]), 2 * limit + self.notes.filter(F.col("name") == name).count()) if self.vectors and row["vec"] is not None else self.notes
+        found = knn.boosted(among.filter(F.col("name") != name), "vec", row["vec"], limit, "path", boosts)
         return found.select(F.col("name").alias("title"), "path", "gist", "score")
 
     def get_note(self, wanted: str, fields: str | None = None) -> DataFrame:
@@ -192,6 +195,31 @@ class Collection:
             raise ValueError(f"there is no index in {folder}")
         return self._search_in(index, self._plain())
 
+    def index_vectors(self, folder: str) -> VectorIndex:
+        """Brings the index of vectors below a folder up to date: vectors that are new or changed are added to its lists, those of
+        notes that are gone are removed. Semantic and hybrid searches and related notes look into its lists from then on, about as
+        many as nine of ten true neighbours need, and score what they find exactly. Notes go by a 64-bit hash of their path."""
+        index = VectorIndex(self.notes.sparkSession, folder)
+        rows = self.notes.filter("vec is not null").select(F.xxhash64("path").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+        held = index.rows().select("id", F.col("vec").alias("_vec"))
+        if held.isEmpty():
+            index.write(rows, "id", "vec")
+        else:
+            # the last digits of an embedding may depend on the batch that it was made in
+            same = F.forall(F.zip_with("vec", "_vec", lambda a, b: F.coalesce(F.abs(a - b) <= 1e-9, F.lit(False))), lambda x: x)
+            changed = rows.join(held, "id", "left").filter(~F.coalesce(same, F.lit(False))).drop("_vec")
+            gone = held.join(rows, "id", "left_anti").select("id")
+            for some, change in ((changed, lambda x: index.insert(x, "id", "vec")), (gone, index.delete)):
+                if not some.isEmpty():
+                    change(some)
+        self.vectors = index
+        return index
+
+    def _near(self, vec: list[float], n: int) -> DataFrame:
+        query = self.notes.sparkSession.createDataFrame([(0, vec)], "id bigint, vec array<double>")
+        found = self.vectors.search(query, n, "id", "vec").select(F.col("id").alias("_id"))
+        return self.notes.join(F.broadcast(found), F.xxhash64("path") == F.col("_id"), "left_semi")  # n ids, some hundreds
+
     def clear_index(self, folder: str) -> None:
         """Removes what ``reindex`` has written; searches read the notes again."""
         spark, self.stored = self.notes.sparkSession, None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -240,30 +240,32 @@ def plan_search(limit: int = LIMIT, mode: str | None = None, **filters: str | No
     return SearchPlan(limit, min(limit * OVERSAMPLE, MOST_FETCHED) if kept else limit, parse_mode(mode), kept)
 
 
-def hits(notes: DataFrame, query: str, fetch: int, mode: str, embedder: Embedder, key: str = "path", index: StoredIndex | None = None) -> DataFrame:
+def hits(notes: DataFrame, query: str, fetch: int, mode: str, embedder: Embedder, key: str = "path", index: StoredIndex | None = None, near: Callable[[list[float], int], DataFrame] | None = None) -> DataFrame:
     """(key, score) of the ``fetch`` best notes in a mode. ``notes`` have path, gist, tags and the vector ``vec``; with a stored
-    index keywords are looked up there."""
+    index keywords are looked up there. ``near`` gives the notes that may be among the nearest to a vector; without it all are
+    compared."""
+    scope = (lambda n: near([float(x) for x in embedder.query(query)], n)) if near else (lambda _: notes)
     keyword = (lambda n: index.search(query, n, key)) if index else (lambda n: bm25(notes, query, n, key))
     if mode == "semantic":
-        return knn(notes, "vec", embedder.query(query), fetch, key).select(key, "score")
+        return knn(scope(fetch), "vec", embedder.query(query), fetch, key).select(key, "score")
     if mode == "keyword":
         return keyword(fetch).select(key, "score")
-    semantic = knn(notes, "vec", embedder.query(query), FUSE * fetch, key)
+    semantic = knn(scope(FUSE * fetch), "vec", embedder.query(query), FUSE * fetch, key)
     both = {"semantic": ranked(semantic, key), "bm25": ranked(keyword(FUSE * fetch), key)}
     return fuse(both, key=key).orderBy(F.desc("score"), key).limit(fetch)
 
 
-def search(notes: DataFrame, query: str, limit: int = LIMIT, mode: str | None = None, embedder: Embedder | None = None, prefilter: bool = False, key: str = "path", index: StoredIndex | None = None, **filters: str | None) -> DataFrame:
+def search(notes: DataFrame, query: str, limit: int = LIMIT, mode: str | None = None, embedder: Embedder | None = None, prefilter: bool = False, key: str = "path", index: StoredIndex | None = None, near: Callable[[list[float], int], DataFrame] | None = None, **filters: str | None) -> DataFrame:
     """The best notes for a query with their score, best first.
 
     Filters are equalities on columns such as type and area; null never matches. As a rule they apply to the hits, so
-    that fewer than ``limit`` may be left; with ``prefilter`` they apply to the notes, before ranking, and a stored index
-    isn't used.
+    that fewer than ``limit`` may be left; with ``prefilter`` they apply to the notes, before ranking, and stored indexes
+    aren't used.
     """
     plan = plan_search(limit, mode, **filters)
     for name, value in plan.filters.items() if prefilter else ():
         notes = notes.filter(F.col(name) == value)
-    found = hits(notes, query, plan.limit if prefilter else plan.fetch, plan.mode, embedder or Embedder(), key, None if prefilter else index)
+    found = hits(notes, query, plan.limit if prefilter else plan.fetch, plan.mode, embedder or Embedder(), key, None if prefilter else index, None if prefilter else near)
     out = notes.join(F.broadcast(found), key)  # at most MOST_FETCHED hits
     for name, value in plan.filters.items():
         out = out.filter(F.col(name) == value)

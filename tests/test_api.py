@@ -100,6 +100,21 @@ def test_reindexing_and_syncing(spark, vault, tmp_path):
         again.open_index(str(tmp_path / "nowhere"))
 
 
+def test_vectors_are_looked_up_in_their_index(spark, vault, tmp_path):
+    ask = lambda: [[tuple(r) for r in x.collect()] for x in (vault.search("graph queries", 3, mode="semantic"), vault.search("graph queries", 3), vault.related("one", 3), vault.related("one", 2, boost_type=True))]
+    before = ask()
+    index = vault.index_vectors(str(tmp_path / ".vectors"))
+    assert index.rows().count() == 4 and ask() == before
+    kept = vault.index_vectors(str(tmp_path / ".vectors"))
+    assert len(kept._state()) == 1  # nothing has changed
+    notes = vault.notes.persist()
+    vault.notes = notes.filter("name <> 'two'").withColumn("vec", F.when(F.col("name") == "three", vault.embedder.column(F.lit("sailing boats"))).otherwise(F.col("vec")))
+    vault.index_vectors(str(tmp_path / ".vectors"))
+    assert index.rows().count() == 3 and names(vault.search("sailing boats", 1, mode="semantic")) == ["three"]
+    vault.notes = notes
+    assert "two" not in names(vault.search("graph queries", 4, mode="semantic")) and "two" in names(vault.search("graph queries", 4, mode="semantic", prefilter=True))
+
+
 def test_frontmatter_that_is_nested_too_deeply(spark, tmp_path):
     for name, raw in (("deep", "[" * 100_000), ("plain", "a: 1"), ("closed", "[" * 3000 + "]" * 3000)):
         (tmp_path / f"{name}.md").write_text(f"---\n{raw}\n---\n")
