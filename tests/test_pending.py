@@ -49,3 +49,13 @@ def test_a_quiet_gap_ends_a_burst(rocks, tmp_path):
     assert feed.send((0, "create", "a.md"), (0.9, "modify", "b.md"), (1.8, "modify", "a.md")) == []  # each restarts the timer
     assert feed.send((60, "create", "z.md")) == [("a.md", "modify"), ("b.md", "modify")]
     assert feed.send((61.5, "create", "y.md"), (64, "delete", "y.md"), (64.1, "flush")) == [("y.md", "create"), ("y.md", "delete"), ("z.md", "create")]
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_shards_share_the_timer(rocks, tmp_path, shards):
+    paths = [f"{c}.md" for c in "abcdefgh"]
+    feed = Feed(rocks, tmp_path, shards)
+    burst = [(0.8 * i, "modify", p) for i, p in enumerate(paths)]  # no path is changed twice within a gap, all together never rest
+    again = [(6.4 + 0.8 * i, "delete", p) for i, p in enumerate(paths)]
+    assert feed.send(*burst, *again, (9.9, "disable"), (10.1, "enable"), (13, "flush")) == [(p, "delete") for p in paths[5:]]
+    assert feed.send(*[(20 + at, *x) for at, *x in burst + again], (30, "flush"), (34, "create", "z.md"), (34.1, "flush")) == sorted([(p, "delete") for p in paths[:5]] + [(p, "modify") for p in paths[5:]] + [(p, "delete") for p in paths[5:]] + [("z.md", "create")])
