@@ -193,3 +193,16 @@ def test_inverted_lists_find_the_neighbours(spark, spread):
     assert ann.recall(found, exact.select("query_id", "id")) >= 0.9 and found.filter("rank = 1").count() == queries.filter("v is not null").count()
     assert found.join(exact.withColumnRenamed("score", "s"), ["query_id", "id"]).filter("abs(score - s) > 1e-9").count() == 0
     assert index.search(df.limit(0), 5, "id", "v").count() == 0 and ann.build(df.limit(0), "id", "v").search(queries, 5, "id", "v").count() == 0
+
+
+def test_similar_pairs_move_few_copies(spark):
+    """Where angles rule nothing out, a row goes to a bounded number of tasks, and a carried column comes with each pair."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, i % 7, [float(c) for c in v]) for i, v in enumerate(x)], "k bigint, use bigint, v array<double>")
+    tasks, _ = knn._dealt(df, "k", "v", 0.2, [], 4)
+    assert tasks.count() < 90 * len(x)  # 426 copies a row with a cell for each 4 rows
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    i, j = np.nonzero(np.triu(np.round(u @ u.T, 9) >= 0.6, 1))
+    got = knn.similar_pairs(df, "k", "v", 0.6, rows_a_block=4, carry="use").collect()
+    assert sorted((r["a"], r["b"], r["ca"], r["cb"]) for r in got) == [(a, b, a % 7, b % 7) for a, b in zip(i.tolist(), j.tolist())]
