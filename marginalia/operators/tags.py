@@ -265,9 +265,8 @@ def similar_tags(tags: DataFrame, least: float = 0.7) -> DataFrame:
 
 def merges(tags: DataFrame, least: float = 0.7) -> DataFrame:
     """(keep, merge, score): of each similar pair the more used tag stays; of equals the first by name."""
-    use = tags.select("name", "usage_count")
-    pairs = similar_tags(tags, least).join(use.toDF("a", "ua"), "a").join(use.toDF("b", "ub"), "b")
-    first = F.col("ua") >= F.col("ub")
+    pairs = similar_pairs(tags, "name", "vec", least, carry="usage_count")
+    first = F.col("ca") >= F.col("cb")
     return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("merge"), "score")
 
 
