@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .knn import FOUND, Best, blocks, knn_join, ranked, unit, vectors_of
+from .knn import FOUND, Best, blocks, knn_join, pieces, ranked, unit, vectors_of
 
 #: Centroids at most, rows they are fitted on at most, rounds of that, and queries that the number of lists is measured on.
 MOST, SAMPLE, ROUNDS, TRIALS = 1024, 20_000, 8, 64
@@ -52,7 +52,7 @@ class Index:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q, wanted = sent.value
             best, none = Best(ids, q, k), np.zeros(0, np.int64)
-            for batch in batches:
+            for batch in pieces(batches):
                 held = np.asarray(batch.column(0))
                 for c in np.unique(held):
                     if len(asked := wanted.get(int(c), none)):
@@ -82,7 +82,7 @@ def assign(rows: DataFrame, fitted: np.ndarray) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids, x = vectors_of(batch, 0, 1, sent.value.shape[1])
             kept = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array((x @ sent.value.T).argmax(axis=1).astype(np.int32) if len(ids) else [], pa.int32()), pa.array(ids, pa.int64()), kept], ["list", "id", "vec"])
