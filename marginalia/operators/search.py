@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import index_terms, title_from_path
+from ..functions.text import index_terms, once, title_from_path
 from ..functions.vectors import Embedder
 from .knn import knn
 
@@ -35,6 +35,19 @@ def postings(notes: DataFrame, key: str = "doc_id", columns: dict[str, Column] |
     return rows.groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def postings_by_row(notes: DataFrame, key: str = "doc_id", columns: dict[str, Column] | None = None) -> DataFrame:
+    """``postings`` of notes whose key is unique: a row's terms are sorted and grouped in place, so nothing is moved."""
+    columns = columns or index_fields(notes)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), index_terms(c).alias("terms")) for f, c in columns.items()])).alias("x")
+    rows = notes.select(key, each).select(key, F.col("x.field").alias("field"), F.size("x.terms").alias("dl"), F.transform("x.terms", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))).alias("at"))
+    rows = once(rows.filter("dl > 0"), sorted=F.array_sort("at"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("sorted", i)["term"] != F.get("sorted", i - 1)["term"]))
+    rows = once(rows, starts=starts)
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array("dl"))
+    groups = F.zip_with("starts", ends, lambda a, b: F.struct(F.get("sorted", a)["term"].alias("term"), (b - a).cast("long").alias("tf"), F.transform(F.slice("sorted", a + 1, b - a), lambda x: x["pos"]).alias("positions")))
+    return rows.select(key, "field", "dl", F.explode(groups).alias("g")).select(key, "field", "g.term", "g.tf", "dl", "g.positions")
+
+
 def df_stats(notes: DataFrame, columns: dict[str, Column] | None = None, key: str = "doc_id") -> DataFrame:
     """(field, term, df, cf): in how many notes, and how often, a term occurs."""
     columns = columns or index_fields(notes)

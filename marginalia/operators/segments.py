@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import index_terms
-from .search import BOOSTS, _term_part, index_fields, parse_syntax, postings, score_postings
+from .search import BOOSTS, _term_part, index_fields, parse_syntax, postings_by_row, score_postings
 
 #: Notes for which a part of the terms gets one more file.
 NOTES_A_FILE = 1 << 18
@@ -140,7 +140,7 @@ class SegmentedIndex:
 
         written = self._read("docs", segment, self.docs_schema)
         changed = notes.join(written.select(self.key, "print"), [self.key, "print"], "left_semi").dropDuplicates([self.key, "print"])
-        posts = postings(changed, self.key, columns).withColumn("part", _term_part(F.col("term")))
+        posts = postings_by_row(changed, self.key, columns).withColumn("part", _term_part(F.col("term")))
         spread = F.pmod(F.xxhash64(self.key), F.lit(written.count() // NOTES_A_FILE + 1))
         self._write(posts.repartition("part", spread).sortWithinPartitions("part", "term", "field"), "postings", segment, "part")
         gone = old.join(written.select(self.key), self.key, "left_semi")

@@ -206,3 +206,27 @@ def test_similar_pairs_move_few_copies(spark):
     i, j = np.nonzero(np.triu(np.round(u @ u.T, 9) >= 0.6, 1))
     got = knn.similar_pairs(df, "k", "v", 0.6, rows_a_block=4, carry="use").collect()
     assert sorted((r["a"], r["b"], r["ca"], r["cb"]) for r in got) == [(a, b, a % 7, b % 7) for a, b in zip(i.tolist(), j.tolist())]
+
+
+def test_rows_are_scored_in_pieces():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(5000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(5000)), pa.array(x.tolist())], ["id", "v"])
+    assert [b.num_rows for b in knn.pieces(iter([batch]))] == [2048, 2048, 904]
+    best = knn.Best(np.arange(3), knn.unit(x[:3]), 4)
+    for piece in knn.pieces(iter([batch])):
+        best.add(*knn.vectors_of(piece, 0, 1, 8))
+    u = knn.unit(x)
+    s = np.round(u[:3] @ u.T, 9)
+    s[np.arange(3), np.arange(3)] = -1
+    assert best.ids.tolist() == np.argsort(-s, axis=1, kind="stable")[:, :4].tolist()
+
+
+def test_postings_by_row_are_the_postings(spark):
+    notes = spark.createDataFrame([(1, "b a b c", "x"), (2, "", None), (3, None, "Zz, zz: q"), (4, "a", "")], "doc_id bigint, t string, u string")
+    columns = {"t": F.col("t"), "u": F.col("u")}
+    rows = search.postings_by_row(notes, "doc_id", columns)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, search.postings(notes, "doc_id", columns).collect())) and rows.count() == 7
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
