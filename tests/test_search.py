@@ -230,3 +230,13 @@ def test_postings_by_row_are_the_postings(spark):
     rows = search.postings_by_row(notes, "doc_id", columns)
     assert sorted(map(str, rows.collect())) == sorted(map(str, search.postings(notes, "doc_id", columns).collect())) and rows.count() == 7
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_embedded_in_pieces():
+    import pyarrow as pa
+
+    texts = [["the", "graph"], None, [], [f"w{i}" for i in range(3000)]] + [[f"t{i}"] for i in range(600)]
+    got = np.array(vx._embed(pa.array(texts, pa.list_(pa.string()))).to_pylist())
+    for row, tokens in zip(got, texts):
+        mean = vx.token_matrix(tokens).mean(axis=0) if tokens else np.zeros(vx.DIMENSION)
+        assert np.abs(row - mean / (np.sqrt(mean @ mean) or 1)).max() < 1e-12
