@@ -153,10 +153,10 @@ class Recommendation:
         return F.coalesce(named, F.when(F.char_length(value) < LONG, map_value(value, list(self.values)))) if self.needs_migration else named
 
 
-def recommend(fields: DataFrame, role: str, prefix: str = "note_") -> Recommendation:
+def recommend(fields: DataFrame, role: str, prefix: str = "note_", profile: DataFrame | None = None) -> Recommendation:
     """For type or area: keep a clean field that has the right name already, else map its values to the recommended ones.
-    Only the values of a field of few values (HIGH at most) reach the driver."""
-    first = candidates(field_profile(fields), role).first()
+    Only the values of a field of few values (HIGH at most) reach the driver. ``profile``: that of the fields, if it is there."""
+    first = candidates(field_profile(fields) if profile is None else profile, role).first()
     wanted = RECOMMENDED[role]
     if first is None:
         return Recommendation(None, tuple(wanted), {}, False)
@@ -184,9 +184,10 @@ class Schema:
 def recommend_schema(notes: DataFrame, fields: DataFrame, prefix: str = "note_") -> Schema:
     """The recommendations for all four roles. Notes count as without a gist if they have frontmatter without the gist
     field; without any such field all notes do."""
-    profile = field_profile(fields)
-    roles = {r: recommend(fields, r, prefix) for r in ("type", "area")}
+    profile = field_profile(fields).persist()  # a row a field, for all four roles
+    roles = {r: recommend(fields, r, prefix, profile) for r in ("type", "area")}
     gist, tags = (candidates(profile, r).first() for r in ("gist", "tags"))
+    profile.unpersist()
     total, having = notes.count(), fields.select("path").distinct().count()
 
     def updates(rec: Recommendation) -> int:
