@@ -17,7 +17,7 @@ from ..functions.text import index_terms
 from .search import BOOSTS, _idf, _part, index_fields, query_terms
 
 #: Notes of a block (a power of two), notes of a zone, and the places by which a row number is below its zone's number.
-BLOCK, ZONE, ROW_BITS = 64, 1 << 18, 33
+BLOCK, ZONE, ROW_BITS = 64, 1 << 15, 33
 #: Blocks that a scan is given as a list; more of them are joined.
 LISTED = 4096
 #: Scores are rounded to nine digits, sums of maxima aren't.

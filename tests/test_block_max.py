@@ -73,3 +73,9 @@ def test_serves_searches_as_an_index(made):
     df, index = made
     got = search.search(df.withColumn("gist", F.lit("x")).withColumn("vec", F.lit(None).cast("array<float>")), "seldom rare", 3, "keyword", key="path", index=index)
     assert [r["path"] for r in got.collect()] == []  # the index has no field that searches boost
+
+
+def test_a_zone_is_what_one_task_can_read():
+    from marginalia.operators import block_max
+
+    assert block_max.ZONE <= 1 << 15  # whole texts of a zone's notes go through one task
