@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import index_terms
-from .search import BOOSTS, _term_part, index_fields, parse_syntax, postings_by_row, score_postings
+from .search import BOOSTS, PARTS, _term_part, index_fields, parse_syntax, postings_by_row, score_postings
 
-#: Notes for which a part of the terms gets one more file.
-NOTES_A_FILE = 1 << 18
+#: Words for which the postings of a segment get one more task, and bytes of a row group, of which a task fills one for each part.
+WORDS_A_TASK, ROW_GROUP = 1 << 20, 16 << 20
+#: Keys that are broadcast at most, so that texts and postings stay where they are; with more, both sides are shuffled.
+KEYS = 1 << 21
 POSTINGS = "{key} {kind}, field string, term string, tf bigint, dl int, positions array<int>, segment int, part int"
 DEAD = "{key} {kind}, of int, segment int"
 FIELDS = "field string, n bigint, words bigint, base boolean, segment int"
@@ -34,6 +36,11 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
         return spark.createDataFrame([], schema)
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """Keys to join with, broadcast unless they are too many."""
+    return F.broadcast(keys) if keys.count() <= KEYS else keys
+
+
 class SegmentedIndex:
     """The index in a folder, at its last version or at an earlier one. Notes are rows with the column ``key``; ``columns`` are the
     indexed texts by field, by default title, gist and tags; ``kept`` (a schema) are columns that are stored for each note."""
@@ -62,7 +69,7 @@ class SegmentedIndex:
     def _live(self, rows: DataFrame, segments: list[int]) -> DataFrame:
         """Rows of segments without those that a later segment replaces."""
         dead = self._of("dead", DEAD.format(key=self.key, kind=self.kind), segments[1:]).select(self.key, F.col("of").alias("segment"))
-        return rows.join(dead, [self.key, "segment"], "left_anti") if len(segments) > 1 else rows
+        return rows.join(_sent(dead), [self.key, "segment"], "left_anti") if len(segments) > 1 else rows
 
     def docs(self, segments: list[int] | None = None) -> DataFrame:
         """(key, print, words, the kept columns, segment) of the notes that are in the index."""
@@ -104,6 +111,29 @@ class SegmentedIndex:
     def _write(self, rows: DataFrame, name: str, segment: int, *by: str) -> None:
         rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.folder}/{name}/segment={segment}")
 
+    def _file(self, posts: DataFrame, segment: int, written: DataFrame) -> None:
+        """Writes postings from where they are: a task has a file open for each part, so nothing is moved or sorted. A segment of few
+        words gets few tasks, and so few files."""
+        words = written.select(F.explode_outer(F.map_values("words")).alias("n")).agg(F.sum("n")).first()[0] or 0
+        rows, name = posts.coalesce(words // WORDS_A_TASK + 1), "spark.sql.maxConcurrentOutputFileWriters"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, PARTS)
+        try:
+            rows.write.mode("overwrite").partitionBy("part").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{self.folder}/postings/segment={segment}")
+        finally:
+            self.spark.conf.set(name, before)
+
+    def _changed(self, notes: DataFrame, written: DataFrame) -> DataFrame:
+        """The rows of ``notes`` (with their print) that a segment has written, one a key. Texts are moved only of keys with several rows."""
+        keys = notes.groupBy(self.key).agg(F.count("*").alias("rows"))
+        held = keys.agg(F.count("*").alias("keys"), F.count_if(F.col("rows") > 1).alias("several")).first()
+        if not held["several"]:
+            return notes if written.count() == held["keys"] else notes.join(_sent(written.select(self.key)), self.key, "left_semi")
+        several = keys.filter("rows > 1").select(self.key)
+        one = notes.join(_sent(written.select(self.key).join(several, self.key, "left_anti")), self.key, "left_semi")
+        more = notes.join(_sent(written.select(self.key, "print").join(several, self.key, "left_semi")), [self.key, "print"], "left_semi")
+        return one.unionByName(more.dropDuplicates([self.key, "print"]))
+
     def _read(self, name: str, segment: int, schema: T.StructType) -> DataFrame:
         return read_table(self.spark, f"{self.folder}/{name}", schema).filter(F.col("segment") == segment)
 
@@ -122,8 +152,8 @@ class SegmentedIndex:
         as they were stay where they are. ``whole``: the notes are all there are, so others go; ``base``: all are written anew.
 
         Of rows of one key that with the greatest ``order`` counts, then by what it holds; a row without a key is left out.
-        ``carry`` gives the kept columns, out of the columns ``needs``, and is computed for changed notes alone. Texts move
-        once, as the words of the changed notes.
+        ``carry`` gives the kept columns, out of the columns ``needs``, and is computed for changed notes alone. Texts and
+        postings stay where they are, but for the texts of keys with several rows.
         """
         earlier = self.segments(segment)
         segment = segment if segment is not None else max([-1, *self.segments()]) + 1
@@ -139,10 +169,8 @@ class SegmentedIndex:
         self._write(new, "docs", segment)
 
         written = self._read("docs", segment, self.docs_schema)
-        changed = notes.join(written.select(self.key, "print"), [self.key, "print"], "left_semi").dropDuplicates([self.key, "print"])
-        posts = postings_by_row(changed, self.key, columns).withColumn("part", _term_part(F.col("term")))
-        spread = F.pmod(F.xxhash64(self.key), F.lit(written.count() // NOTES_A_FILE + 1))
-        self._write(posts.repartition("part", spread).sortWithinPartitions("part", "term", "field"), "postings", segment, "part")
+        posts = postings_by_row(self._changed(notes, written), self.key, columns)
+        self._file(posts.withColumn("part", _term_part(F.col("term"))), segment, written)
         gone = old.join(written.select(self.key), self.key, "left_semi")
         if whole:
             gone = gone.unionByName(old.join(found.select(self.key), self.key, "left_anti"))
@@ -166,8 +194,7 @@ class SegmentedIndex:
         segment = segment if segment is not None else max([-1, *held]) + 1
         self._write(self.docs(held).select(self.key, "print", "words", *self.kept.names), "docs", segment)
         written = self._read("docs", segment, self.docs_schema)
-        spread = F.pmod(F.xxhash64(self.key), F.lit(written.count() // NOTES_A_FILE + 1))
-        self._write(self.postings(segments=held).drop("segment").repartition("part", spread).sortWithinPartitions("part", "term", "field"), "postings", segment, "part")
+        self._file(self.postings(segments=held).drop("segment"), segment, written)
         return self._commit(segment, written, None, True)
 
     def drop_old(self) -> list[int]:

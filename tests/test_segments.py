@@ -56,6 +56,32 @@ def test_adding_changing_removing_and_compacting(spark, tmp_path):
     same(index, spark, held)
 
 
+def test_postings_are_written_from_where_they_are(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **kwargs):
+        if "/postings/" in path:
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    rng, index, held = random.Random(8), SegmentedIndex(spark, str(tmp_path / "index")), {}
+    for ids in (range(0, 60), range(40, 80)):
+        data, df = notes(spark, rng, ids)
+        index.add(df)
+        held |= {r[0]: r for r in data}
+    index.compact()
+    assert len(plans) == 3 and not any("Exchange hashpartitioning" in p or "Sort [" in p for p in plans)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    same(index, spark, held)
+    twice, more = [notes(spark, rng, ids, stamp) for ids, stamp in ((range(70, 90), 1), (range(85, 95), 2))]
+    index.add(twice[1].unionByName(more[1]).unionByName(more[1]), order="changed")  # some keys have three rows, some of them alike
+    held |= {r[0]: r for r in twice[0] + more[0]}
+    same(index, spark, held)
+
+
 def test_unchanged_notes_are_not_written_again(spark, tmp_path):
     data, df = notes(spark, random.Random(2), range(50))
     index = SegmentedIndex(spark, str(tmp_path))
