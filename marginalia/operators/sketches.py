@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .profile import value_counts, valued
+from .profile import value_counts
 
 #: Values that a sketch tracks, by default, and the logarithm of the registers that estimate how many there are (0.8 %).
 TRACKED, REGISTERS = 1000, 14
 #: A sketch tracks at most 3/4 of its map, and its error is at most 3.5 / map of all values, also after merging.
 ERROR = 3.5 * 0.75
+#: Occurrences of a value that are made rows at once, and all occurrences for which a sketch gets one more task.
+RUN, TASK = 4096, 1 << 21
 
 
 class FieldSketches:
@@ -27,13 +29,23 @@ class FieldSketches:
         self.spark, self.folder, self.tracked = spark, folder.rstrip("/"), tracked
 
     def add(self, fields: DataFrame, batch: int) -> None:
-        """Adds a batch of ``fields`` (field, kind, values), as ``scan_fields`` gives them; null values don't count."""
-        rows = valued(fields).filter("value is not null")
+        """Adds a batch of ``fields`` (field, kind, values), as ``scan_fields`` gives them; null values don't count. They are read
+        once, for the counts: the sketches are made out of these, a value as often as it occurs."""
+        at = f"{self.folder}/values/batch={batch}"
+        value_counts(fields).filter("value is not null").write.mode("overwrite").parquet(at)
+        rows = fields.sparkSession.read.schema("field string, value string, n bigint").parquet(at)
+        rows = rows.select("field", "value", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("from"))
+        tasks = (rows.filter("from = 0").agg(F.sum("n")).first()[0] or 0) // TASK + 1  # the runs are few, what they become is not
+        rows = rows.repartition(tasks, "value", "from").select("field", "value", F.explode(F.sequence("from", F.least(F.col("from") + RUN, F.col("n")) - 1)).alias("i"))
         frequent = F.call_function("approx_top_k_accumulate", F.col("value"), F.lit(self.tracked))
-        sketched = rows.groupBy("field").agg(F.count("*").alias("n"), frequent.alias("frequent"), F.hll_sketch_agg("value", REGISTERS).alias("distinct"))
-        value_counts(fields).filter("value is not null").write.mode("overwrite").parquet(f"{self.folder}/values/batch={batch}")
+        distinct = F.hll_sketch_agg(F.when(F.col("i") == 0, F.col("value")), F.lit(REGISTERS))
+        sketched = rows.groupBy("field").agg(F.count("*").alias("n"), frequent.alias("frequent"), distinct.alias("distinct"))
         sketched.write.mode("overwrite").parquet(f"{self.folder}/sketches/batch={batch}")
 
+    def counts(self) -> DataFrame:
+        """(field, value, n) over all batches: how often each value occurs."""
+        return self.spark.read.parquet(f"{self.folder}/values").groupBy("field", "value").agg(F.sum("n").alias("n"))
+
     def merged(self) -> DataFrame:
         """(field, n, frequent, distinct): the sketches of all batches as one a field, and how many values there are."""
         combined = F.call_function("approx_top_k_combine", F.col("frequent"), F.lit(self.tracked))

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.operators.sketches import ERROR, FieldSketches
 
@@ -62,3 +63,21 @@ def test_only_what_cannot_be_ruled_out_is_counted(kept):
     sketches, counts = kept
     told = Counter(r["field"] for r in sketches.candidates(3).collect())
     assert set(told) == {"skewed"} and told["skewed"] < len(counts["skewed"]) / 20
+
+
+def test_values_are_read_once_a_batch(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(x):
+        seen.add(1)
+        return x
+
+    rows = [(f"{i}", "words", "array", ["often"] * 5000 + [f"w{i % 7}", f"r{i}", None]) for i in range(20)]
+    once = F.udf(read, "string").asNondeterministic()
+    fields = spark.createDataFrame(rows, SCHEMA).coalesce(1).withColumn("field", once("field"))
+    sketches = FieldSketches(spark, str(tmp_path / "sketches"))
+    sketches.add(fields, 0)
+    assert seen.value == 20
+    (row,) = sketches.profile().collect()
+    assert (row["field"], row["n"], row["distinct"]) == ("words", 20 * 5002, 28)
+    assert [(r["value"], r["n"]) for r in sketches.top(2).orderBy("place").collect()] == [("often", 100_000), ("w0", 3)]
