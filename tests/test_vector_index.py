@@ -84,3 +84,19 @@ def test_empty(spark, tmp_path):
     assert index.rows().count() == 0 and index.search(vectors(spark, range(3)), 2, "id", "v").count() == 0
     index.insert(vectors(spark, range(30)), "id", "v")
     assert index.rows().count() == 30 and index.search(vectors(spark, range(3)), 2, "id", "v").count() == 6
+
+
+def test_scores_of_a_worker_are_bounded():
+    import tracemalloc
+
+    from marginalia.operators.knn import PIECE, Best, unit
+
+    rng = np.random.default_rng(4)
+    rows, queries = unit(rng.normal(size=(PIECE, 16))), unit(rng.normal(size=(2000, 16)))
+    best = Best(np.arange(2000) + PIECE, queries, 5)
+    tracemalloc.start()
+    best.add(np.arange(PIECE), rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * 4 * 256 * PIECE  # four matrices of 256 queries; with 1,024 at a time they would be four times as large
+    assert [best.ids[i].tolist() for i in (0, 300, 1999)] == [np.argsort(-np.round(rows @ queries[i], 9), kind="stable")[:5].tolist() for i in (0, 300, 1999)]
