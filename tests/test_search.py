@@ -240,3 +240,21 @@ def test_texts_are_embedded_in_pieces():
     for row, tokens in zip(got, texts):
         mean = vx.token_matrix(tokens).mean(axis=0) if tokens else np.zeros(vx.DIMENSION)
         assert np.abs(row - mean / (np.sqrt(mean @ mean) or 1)).max() < 1e-12
+
+
+def test_tokens_of_a_batch_are_taken_out_a_few_texts_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from marginalia.functions.vectors import _embed, embed_tokens
+
+    texts = [[f"word{i * k % 977}" for k in range(2000)] for i in range(200)]
+    tokens = pa.array(texts)
+    texts = texts[::67]
+    tracemalloc.start()
+    found = _embed(tokens)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20_000_000  # the words of all texts at once would be some 25 MB
+    assert all(abs(a - b) < 1e-12 for i, t in zip((0, 67, 134), texts, strict=False) for a, b in zip(found[i].as_py(), embed_tokens(t), strict=True))
