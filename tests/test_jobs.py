@@ -121,3 +121,13 @@ def test_command_line(spark, tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     assert "read 5 new rows" in done.stderr and "has 5 notes" in done.stderr
     assert index_upkeep.index_of(spark, str(tmp_path / "index"), index_upkeep.DEFAULTS).notes == 5
+
+
+def test_links_and_names_are_audited_without_parsing(spark):
+    from jobs.audit_report import findings
+    from marginalia.config import NotesConfig
+
+    files = spark.sql("SELECT 'a.md' AS path, 'a' AS name, '---\nnote_type: term\n---\n[[b]] [[a]]' AS content, timestamp '2024-01-01 00:00:00' AS modified FROM range(1)")
+    found = findings(files, NotesConfig(), ["wikilinks", "orphans"])
+    assert "note_" not in found._jdf.queryExecution().analyzed().toString().replace("note_type: term", "")
+    assert [(r["name"], r["code"], r["arg"]) for r in found.collect()] == [("a", "broken_link", "b")]
