@@ -40,7 +40,7 @@ def postings_by_row(notes: DataFrame, key: str = "doc_id", columns: dict[str, Co
     columns = columns or index_fields(notes)
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), index_terms(c).alias("terms")) for f, c in columns.items()])).alias("x")
     rows = notes.select(key, each).select(key, F.col("x.field").alias("field"), F.size("x.terms").alias("dl"), F.transform("x.terms", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))).alias("at"))
-    rows = once(rows.filter("dl > 0"), sorted=F.array_sort("at"))
+    rows = once(rows.filter("dl > 0"), sorted=F.sort_array("at"))
     starts = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("sorted", i)["term"] != F.get("sorted", i - 1)["term"]))
     rows = once(rows, starts=starts)
     ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array("dl"))

@@ -112,12 +112,12 @@ class SegmentedIndex:
         rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.folder}/{name}/segment={segment}")
 
     def _file(self, posts: DataFrame, segment: int, written: DataFrame) -> None:
-        """Writes postings from where they are: a task has a file open for each part, so nothing is moved or sorted. A segment of few
-        words gets few tasks, and so few files."""
+        """Writes postings from where they are: a task has a file open for each part, so nothing is moved or sorted (the writer sorts
+        once as many files are open as it may have, hence one more). A segment of few words gets few tasks, and so few files."""
         words = written.select(F.explode_outer(F.map_values("words")).alias("n")).agg(F.sum("n")).first()[0] or 0
         rows, name = posts.coalesce(words // WORDS_A_TASK + 1), "spark.sql.maxConcurrentOutputFileWriters"
         before = self.spark.conf.get(name)
-        self.spark.conf.set(name, PARTS)
+        self.spark.conf.set(name, PARTS + 1)
         try:
             rows.write.mode("overwrite").partitionBy("part").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{self.folder}/postings/segment={segment}")
         finally:

@@ -82,6 +82,35 @@ def test_postings_are_written_from_where_they_are(spark, tmp_path, monkeypatch):
     same(index, spark, held)
 
 
+def test_postings_of_all_parts_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    sc, write, group = spark.sparkContext, DataFrameWriter.parquet, f"postings-{tmp_path.name}"
+    conf, name = sc._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+
+    def parquet(self, path, *args, **kwargs):
+        if "/postings/" not in path:
+            return write(self, path, *args, **kwargs)
+        sc.setJobGroup(group, "postings")
+        conf.set(name, "50")  # a sort of more rows spills
+        try:
+            return write(self, path, *args, **kwargs)
+        finally:
+            conf.remove(name)
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    index = SegmentedIndex(spark, str(tmp_path / "index"), "doc_id", {"body": F.col("body")}, kind="bigint")
+    index.add(spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: F.concat(F.lit("w"), i.cast("string")))).alias("body")).coalesce(2))
+    index.compact()
+    assert index.postings().count() == 40 * 500 and index.postings().select("part").distinct().count() == 64
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = [s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds]
+    held = [sc._jsc.sc().statusStore().lastStageAttempt(s) for s in stages]
+    wrote = [x for x in held if x.outputRecords() == 40 * 500]
+    assert len(wrote) == 2 and not any(x.memoryBytesSpilled() or x.diskBytesSpilled() for x in wrote)
+
+
 def test_unchanged_notes_are_not_written_again(spark, tmp_path):
     data, df = notes(spark, random.Random(2), range(50))
     index = SegmentedIndex(spark, str(tmp_path))
