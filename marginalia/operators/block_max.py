@@ -4,28 +4,79 @@ Notes are dealt into zones by length, and within a zone into blocks of ``BLOCK``
 a row for each block, field and term: the postings, packed, and the most that any of them can add to a score. A search
 reads these maxima alone first, a few bytes a block; the ``limit`` blocks with the greatest sums hold at least that many
 hits, whose last score is a bound that the final hits reach. Only blocks whose sum reaches it are read: the result is that
-of ``bm25``, ties included. Zones are folders, and a zone's rows are sorted by term, field and block, so a scan skips folders
-and pages.
+of ``bm25``, ties included. Zones are cut out of the notes of a task, where they are: no text or posting is shuffled, sorted by
+Spark or spilled. A zone's rows are sorted by field, term and block, so a scan skips pages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import index_terms
+from .knn import pieces
 from .search import BOOSTS, _idf, _part, index_fields, query_terms
 
-#: Notes of a block (a power of two), notes of a zone, and the places by which a row number is below its zone's number.
-BLOCK, ZONE, ROW_BITS = 64, 1 << 15, 33
+#: Notes of a block (a power of two), and notes and words of a zone at most; a note of more words is a zone.
+BLOCK, ZONE, WORDS = 64, 1 << 13, 1 << 22
+#: Bytes of the dictionary that a column of keys may have.
+KEYS = 8 << 20
 #: Blocks that a scan is given as a list; more of them are joined.
 LISTED = 4096
 #: Scores are rounded to nine digits, sums of maxima aren't.
 SLACK = 1e-8
-BLOCKS = "block bigint, field string, term string, df bigint, top double, notes array<struct<key: {kind}, tf: int, dl: int>>, zone int"
+BLOCKS = "block bigint, field string, term string, df bigint, top double, notes array<struct<key: {kind}, tf: int, dl: int>>, zone bigint"
+PACKED = "block bigint, field string, term string, df bigint, notes array<struct<key: {kind}, tf: int, dl: int>>, zone bigint"
 FIELDS = "field string, n bigint, words bigint"
 
 
+def _zones(batches: Iterator[pa.RecordBatch], most: int, words: int) -> Iterator[pa.Table]:
+    """The notes (key, row, and a list of terms for each field) in runs of at most ``most`` notes and so many words."""
+    held, notes, room = [], 0, words
+    for batch in batches:
+        ends = np.cumsum(sum(np.asarray(c.value_lengths()).astype(np.int64) for c in batch.columns[2:]))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            fit = max(np.searchsorted(ends, before + room, "right"), at if held else at + 1)
+            end = int(min(at + most - notes, fit))
+            if end > at:
+                held.append(batch.slice(at, end - at))
+                notes, room, at = notes + end - at, room - (ends[end - 1] - before), end
+            if at < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, notes, room = [], 0, words
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _packed(zone: pa.Table, field: str, block: int) -> pa.RecordBatch:
+    """The rows of a zone for a field, without what they can add; sorted by term and block. Blocks are cut by length in words of all fields."""
+    first, keys, lists = zone["row"][0].as_py(), zone["key"].combine_chunks(), zone[f"of {field}"].combine_chunks()
+    sizes = [np.asarray(c.combine_chunks().value_lengths()) for c in zone.columns[2:]]
+    by_length = np.argsort(sum(s.astype(np.int64) for s in sizes), kind="stable")
+    place, dl = np.empty(len(by_length), np.int64), np.asarray(lists.value_lengths())
+    place[by_length] = np.arange(len(by_length))
+    # a posting is a number: the place of its term in the alphabet, then that of its note by length
+    coded = lists.flatten().dictionary_encode()
+    alphabet = np.asarray(pc.array_sort_indices(coded.dictionary))
+    code = np.empty(len(alphabet), np.int64)
+    code[alphabet] = np.arange(len(alphabet))
+    posts, tf = np.unique(code[np.asarray(coded.indices)] * len(place) + np.repeat(place, dl), return_counts=True)
+    term, note = posts // len(place), posts % len(place)
+    at = note // block
+    start = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(at, prepend=-1) != 0))
+    bounds, note = np.append(start, len(posts)), by_length[note]
+    each = pa.StructArray.from_arrays([keys.take(pa.array(note)), pa.array(tf.astype(np.int32)), pa.array(dl[note].astype(np.int32))], ["key", "tf", "dl"])
+    arrays = [pa.array(first + at[start]), pa.repeat(pa.scalar(field), len(start)), coded.dictionary.take(pa.array(alphabet[term[start]])), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), each), pa.repeat(pa.scalar(first), len(start))]
+    return pa.RecordBatch.from_arrays(arrays, ["block", "field", "term", "df", "notes", "zone"])
+
+
 def _part_of(sizes: dict[str, tuple[int, int]], tf: Column, dl: Column) -> Column:
     """What a posting of the column ``field`` adds to a score, before its weight."""
     out = F.lit(0.0)
@@ -50,17 +101,19 @@ class BlockIndex:
         sizes = rows.select(F.explode("fields").alias("x")).groupBy("x.field").agg(F.count("*").alias("n"), F.sum(F.size("x.terms")).cast("long").alias("words"))
         sizes.write.parquet(f"{folder}/fields")
         held = {r["field"]: (r["n"], r["words"]) for r in spark.read.schema(FIELDS).parquet(f"{folder}/fields").collect()}  # a row a field
-        total = max((n for n, _ in held.values()), default=0)
-        long = F.aggregate("fields", F.lit(0), lambda a, x: a + F.size(x["terms"]))
-        rows = rows.withColumn("_long", long).repartitionByRange(total // ZONE + 1, "_long", "key").sortWithinPartitions("_long", "key")
-        rows = rows.withColumn("row", F.monotonically_increasing_id())  # a zone's number and a note's place in it
-        rows = rows.select("key", F.floor(F.col("row") / block).alias("block"), F.shiftright("row", ROW_BITS).cast("int").alias("zone"), F.explode("fields").alias("x"))
-        words = rows.select("key", "block", "zone", "x.field", F.size("x.terms").alias("dl"), F.explode("x.terms").alias("term"))
-        posts = words.groupBy("zone", "block", "field", "term", "key").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
-        packed = posts.groupBy("zone", "block", "field", "term").agg(F.count("*").alias("n"), F.max(_part_of(held, F.col("tf"), F.col("dl"))).alias("top"), F.collect_list(F.struct("key", "tf", "dl")).alias("notes"))
-        packed = packed.withColumnRenamed("n", "df").repartition("zone", F.pmod(F.xxhash64("term"), F.lit(4)))
-        packed.sortWithinPartitions("zone", "term", "field", "block").write.partitionBy("zone").parquet(f"{folder}/blocks")
-        return BlockIndex(spark, folder, notes.schema[key].dataType.simpleString())
+        kind, fields, most, words = notes.schema[key].dataType.simpleString(), list(columns), ZONE, WORDS
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for zone in _zones(batches, most, words):
+                for field in fields:
+                    yield from pieces([_packed(zone, field, block)], most)
+
+        rows = notes.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), *[index_terms(c).alias(f"of {f}") for f, c in columns.items()])
+        packed = rows.mapInArrow(pack, PACKED.format(kind=kind))
+        # the most of a block, by the formula of a search
+        top = F.array_max(F.transform("notes", lambda x: _part_of(held, x["tf"], x["dl"])))
+        packed.withColumn("top", top).write.option("compression", "zstd").option("parquet.dictionary.page.size", KEYS).parquet(f"{folder}/blocks")
+        return BlockIndex(spark, folder, kind)
 
     @property
     def notes(self) -> int:
@@ -103,7 +156,7 @@ class BlockIndex:
 
     @staticmethod
     def _among(blocks: list) -> Column:
-        return F.col("zone").isin(*{b["zone"] for b in blocks}) & F.col("block").isin(*{b["block"] for b in blocks})
+        return F.col("block").isin(*{b["block"] for b in blocks})
 
     def search(self, query: str, limit: int | None, key: str = "path", boosts: dict[str, float] | None = None) -> DataFrame:
         """(key, score) of the best notes, as ``bm25`` scores the words of the query; without a limit all that match."""

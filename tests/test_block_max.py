@@ -79,3 +79,15 @@ def test_a_zone_is_what_one_task_can_read():
     from marginalia.operators import block_max
 
     assert block_max.ZONE <= 1 << 15  # whole texts of a zone's notes go through one task
+
+
+def test_notes_stay_in_their_task(spark, tmp_path, monkeypatch):
+    """A zone is cut out of the notes of one task, so nothing is shuffled, and has a bounded number of words."""
+    monkeypatch.setattr("marginalia.operators.block_max.WORDS", 500)
+    df = notes(spark, 600).repartition(3).persist()
+    index = BlockIndex.write(df, f"{tmp_path}/a", columns={"body": F.col("body")}, block=4)
+    zones = index.blocks.select("zone", F.explode("notes").alias("x")).join(df.withColumn("task", F.spark_partition_id()), F.col("x.key") == F.col("path"))
+    found = zones.groupBy("zone").agg(F.count_distinct("task").alias("tasks"), F.sum("x.tf").alias("words")).collect()
+    assert len(found) > 20 and all(r["tasks"] == 1 and r["words"] <= 500 for r in found)
+    for limit in (7, None):
+        assert sorted(rows(index.search("rare seldom note", limit, boosts={"body": 1.0}))) == sorted(rows(search.bm25(df, "rare seldom note", limit, boosts={"body": 1.0}, columns={"body": F.col("body")})))
