@@ -123,6 +123,16 @@ def test_blocks_of_queries(spark, monkeypatch):
     assert sorted(map(tuple, knn.knn_join(df, df, 2, "id", "v").collect())) == whole
 
 
+def test_passes_lose_no_query(spark, monkeypatch):
+    """Queries that share an id are all asked, wherever a pass ends."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i // 3, [float(x) for x in rng.normal(size=4)]) for i in range(30)], "id bigint, v array<double>")
+    whole = sorted(map(tuple, knn.knn_join(df, df, 2, "id", "v").collect()))
+    monkeypatch.setattr(knn, "SENT", 4)
+    assert [len(ids) for ids, _ in knn.blocks(df, "id", "v")] == [6, 6, 6, 6, 6]
+    assert sorted(map(tuple, knn.knn_join(df, df, 2, "id", "v").collect())) == whole
+
+
 SYNTAX = [
     ("rust", {"a", "b"}), ("+rust -python", {"a"}), ("rust python", {"a", "b", "c"}), ('"systems language"', {"a"}), ('"language systems"', {"b"}), ("title:python", {"c"}), ("gist:python", {"b"}),
     ("tags:slow rust-language", {"c"}), ("+absent rust", set()), ("-rust", set()), ('+"systems language" python', {"a"}), ("nofield:rust", set()), ('"unclosed rust', set()), ("+", set()), ("", set()),
